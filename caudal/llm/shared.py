@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +33,23 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, so that their workers import it from any folder."""
+    context = spark.sparkContext
+    if getattr(context, "_caudal_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    with zipfile.ZipFile(packed := io.BytesIO(), "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, f"{package.name}/{file.relative_to(package)}")
+    target = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}_package.zip"
+    target.write_bytes(packed.getvalue())
+    context.addPyFile(str(target))
+    context._caudal_shipped = True
+
+
 def small_batches(spark: SparkSession, records: int = 1000) -> None:
-    """Bounds what a Python worker holds at once, since one text can be long."""
+    """Bounds what a Python worker holds at once, since one text can be long; also ships the code."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
