@@ -1,6 +1,15 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from . import chat_formatting, url_filters
+from . import chat_formatting, packing, quality, url_filters, warc
 
-QUERIES = {f.__name__: f for f in (url_filters.op8_url_filter, chat_formatting.op10_chat_format)}
-ORACLES = {"op10_chat_format": chat_formatting.OP10_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        warc.op3_warc,
+        quality.op6_quality,
+        url_filters.op8_url_filter,
+        packing.op9_packing,
+        chat_formatting.op10_chat_format,
+    )
+}
+ORACLES = {"op3_warc": warc.OP3_SQL, "op10_chat_format": chat_formatting.OP10_SQL}

@@ -50,6 +50,11 @@ def training_urls() -> list[tuple[str, int]]:
     return rows
 
 
+def training_table(spark: SparkSession) -> DataFrame:
+    rows = [{"url": url, "label": label} for url, label in training_urls()]
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<url: string, label: int>>")))
+
+
 def host_of(url: Column) -> Column:
     """After the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; empty if there is none."""
     found = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
@@ -91,7 +96,7 @@ def margin(buckets: Column, weights: list[float], intercept: float) -> Column:
 def fit(labelled: DataFrame) -> tuple[list[float], float]:
     """Weights and intercept from rows of url and label, by gradient descent; only bucket sums reach the driver."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    rows = labelled.select(F.col("label").cast("double").alias("label"), gram_buckets(host, path).alias("buckets")).coalesce(2)
+    rows = labelled.select(F.col("label").cast("double").alias("label"), gram_buckets(host, path).alias("buckets"))
     n = rows.count()
     weights, intercept, speed, push = [0.0] * BUCKETS, 0.0, [0.0] * BUCKETS, 0.0
     for _ in range(STEPS):
@@ -121,5 +126,5 @@ RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights, intercept = fit(spark.createDataFrame(training_urls(), "url string, label int"))
+    weights, intercept = fit(training_table(spark))
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES, weights, intercept)
