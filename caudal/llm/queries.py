@@ -1,12 +1,14 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from . import chat_formatting, packing, quality, url_filters, warc
+from . import chat_formatting, html_text, packing, quality, toxicity, url_filters, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
+        html_text.op2_html_text,
         warc.op3_warc,
         quality.op6_quality,
+        toxicity.op7_toxicity,
         url_filters.op8_url_filter,
         packing.op9_packing,
         chat_formatting.op10_chat_format,
