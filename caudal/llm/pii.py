@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches
+from .shared import small_batches, smallest
 from .tagger import KINDS, PAD, Tagger, classes
 
 TRAIN_DOCS, STEPS = 4000, 220
@@ -228,7 +228,7 @@ def training_windows(texts: list[str], seed: int = 3, made: int = 2600) -> tuple
 
 def fit(docs: DataFrame) -> Tagger:
     """Trains a tagger; only windows of the sampled documents that hold a digit or at sign come to the driver, and short ends of others."""
-    chosen = docs.filter("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64(F.lit(4), "doc_id"), "doc_id").limit(TRAIN_DOCS)
+    chosen = smallest(docs.select("doc_id"), "doc_id", 4, TRAIN_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -53,3 +54,16 @@ def small_batches(spark: SparkSession, records: int = 1000) -> None:
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def smallest(df: DataFrame, key: str, salt: int, most: int) -> DataFrame:
+    """At most so many rows of df, those of the smallest salted hash of key (ties by all columns); null keys are left out.
+
+    A threshold on the hash, set from the row count, comes first, so that no task hands the driver much more than its share.
+    """
+    known = df.filter(F.col(key).isNotNull())
+    share = min(1.0, 4 * most / max(1, known.count()))
+    hashed = F.xxhash64(F.lit(salt), key)
+    if share < 1:
+        known = known.filter(F.pmod(hashed, F.lit(1 << 30)) < int(share * (1 << 30)))
+    return known.orderBy(F.pmod(hashed, F.lit(1 << 30)), *sorted(df.columns)).limit(most)

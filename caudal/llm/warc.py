@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_folder, small_batches, table
+from .shared import shared_folder, small_batches, smallest, table
 
 #: Magic number of the skippable frame that holds a dictionary, by the public WARC/zstd proposal.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -40,8 +40,10 @@ HEADER_LIMIT = 1 << 20
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from at most SAMPLE_PAGES pages (those of the smallest hash), SAMPLE_BYTES of each; empty if they are too few."""
-    rows = pages.orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES).select(F.encode(F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES), "UTF-8")).collect()
-    samples = [bytes(r[0]) for r in rows if r[0]]
+    chosen = smallest(pages.select("page_id"), "page_id", 8, SAMPLE_PAGES)
+    start = F.encode(F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES), "UTF-8")
+    rows = pages.join(F.broadcast(chosen), "page_id", "left_semi").select(start.alias("start")).collect()
+    samples = sorted(bytes(r.start) for r in rows if r.start)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 16 else b""
     except zstandard.ZstdError:
@@ -182,7 +184,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
         if held:
             yield _batch(held, schema)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, RECORDS)
+    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(run, RECORDS)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
