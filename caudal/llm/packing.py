@@ -11,6 +11,7 @@ rows; extra columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,33 +24,84 @@ from .shared import small_batches, table
 from .textkit import utf8
 
 CAPACITY, END, GROUP_PIECES = 4096, 2, 8192
-CACHED_WORDS = 400_000
+CACHED_WORDS, CACHED_CHUNKS = 500_000, 300_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+#: ASCII punctuation (but no apostrophe, which starts contractions) around a run of letters.
+PUNCTUATED = re.compile(rb"([!-&(-/:-@\[-`{-~]*)([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordCache:
-    """Ids of texts by a tokenizer that never joins what white space separates: each distinct word is encoded once."""
+    """Ids of texts by a tokenizer that never joins what white space separates, nor letters with punctuation.
+
+    Each distinct word, without the punctuation around it, is encoded once; many words at a time, as one text,
+    which is parted again after the ids that end a word (marked by `</w>` in the vocabulary).
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.ids: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.chunks: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Words of letters only: each ends in one id that ends a word."""
+        for at in range(0, len(words), 200):
+            part = words[at : at + 200]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer does not end each word with one id")
+            raw, last = ids.tobytes(), 0
+            for word, end in zip(part, ends.tolist(), strict=True):
+                self.words[word] = raw[4 * last : 4 * end]
+                last = end
+
+    def _whole(self, chunks: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
+        self.chunks.update((c, np.array(x.ids, "<u4").tobytes()) for c, x in zip(chunks, found, strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each UTF-8 text its ids as little-endian unsigned 32-bit numbers."""
         split = [t.split() for t in texts]
-        known = self.ids
-        missing = list({w for ws in split for w in ws if w not in known})
-        if len(known) + len(missing) > CACHED_WORDS:
-            known.clear()
-            missing = list({w for ws in split for w in ws})
-        for at in range(0, len(missing), 10_000):
-            part = missing[at : at + 10_000]
-            found = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            known.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(part, found, strict=True))
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        missing = {c for cs in split for c in cs if c not in self.chunks}
+        if len(self.chunks) + len(missing) > CACHED_CHUNKS:
+            self.chunks.clear()
+            missing = {c for cs in split for c in cs}
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+        parted, whole = [], []
+        for c in missing:
+            m = PUNCTUATED.fullmatch(c.lower())
+            if m and (m[2].isalpha() or ((core := m[2].decode()).isalpha() and core.lower().isalpha())):
+                parted.append((c, m[1], m[2], m[3]))
+            else:
+                whole.append(c)
+        self._learn(list({p[2] for p in parted if p[2] not in self.words}))
+        marks = {p for x in parted for p in (x[1], x[3]) if p and p not in self.chunks}
+        for at in range(0, len(rest := [*whole, *marks]), 5000):
+            self._whole(rest[at : at + 5000])
+        chunks, words = self.chunks, self.words
+        chunks[b""] = b""
+        for c, before, core, after in parted:
+            chunks[c] = chunks[before] + words[core] + chunks[after]
+        return [b"".join(map(chunks.__getitem__, cs)) for cs in split]
+
+
+CACHES: dict[str, WordCache] = {}
+
+
+def word_cache(path: str) -> WordCache:
+    """One for each tokenizer file and worker process: later tasks of a reused worker find most words known."""
+    if path not in CACHES:
+        CACHES[path] = WordCache(path)
+    return CACHES[path]
 
 
 def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -59,7 +111,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = EN
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(path)
+        cache = word_cache(path)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             raw, rows = data.tobytes(), []
