@@ -1,10 +1,11 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from . import chat_formatting, html_text, packing, pii, quality, toxicity, url_filters, warc
+from . import chat_formatting, html_text, ngram_join, packing, pii, quality, toxicity, url_filters, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
+        ngram_join.op1_ngram_join,
         html_text.op2_html_text,
         warc.op3_warc,
         pii.op4_pii,
