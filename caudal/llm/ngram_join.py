@@ -350,5 +350,22 @@ def linked(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "node", "n_shingles").join(names, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs, all columns as they are, with the smallest doc_id of each group of linked documents; rows of one doc_id count once.
+
+    Rows without doc_id stay.
+    """
+    found = table(linked(spark, docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "linked")
+    gone = found.filter("component_id <> doc_id").select("doc_id")
+    few = gone.count() <= MAX_BROADCAST
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    again = found.filter("rows > 1 AND component_id = doc_id").select("doc_id")
+    if not (n := again.count()):
+        return kept
+    again = F.broadcast(again) if n <= MAX_BROADCAST else again
+    once = kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from . import chat_formatting, html_text, ngram_join, packing, pii, quality, toxicity, url_filters, warc
+from . import chat_formatting, decontamination, html_text, ngram_join, packing, pii, quality, toxicity, url_filters, warc
 
 QUERIES = {
     f.__name__: f
@@ -9,6 +9,7 @@ QUERIES = {
         html_text.op2_html_text,
         warc.op3_warc,
         pii.op4_pii,
+        decontamination.op5_decontamination,
         quality.op6_quality,
         toxicity.op7_toxicity,
         url_filters.op8_url_filter,
