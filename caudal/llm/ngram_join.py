@@ -10,8 +10,9 @@
    coordinates' minima bounds the overlap. Within a bucket the points are indexed in an R-tree, and a join of the tree
    with itself drops pairs of subtrees whose boxes bound the overlap below what SHARE needs.
 4. Surviving pairs are verified on the whole sets. First only pairs with the most central point of each bucket
-   are verified; then, of the buckets whose nodes are not all connected yet, the pairs across components. A large group
-   of near copies so costs rows in proportion to its size, and no link between different components is lost.
+   are verified, one pair for each node and then those still across components; then, of the buckets whose nodes are
+   not all connected yet, the pairs across components. A large group of near copies so costs rows in proportion to its
+   size, and no link between different components is lost.
 
 Buckets over BLOCK nodes are dealt in blocks and all pairs of blocks, each its own unit of work.
 
@@ -314,23 +315,65 @@ def candidates(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return keyed.repartition("bucket", "block", "other").sortWithinPartitions("bucket", "block", "other", "n_shingles", "rep").mapInArrow(run, PAIRS).distinct()
 
 
+def fine_point(values: np.ndarray) -> bytes:
+    """Group counts of a set in a quarter to half as many groups as it has shingles (GROUPS at least), after a byte that tells their width."""
+    bits = max(GROUPS.bit_length() - 1, (len(values) // 2).bit_length() - 1)
+    counts = np.bincount((mix(values) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    kind = 1 if counts.max(initial=0) < 256 else 4
+    return bytes([kind]) + counts.astype(f"<u{kind}").tobytes()
+
+
+def may_link(x: bytes, y: bytes) -> bool:
+    """Whether the minima of two fine points, summed over the coarser grouping of the two, allow the similarity."""
+    a, b = (np.frombuffer(z, f"<u{z[0]}", offset=1).astype(np.int64) for z in (x, y))
+    least = min(len(a), len(b))
+    a, b = a.reshape(least, -1).sum(1), b.reshape(least, -1).sum(1)
+    return (100 + SHARE) * np.minimum(a, b).sum() >= SHARE * (a.sum() + b.sum())
+
+
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (x, y of doc_id) whose whole sets are similar enough. pairs: a table."""
+    """The pairs (x, y of doc_id) whose whole sets are similar enough. pairs: a table.
+
+    Whole sets are moved only for pairs that the bound on fine points lets through: in long documents the
+    coarse points of the tree are too even to tell two of them apart.
+    """
     ids = table(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "wanted")
     few = ids.count() <= MAX_BROADCAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, values, places in shingle_sets(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists(values.view(np.int64), places, pa.int64())], ["doc_id", "shingles"])
+                fine = [fine_point(values[i:j]) for i, j in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists(values.view(np.int64), places, pa.int64()), pa.array(fine, pa.binary())], ["doc_id", "shingles", "fine"])
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = [may_link(x, y) for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+            yield batch.select(["x", "y"]).filter(pa.array(fits, pa.bool_()))
 
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = table(texts.mapInArrow(run, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
-    both = pairs.join(sets.toDF("x", "a"), "x").join(sets.toDF("y", "b"), "y")
+    sets = table(texts.mapInArrow(run, "doc_id long, shingles array<long>, fine binary").dropDuplicates(["doc_id"]), "sets")
+    points = sets.select("doc_id", "fine")
+    open_ = table(pairs.join(points.toDF("x", "a"), "x").join(points.toDF("y", "b"), "y").select("x", "y", "a", "b").mapInArrow(bound, PAIRS), "bounded")
+    whole = sets.select("doc_id", "shingles")
+    both = open_.join(whole.toDF("x", "a"), "x").join(whole.toDF("y", "b"), "y")
     common = F.size(F.array_intersect("a", "b"))
     return both.select("x", "y", common.alias("common"), (F.size("a") + F.size("b") - common).alias("all")).filter(f"100 * common >= {SHARE} * all").select("x", "y")
 
 
+def grouped(links: DataFrame) -> DataFrame:
+    """node, component of the nodes in links (x, y)."""
+    return table(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "components")
+
+
+def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose nodes are not in one component yet."""
+    named = pairs
+    for end in ("x", "y"):
+        named = named.join(labels.toDF(end, f"of_{end}"), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    return named.filter("of_x <> of_y").select("x", "y")
+
+
 def linked(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
     small_batches(spark)
@@ -342,10 +385,12 @@ def linked(spark: SparkSession, docs: DataFrame) -> DataFrame:
     points = found.filter("counts IS NOT NULL").dropDuplicates(["node"]).select("node", "n_shingles", "counts").join(reps, "node")
     members = table(buckets(found).join(points, "node").select("bucket", "size", "rep", "n_shingles", "counts"), "members")
     small_batches(spark, 2000)
-    links = table(verified(docs, table(candidates(members, None), "pairs")), "links")
-    first = table(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "components")
+    stars = table(candidates(members, None), "pairs")
+    links = table(verified(docs, table(stars.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "pairs")), "links")
+    links = table(links.union(verified(docs, table(across(stars, grouped(links)), "pairs"))), "links")
+    first = grouped(links)
     more = table(verified(docs, table(candidates(members, first), "pairs")), "links")
-    whole = components(links.union(more).select(F.col("x").alias("u"), F.col("y").alias("v")))
+    whole = grouped(links.union(more))
     names = reps.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
     return found.select("doc_id", "node", "n_shingles").join(names, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
