@@ -38,7 +38,7 @@ from .textkit import LOWER, distinct, lists, mix, parts, shingles, span_hashes,
 
 WIDTH, SHARE = 5, 80  # words, per cent
 FREQUENT, CHUNK = 2000, 6_000_000
-GROUPS, LEAF, BLOCK = 128, 32, 8192
+GROUPS, MOST_GROUPS, LEAF, BLOCK = 128, 1024, 32, 8192
 MAX_BROADCAST = 500_000
 
 
@@ -106,7 +106,7 @@ def prefixes(values: np.ndarray, places: np.ndarray, frequent: np.ndarray, ranks
     return np.concatenate(kept) if kept else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-NODES = "doc_id long, node long, n_shingles long, counts binary, prefix array<long>"
+NODES = "doc_id long, node long, n_shingles long, counts binary, prefix array<long>, fine binary"
 
 
 def nodes(docs: DataFrame, frequent: np.ndarray, ranks: np.ndarray) -> DataFrame:
@@ -139,8 +139,9 @@ def nodes(docs: DataFrame, frequent: np.ndarray, ranks: np.ndarray) -> DataFrame
                         pa.array(sizes),
                         pa.array([points[i].astype("<u4" if points[i].max() > 65535 else "<u2").tobytes() if new[i] else None for i in range(len(sizes))], pa.binary()),
                         pa.array([tokens[firsts[i] : firsts[i + 1]].view(np.int64) if new[i] else None for i in range(len(sizes))], pa.list_(pa.int64())),
+                        pa.array([fine_point(values[places[i] : places[i + 1]], MOST_GROUPS) if new[i] else None for i in range(len(sizes))], pa.binary()),
                     ],
-                    ["doc_id", "node", "n_shingles", "counts", "prefix"],
+                    ["doc_id", "node", "n_shingles", "counts", "prefix", "fine"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, NODES)
@@ -267,21 +268,22 @@ def star_pairs(points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
 PAIRS = "x long, y long"
 
 
-def candidates(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+def candidates(members: DataFrame, labels: DataFrame | None, fine: DataFrame | None = None) -> DataFrame:
     """Distinct pairs (x < y) of nodes to verify. members: bucket, rep, size, n_shingles, counts.
 
-    Without labels the stars of the buckets (or of their blocks); with labels (node, component) all pairs across components.
+    Without labels the stars of the buckets (or of their blocks); with labels (node, component) all pairs across components
+    that the fine points (rep, fine) allow too.
     """
     many = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = members.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "rep"), many).cast("int"))
     if labels is None:
-        keyed = dealt.select("bucket", "block", F.col("block").alias("other"), "block", F.col("rep"), "n_shingles", F.lit(0).cast("long").alias("label"), "counts")
+        keyed = dealt.select("bucket", "block", F.col("block").alias("other"), "block", F.col("rep"), "n_shingles", F.lit(0).cast("long").alias("label"), "counts", F.lit(None).cast("binary"))
     else:
         named = dealt.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
         split = named.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("bucket")
-        opened = named.join(split, "bucket", "left_semi").withColumn("with", F.explode(F.sequence(F.lit(0), many - 1)))
-        keyed = opened.select("bucket", F.least("block", "with").alias("block"), F.greatest("block", "with").alias("other"), F.col("block").alias("own"), "rep", "n_shingles", "label", "counts")
-    keyed = keyed.toDF("bucket", "block", "other", "own", "rep", "n_shingles", "label", "counts")
+        opened = named.join(split, "bucket", "left_semi").join(fine, "rep").withColumn("with", F.explode(F.sequence(F.lit(0), many - 1)))
+        keyed = opened.select("bucket", F.least("block", "with").alias("block"), F.greatest("block", "with").alias("other"), F.col("block").alias("own"), "rep", "n_shingles", "label", "counts", "fine")
+    keyed = keyed.toDF("bucket", "block", "other", "own", "rep", "n_shingles", "label", "counts", "fine")
     star = labels is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +292,11 @@ def candidates(members: DataFrame, labels: DataFrame | None) -> DataFrame:
             starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
             ends = np.concatenate([starts[1:], [keys.shape[1]]])
             own, rep, size, label = (rows.column(k).to_numpy() for k in range(3, 7))
-            points, out = _points(rows.column(7)), []
+            points, close, out = _points(rows.column(7)), rows.column(8).to_pylist(), []
+
+            def fits(i: np.ndarray, j: np.ndarray, close=close) -> np.ndarray:
+                return np.array([may_link(close[p], close[q]) for p, q in zip(i.tolist(), j.tolist(), strict=True)], bool)
+
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 if e - s < 2:
                     continue
@@ -301,12 +307,12 @@ def candidates(members: DataFrame, labels: DataFrame | None) -> DataFrame:
                 if keys[1, s] == keys[2, s]:
                     tree = CountTree(points[s:e], size[s:e])
                     pairs = tree_join(tree, tree, label[s:e], label[s:e])
-                    out += [(rep[s:e][i], rep[s:e][j]) for i, j in pairs]
+                    out += [(rep[s + i[ok]], rep[s + j[ok]]) for i, j in pairs if len(i) and (ok := fits(s + i, s + j)).any()]
                 else:
                     left, right = s + np.flatnonzero(own[s:e] == keys[1, s]), s + np.flatnonzero(own[s:e] != keys[1, s])
                     if len(left) and len(right):
                         pairs = tree_join(CountTree(points[left], size[left]), CountTree(points[right], size[right]), label[left], label[right])
-                        out += [(rep[left][i], rep[right][j]) for i, j in pairs]
+                        out += [(rep[left[i[ok]]], rep[right[j[ok]]]) for i, j in pairs if len(i) and (ok := fits(left[i], right[j])).any()]
             if out:
                 x, y = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
                 both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
@@ -315,9 +321,9 @@ def candidates(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return keyed.repartition("bucket", "block", "other").sortWithinPartitions("bucket", "block", "other", "n_shingles", "rep").mapInArrow(run, PAIRS).distinct()
 
 
-def fine_point(values: np.ndarray) -> bytes:
-    """Group counts of a set in a quarter to half as many groups as it has shingles (GROUPS at least), after a byte that tells their width."""
-    bits = max(GROUPS.bit_length() - 1, (len(values) // 2).bit_length() - 1)
+def fine_point(values: np.ndarray, most: int = 1 << 30) -> bytes:
+    """Group counts of a set in a quarter to half as many groups as it has shingles (GROUPS at least, most at most), after a byte that tells their width."""
+    bits = max(GROUPS.bit_length() - 1, min(most, len(values) // 2).bit_length() - 1)
     counts = np.bincount((mix(values) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     kind = 1 if counts.max(initial=0) < 256 else 4
     return bytes([kind]) + counts.astype(f"<u{kind}").tobytes()
@@ -389,7 +395,8 @@ def linked(spark: SparkSession, docs: DataFrame) -> DataFrame:
     links = table(verified(docs, table(stars.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "pairs")), "links")
     links = table(links.union(verified(docs, table(across(stars, grouped(links)), "pairs"))), "links")
     first = grouped(links)
-    more = table(verified(docs, table(candidates(members, first), "pairs")), "links")
+    fine = found.filter("fine IS NOT NULL").dropDuplicates(["node"]).select("node", "fine").join(reps, "node").select("rep", "fine")
+    more = table(verified(docs, table(candidates(members, first, fine), "pairs")), "links")
     whole = grouped(links.union(more))
     names = reps.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
     return found.select("doc_id", "node", "n_shingles").join(names, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
