@@ -8,7 +8,7 @@ from caudal.operators import commerce, learning, relational
 from caudal.sources.tables import moment
 
 DAY = lambda n: dt.datetime(2024, 1, n)
-SALES = "id long, ts timestamp_ntz, amount decimal(18,2), buyer long, plan string"
+SALES = "id long, ts timestamp_ntz, amount double, buyer long, plan string"
 
 
 def rows(spark, data, shape):
@@ -18,12 +18,12 @@ def rows(spark, data, shape):
 def test_kpis_of_no_rows_and_null_buyers(spark):
     none = commerce.kpis(rows(spark, [], SALES)).first()
     assert (none.revenue, none.sales, none.ticket, none.buyers) == (0.0, 0, 0, 0)
-    some = commerce.kpis(rows(spark, [(1, DAY(1), 1, None, "a"), (2, DAY(1), 4, 7, "a")], SALES)).first()
+    some = commerce.kpis(rows(spark, [(1, DAY(1), 1.0, None, "a"), (2, DAY(1), 4.0, 7, "a")], SALES)).first()
     assert (some.revenue, some.ticket, some.buyers) == (5.0, 2, 1)
 
 
 def test_variation_is_null_without_previous_revenue(spark):
-    sales = rows(spark, [(1, DAY(9), 5, 1, "a")], SALES)
+    sales = rows(spark, [(1, DAY(9), 5.0, 1, "a")], SALES)
     assert commerce.variation(sales, moment("2024-01-01"), moment("2024-01-05"), moment("2024-01-10")).first().variation is None
 
 
