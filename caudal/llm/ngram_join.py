@@ -14,7 +14,9 @@
    not all connected yet, the pairs across components. A large group of near copies so costs rows in proportion to its
    size, and no link between different components is lost.
 
-Buckets over BLOCK nodes are dealt in blocks and all pairs of blocks, each its own unit of work.
+Buckets over BLOCK nodes are dealt in blocks and all pairs of blocks, each its own unit of work. Buckets with the same
+smallest node (mostly those of one shared passage) go to one task, which tells a pair that meets in many of them once;
+where they have over BLOCK rows together, they are split by bucket.
 
 Hashes have 64 bits: two different shingles or sets are taken for equal with a chance of about 5e-20 a pair.
 
@@ -38,7 +40,7 @@ from .textkit import LOWER, distinct, lists, mix, parts, shingles, span_hashes,
 
 WIDTH, SHARE = 5, 80  # words, per cent
 FREQUENT, CHUNK = 2000, 6_000_000
-GROUPS, MOST_GROUPS, LEAF, BLOCK = 128, 1024, 32, 8192
+GROUPS, MOST_GROUPS, LEAF, BLOCK, HELD_PAIRS = 128, 1024, 32, 8192, 200_000
 MAX_BROADCAST = 500_000
 
 
@@ -165,7 +167,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def buckets(found: DataFrame) -> DataFrame:
-    """bucket, node, size of each bucket of two nodes or more; buckets with the same nodes count once in a task."""
+    """bucket, node, size, lead (its smallest node) of each bucket of two nodes or more; buckets with the same nodes count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -186,10 +188,18 @@ def buckets(found: DataFrame) -> DataFrame:
                 seen.clear()
             if keep.any():
                 mask = np.repeat(keep, sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)[mask]), pa.array(node[mask]), pa.array(np.repeat(sizes, sizes)[mask])], ["bucket", "node", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)[mask]), pa.array(node[mask]), pa.array(np.repeat(sizes, sizes)[mask]), pa.array(np.repeat(node[starts], sizes)[mask])], ["bucket", "node", "size", "lead"])
 
     exploded = found.filter("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "node")
-    return exploded.repartition("token").sortWithinPartitions("token", "node").mapInArrow(run, "bucket long, node long, size long").distinct()
+    return exploded.repartition("token").sortWithinPartitions("token", "node").mapInArrow(run, "bucket long, node long, size long, lead long").distinct()
+
+
+def with_deal(members: DataFrame) -> DataFrame:
+    """members (a table) with deal, equal for the buckets that one task takes: those of a lead, or a part of them if they have over BLOCK rows."""
+    heavy = table(members.groupBy("lead").agg(F.count("*").alias("rows")).filter(F.col("rows") > BLOCK), "heavy")
+    few = heavy.count() <= MAX_BROADCAST
+    part = F.pmod(F.xxhash64(F.lit(2), "bucket"), F.ceil(F.coalesce("rows", F.lit(1)) / BLOCK))
+    return members.join(F.broadcast(heavy) if few else heavy, "lead", "left").withColumn("deal", F.xxhash64("lead", part)).drop("lead", "rows")
 
 
 def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -269,7 +279,7 @@ PAIRS = "x long, y long"
 
 
 def candidates(members: DataFrame, labels: DataFrame | None, fine: DataFrame | None = None) -> DataFrame:
-    """Distinct pairs (x < y) of nodes to verify. members: bucket, rep, size, n_shingles, counts.
+    """Distinct pairs (x < y) of nodes to verify. members: bucket, rep, size, n_shingles, counts, deal.
 
     Without labels the stars of the buckets (or of their blocks); with labels (node, component) all pairs across components
     that the fine points (rep, fine) allow too.
@@ -277,16 +287,17 @@ def candidates(members: DataFrame, labels: DataFrame | None, fine: DataFrame | N
     many = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = members.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "rep"), many).cast("int"))
     if labels is None:
-        keyed = dealt.select("bucket", "block", F.col("block").alias("other"), "block", F.col("rep"), "n_shingles", F.lit(0).cast("long").alias("label"), "counts", F.lit(None).cast("binary"))
+        keyed = dealt.select("bucket", "block", F.col("block").alias("other"), "block", F.col("rep"), "n_shingles", F.lit(0).cast("long").alias("label"), "counts", F.lit(None).cast("binary"), "deal")
     else:
         named = dealt.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
         split = named.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("bucket")
         opened = named.join(split, "bucket", "left_semi").join(fine, "rep").withColumn("with", F.explode(F.sequence(F.lit(0), many - 1)))
-        keyed = opened.select("bucket", F.least("block", "with").alias("block"), F.greatest("block", "with").alias("other"), F.col("block").alias("own"), "rep", "n_shingles", "label", "counts", "fine")
-    keyed = keyed.toDF("bucket", "block", "other", "own", "rep", "n_shingles", "label", "counts", "fine")
+        keyed = opened.select("bucket", F.least("block", "with").alias("block"), F.greatest("block", "with").alias("other"), F.col("block").alias("own"), "rep", "n_shingles", "label", "counts", "fine", "deal")
+    keyed = keyed.toDF("bucket", "block", "other", "own", "rep", "n_shingles", "label", "counts", "fine", "deal")
     star = labels is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[int, int]] = set()
         for rows in _runs(batches, 3):
             keys = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in range(3)])
             starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
@@ -316,9 +327,15 @@ def candidates(members: DataFrame, labels: DataFrame | None, fine: DataFrame | N
             if out:
                 x, y = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
                 both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["x", "y"])
+                pairs = list(zip(*both.tolist(), strict=True))
+                new = np.array([pair not in told for pair in pairs], bool)
+                told.update(pairs)
+                if len(told) > HELD_PAIRS:
+                    told.clear()
+                if new.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(both[0][new]), pa.array(both[1][new])], ["x", "y"])
 
-    return keyed.repartition("bucket", "block", "other").sortWithinPartitions("bucket", "block", "other", "n_shingles", "rep").mapInArrow(run, PAIRS).distinct()
+    return keyed.repartition("deal", "block", "other").sortWithinPartitions("deal", "bucket", "block", "other", "n_shingles", "rep").mapInArrow(run, PAIRS).distinct()
 
 
 def fine_point(values: np.ndarray, most: int = 1 << 30) -> bytes:
@@ -389,7 +406,8 @@ def linked(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # Columns of fixed size only: a class of copies is reduced to its smallest doc_id before any join.
     reps = table(found.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
     points = found.filter("counts IS NOT NULL").dropDuplicates(["node"]).select("node", "n_shingles", "counts").join(reps, "node")
-    members = table(buckets(found).join(points, "node").select("bucket", "size", "rep", "n_shingles", "counts"), "members")
+    members = table(buckets(found).join(points, "node").select("bucket", "size", "lead", "rep", "n_shingles", "counts"), "members")
+    members = with_deal(members)
     small_batches(spark, 2000)
     stars = table(candidates(members, None), "pairs")
     links = table(verified(docs, table(stars.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "pairs")), "links")
