@@ -102,3 +102,26 @@ def top(rows: DataFrame, key: str, n: int) -> DataFrame:
 def by_last(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     """The last n rows of each key."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order), F.desc("id")))).filter(F.col("place") <= n)
+
+
+def cheapest_packs(needs: DataFrame, need: str, packs: dict[int, int], most: int = 100_000) -> DataFrame:
+    """needs with the least cost of packs (size: price) that cover each need, and the least number of units at that cost.
+
+    The greatest need, at most `most`, bounds the table of costs, which one small helper fills and Spark broadcasts.
+    """
+    top = needs.agg(F.max(need)).first()[0]
+    if top is not None and top > most:
+        raise ValueError(f"needs over {most} are beyond the table")
+    end = max(0, int(top or 0)) + max(packs)
+    cost: list[float] = [0] + [float("inf")] * end
+    for total in range(1, end + 1):
+        cost[total] = min((cost[total - size] + price for size, price in packs.items() if size <= total), default=float("inf"))
+    best = [min((cost[total], total) for total in range(n, n + max(packs))) for n in range(end - max(packs) + 1)]
+    told = needs.sparkSession.createDataFrame([(n, int(c), t) for n, (c, t) in enumerate(best)], f"{need} long, cost long, units long")
+    return needs.join(F.broadcast(told), need, "left")
+
+
+def prices(rows: DataFrame, price: str, discount: str) -> DataFrame:
+    """rows with the price after a discount in per cent, rounded half to even and half up, and raised to the next ten."""
+    exact = F.round(F.col(price) * 100).cast("long") * (100 - F.col(discount)) / F.lit(10000.0)
+    return rows.withColumns({"half_even": F.bround(exact).cast("long"), "half_up": F.round(exact).cast("long"), "tens": F.ceil(exact / 10) * 10})

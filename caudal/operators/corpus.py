@@ -39,3 +39,15 @@ def shared_terms(topics: DataFrame, docs: DataFrame, topic_id: str, doc_id: str,
 def cosine(x: Column, y: Column) -> Column:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
+
+
+def coverage(topics: DataFrame, shares: DataFrame, topic_id: str, solid: float) -> DataFrame:
+    """topic, best share and class: solid, weak or uncovered."""
+    best = topics.select(topic_id).join(shares.groupBy(topic_id).agg(F.max("share").alias("best")), topic_id, "left")
+    return best.withColumn("coverage", F.when(F.col("best") >= solid, "solid").when(F.col("best") > 0, "weak").otherwise("uncovered"))
+
+
+def short_of_median(rows: DataFrame, group: str, size: str, share: float) -> DataFrame:
+    """rows with `visual` for those whose size is under that share of their group's median, else `text`; equal sizes combine before the shuffle."""
+    middle = rows.groupBy(group).agg(F.percentile(size, F.lit(0.5)).alias("middle"))
+    return rows.join(middle, group).withColumn("kind", F.when(F.col(size) < share * F.col("middle"), "visual").otherwise("text")).drop("middle")

@@ -53,3 +53,45 @@ def upsert_actions(old: DataFrame, new: DataFrame, key: str, value: str) -> Data
     both = old.select(key, F.col(value).alias("was"), F.lit(True).alias("old")).join(new.select(key, F.col(value).alias("is"), F.lit(True).alias("new")), key, "full")
     action = F.when(F.col("old").isNull(), "create").when(F.col("new").isNull(), "delete").when(F.col("was").eqNullSafe(F.col("is")), "keep").otherwise("update")
     return both.select(key, action.alias("action"))
+
+
+def childless(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
+    """Parents without a child row; an anti join, so nothing is counted first."""
+    return parents.join(children.select(key), key, "left_anti").select(parents.columns)
+
+
+def by_any_path(rows: DataFrame, key: str, *paths: DataFrame) -> DataFrame:
+    """Rows whose key at least one of the paths reaches, each once."""
+    reached = paths[0].select(key)
+    for path in paths[1:]:
+        reached = reached.unionByName(path.select(key))
+    return rows.join(reached, key, "left_semi").select(rows.columns)
+
+
+def contained(probes: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
+    """Probes (key, ts, ...) that lie in an interval (start, end) of their key, ends included.
+
+    Intervals of a key are merged first; then the last one that starts before a probe decides, so no range join is needed.
+    """
+    islands = merge_intervals(intervals, key).select(key, F.col("start").alias("ts"), "end")
+    return asof(probes, islands, key, "end").filter(F.col("ts") <= F.col("end")).select(probes.columns)
+
+
+def systematic(rows: DataFrame, group: str, id_: str, step: int, most: int) -> DataFrame:
+    """Every step-th row of each group by id, at most so many; the bound on the place lets tasks drop the rest before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(id_))
+    numbered = rows.withColumn("place", place).filter(F.col("place") <= step * most)
+    return numbered.filter((F.col("place") - 1) % step == 0)
+
+
+def steps(facts: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Facts whose value differs from the one before, with that one."""
+    before = F.lag(value).over(Window.partitionBy(key).orderBy(order))
+    return facts.withColumn("previous", before).filter(~F.col(value).eqNullSafe(F.col("previous")))
+
+
+def gapless(rows: DataFrame, key: str, place: str) -> DataFrame:
+    """key, parts and whether its places run from 1 without gap or repetition; an aggregate, no order needed."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("parts"), F.countDistinct(place).alias("kinds"), F.min(place).alias("low"), F.max(place).alias("high"))
+    whole = (F.col("low") == 1) & (F.col("high") == F.col("parts")) & (F.col("kinds") == F.col("parts"))
+    return sizes.select(key, "parts", whole.alias("gapless"))

@@ -274,6 +274,97 @@ def stream_daily_attempts(spark, sf):
     return attempts.daily(spark, sf)
 
 
+@query("SELECT c_custkey AS buyer, c_nationkey AS school FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= '2001-01-01')")
+def left_count_zero(spark, sf):
+    late = read(spark, sf, "orders").filter(F.col("o_orderdate") >= moment("2001-01-01")).select(F.col("o_custkey").alias("buyer"))
+    return relational.childless(buyers(spark, sf).select("buyer", "school"), late, "buyer")
+
+
+@query("SELECT c_custkey AS buyer FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate >= '2001-07-01') OR c_acctbal > 9000")
+def multi_path_semi(spark, sf):
+    people = read(spark, sf, "customer").select(F.col("c_custkey").alias("buyer"), F.col("c_nationkey").alias("n_nationkey"), "c_acctbal")
+    near = people.join(read(spark, sf, "nation").filter("n_regionkey = 2"), "n_nationkey", "left_semi")
+    late = read(spark, sf, "orders").filter(F.col("o_orderdate") >= moment("2001-07-01")).select(F.col("o_custkey").alias("buyer"))
+    return relational.by_any_path(people.select("buyer"), "buyer", near, late, people.filter("c_acctbal > 9000"))
+
+
+@query(f"WITH {INTERVALS}, p AS (SELECT l_suppkey AS owner, o_orderdate AS ts, l_orderkey AS id, l_linenumber AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate >= '2001-01-01') SELECT * FROM p WHERE EXISTS (SELECT 1 FROM i WHERE i.owner = p.owner AND p.ts >= i.start AND p.ts <= i.\"end\")")
+def range_containment(spark, sf):
+    late = read(spark, sf, "orders").filter(F.col("o_orderdate") >= moment("2001-01-01")).select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"))
+    lines = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("owner"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"))
+    return relational.contained(lines.join(late, "id").select("owner", "ts", "id", "line"), validity(spark, sf), "owner")
+
+
+@query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents QUALIFY place <= 30 AND (place - 1) % 3 = 0")
+def systematic(spark, sf):
+    return relational.systematic(read(spark, sf, "documents").select("source", "doc_id"), "source", "doc_id", 3, 10)
+
+
+@query("WITH f AS (SELECT l_partkey AS part, l_shipdate AS ts, max(l_extendedprice / l_quantity) AS price FROM lineitem GROUP BY 1, 2), s AS (SELECT *, lag(price) OVER (PARTITION BY part ORDER BY ts) AS previous FROM f) SELECT * FROM s WHERE price IS DISTINCT FROM previous")
+def price_steps(spark, sf):
+    lines = read(spark, sf, "lineitem")
+    facts = lines.groupBy(F.col("l_partkey").alias("part"), F.col("l_shipdate").alias("ts")).agg(F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    return relational.steps(facts, "part", "ts", "price")
+
+
+@query("SELECT l_orderkey AS id, count(*) AS parts, min(l_linenumber) = 1 AND max(l_linenumber) = count(*) AND count(DISTINCT l_linenumber) = count(*) AS gapless FROM lineitem GROUP BY 1")
+def range_order(spark, sf):
+    return relational.gapless(read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line")), "id", "line")
+
+
+@query("WITH d AS (SELECT DISTINCT l_quantity::BIGINT AS need FROM lineitem), c AS (SELECT need, a * 30 + b * 130 + c * 400 AS cost, a + b * 5 + c * 20 AS units FROM d, range(0, 51) x(a), range(0, 12) y(b), range(0, 5) z(c) WHERE a + b * 5 + c * 20 >= need), m AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY need ORDER BY cost, units) = 1) SELECT l_orderkey AS id, l_linenumber AS line, need, cost, units FROM lineitem JOIN m ON l_quantity::BIGINT = need")
+def pack_recommendation(spark, sf):
+    needs = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("long").alias("need"))
+    return commerce.cheapest_packs(needs, "need", {1: 30, 5: 130, 20: 400})
+
+
+@query("WITH x AS (SELECT p_partkey, round(p_retailprice * 100)::BIGINT * (100 - p_size) / 10000.0::DOUBLE AS exact, p_size FROM part) SELECT p_partkey, round_even(exact, 0)::BIGINT AS half_even, round(exact)::BIGINT AS half_up, (ceil(exact / 10) * 10)::BIGINT AS tens, ceil(p_size / 7)::BIGINT AS keys FROM x")
+def effective_prices(spark, sf):
+    parts = read(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size")
+    return commerce.prices(parts, "p_retailprice", "p_size").select("p_partkey", "half_even", "half_up", "tens", F.ceil(F.col("p_size") / 7).alias("keys"))
+
+
+@query(f"WITH a AS ({ORACLES['anchoring']}) SELECT item_id, max(share) AS best, CASE WHEN max(share) >= 0.6 THEN 'solid' WHEN max(share) > 0 THEN 'weak' ELSE 'uncovered' END AS coverage FROM benchmark LEFT JOIN a USING (item_id) GROUP BY 1")
+def coverage_classes(spark, sf):
+    return corpus.coverage(read(spark, sf, "benchmark"), anchoring(spark, sf), "item_id", 0.6)
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 0.5::DOUBLE * median(n_chars) OVER (PARTITION BY source) THEN 'visual' ELSE 'text' END AS kind FROM documents")
+def page_class(spark, sf):
+    return corpus.short_of_median(read(spark, sf, "documents").select("doc_id", "source", "n_chars"), "source", "n_chars", 0.5).select("doc_id", "kind")
+
+
+@query("SELECT p_partkey, concat_ws(',', CASE WHEN p_size < 5 THEN 'small' END, CASE WHEN p_retailprice < 1000 THEN 'cheap' END, CASE WHEN p_brand LIKE 'Brand#1%' THEN 'brand' END) AS reasons FROM part WHERE p_size < 5 OR p_retailprice < 1000 OR p_brand LIKE 'Brand#1%'")
+def validity_flags(spark, sf):
+    rules = {"small": F.col("p_size") < 5, "cheap": F.col("p_retailprice") < 1000, "brand": F.col("p_brand").startswith("Brand#1")}
+    reasons = F.concat_ws(",", *(F.when(rule, name) for name, rule in rules.items()))
+    return read(spark, sf, "part").select("p_partkey", reasons.alias("reasons")).filter("reasons <> ''")
+
+
+@query("SELECT CASE event_type WHEN 'purchase' THEN 'Sales' WHEN 'signup' THEN 'Sales' WHEN 'view' THEN 'Reading' ELSE 'General' END AS category, count(*) AS answers FROM events GROUP BY 1")
+def taxonomy(spark, sf):
+    names = F.create_map(*(F.lit(x) for pair in {"purchase": "Sales", "signup": "Sales", "view": "Reading"}.items() for x in pair))
+    category = F.coalesce(F.try_element_at(names, F.col("topic")), F.lit("General"))
+    return answers(spark, sf).groupBy(category.alias("category")).agg(F.count("*").alias("answers"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r]+'))::INT AS words, length(text)::INT AS chars, len(string_split(text, chr(10)))::INT AS lines FROM documents")
+def word_stats(spark, sf):
+    text = F.col("text")
+    return read(spark, sf, "documents").select("doc_id", T.word_count(text).alias("words"), F.length(text).alias("chars"), F.size(F.split(text, "\n")).alias("lines"))
+
+
+@query("WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?]+[.!?]*')) AS x FROM documents) SELECT doc_id, count(*)::INT AS sentences, max(length(x))::INT AS longest FROM s GROUP BY 1")
+def sentence_split(spark, sf):
+    found = T.sentences(F.col("text"))
+    return read(spark, sf, "documents").select("doc_id", F.size(found).alias("sentences"), F.array_max(F.transform(found, F.length)).alias("longest")).filter("sentences > 0")
+
+
+@query("WITH c AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 80 THEN t ELSE regexp_replace(substring(t, 1, 80), ' [^ ]*$', '') || '…' END AS short FROM c")
+def shorten(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", T.shortened(F.col("text"), 80).alias("short"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sales panorama: KPIs, change to the period before, repeat buyers, in one row."""
     parts = [panorama_kpis(spark, sf_dir), panorama_variation(spark, sf_dir).drop("revenue"), repeat_buyers(spark, sf_dir).select("repeaters", "repeat_share")]
