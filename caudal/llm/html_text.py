@@ -1,7 +1,9 @@
 """Main text of web pages, with the templates of each site removed.
 
 A page is cut into blocks and block elements. Elements that are boilerplate by tag, role, class or id are
-left out, and where a page has an article or main element only that is kept. What remains is hashed, subtree
+left out, and where a page has an article or main element only that is kept. Names of class and id count as whole
+words or in known forms (FORMS; a qualifier before a box, as site-footer), never on html, body, headings, article or
+main, nor on an element that holds an article or main. What remains is hashed, subtree
 by subtree; Spark counts for each host on how many different pages a subtree occurs, and subtrees on at least
 MIN_PAGES pages and SHARE of the host's pages are deleted. Copies of a whole page count as one page, so an
 article published many times is not taken for a template.
@@ -32,7 +34,7 @@ from .shared import small_batches, table
 MIN_PAGES, SHARE, MAX_BROADCAST = 6, 0.5, 100_000
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas audio video xmp".split())
+RAW = frozenset("script style noscript template textarea iframe svg object canvas audio video xmp".split())
 DROPPED = frozenset("head title nav footer aside form button select menu dialog noframes fieldset".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NAMES = frozenset(
@@ -41,6 +43,15 @@ NAMES = frozenset(
     "overlay comment comments commentlist respond reply replies disqus related share sharing social newsletter subscribe signup login search "
     "widget widgets pagination pager copyright disclaimer toolbar teaser recommended outbrain taboola skip paywall".split()
 )
+#: A name of several parts is boilerplate if it is a form, or all its parts but the last are qualifiers and the last is a box.
+FORMS = frozenset(
+    "ad-slot ad-unit ad-container ad-wrapper social-links social-icons social-share social-buttons share-buttons share-links share-bar sharing-buttons "
+    "related-posts related-articles related-links related-stories comment-list comment-form comments-list comments-area cookie-notice cookie-consent "
+    "cookie-bar gdpr-notice search-form search-box skip-link skip-links skip-to-content skip-to-main newsletter-signup newsletter-form widget-area login-form".split()
+)
+QUALIFIERS = frozenset("site page main global primary secondary top bottom header footer mobile desktop sticky cookie cookies consent gdpr user account language social ad ads".split())
+BOXES = frozenset("nav navbar navigation menu menus sidebar breadcrumb breadcrumbs footer masthead toolbar pagination pager banner popup modal overlay widget widgets".split())
+UNNAMED = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - {"td", "th", "tr", "caption", "option", "optgroup", "legend", "tbody", "thead", "tfoot"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WALLS = frozenset("ul ol dl table body html article main section div".split())
@@ -49,18 +60,29 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+def attributes_of(attributes: str) -> Iterator[tuple[str, str]]:
+    for m in ATTRIBUTE.finditer(attributes):
+        yield m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+
+
 def is_boilerplate(tag: str, attributes: str, inside: bool) -> bool:
-    """By tag, or by role, class, id or visibility. inside: within an article or main element, where a header holds the title."""
+    """By tag, role or visibility. inside: within an article or main element, where a header holds the title."""
     if tag in DROPPED or (tag == "header" and not inside):
         return True
-    if not attributes or attributes.isspace():
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+    for name, value in attributes_of(attributes):
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.strip() in ROLES) or (name == "style" and HIDDEN.search(value)):
             return True
-        if name in ("class", "id") and not NAMES.isdisjoint(re.split(r"[\s_-]+", value)):
-            return True
+    return False
+
+
+def is_named(attributes: str) -> bool:
+    """By class or id."""
+    for name, value in attributes_of(attributes):
+        if name in ("class", "id"):
+            for word in value.replace("_", "-").split():
+                *before, last = word.split("-")
+                if word in NAMES or word in FORMS or (before and last in BOXES and QUALIFIERS.issuperset(before)):
+                    return True
     return False
 
 
@@ -70,15 +92,20 @@ class Page:
     def __init__(self, html: str) -> None:
         self.blocks: list[str] = []
         self.mains: list[bool] = []
-        self.elements: list[tuple[int, int, int]] = []
+        # of each block the doubt of its innermost named element; an article or main within that takes all doubts around it away
+        self.doubts: list[list[bool] | None] = []
+        self.subtrees: list[tuple[str, int, int]] = []
         self.held: list[str] = []
-        # tag, whether left out, within a main element, first block
-        self.stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
+        # tag, whether left out, within a main element, first block, doubt
+        self.stack: list[tuple[str, bool, bool, int, list[bool] | None]] = [("", False, False, 0, None)]
         self._read(html)
-        if any(self.mains):
-            kept = np.concatenate([[0], np.cumsum(self.mains)])
-            self.elements = [(h, int(kept[a]), int(kept[b])) for h, a, b in self.elements if self.mains[a]]
-            self.blocks = [t for t, m in zip(self.blocks, self.mains, strict=True) if m]
+        kept = [d is None or not d[0] for d in self.doubts]
+        if any(m and k for m, k in zip(self.mains, kept, strict=True)):
+            kept = [m and k for m, k in zip(self.mains, kept, strict=True)]
+        self.blocks = [t for t, k in zip(self.blocks, kept, strict=True) if k]
+        place = np.concatenate([[0], np.cumsum(kept, dtype=np.int64)]).tolist()
+        spans = [(tag, place[a], place[b]) for tag, a, b in self.subtrees if kept[a]]
+        self.elements = [(xxhash.xxh64_intdigest("\x00".join([tag, *self.blocks[a:b]]).encode("utf-8", "replace")) - (1 << 63), a, b) for tag, a, b in spans]
 
     def _read(self, html: str) -> None:
         at, n = 0, len(html)
@@ -121,6 +148,7 @@ class Page:
             if text:
                 self.blocks.append(text)
                 self.mains.append(self.stack[-1][2])
+                self.doubts.append(self.stack[-1][4])
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag == "br" or tag == "wbr":
@@ -134,12 +162,19 @@ class Page:
                 self._close(other, WALLS)
         if tag in VOID:
             return
-        _, out, inside, _ = self.stack[-1]
-        out = out or is_boilerplate(tag, attributes, inside)
-        inside = not out and (inside or tag in ("article", "main") or "main" in attributes and re.search(r"""role\s*=\s*["']?main\b""", attributes) is not None)
-        if out and not self.stack[-1][1]:
-            self._flush()
-        self.stack.append((tag, out, inside, len(self.blocks)))
+        _, out, inside, _, doubt = self.stack[-1]
+        main = tag in ("article", "main") or "main" in attributes and re.search(r"""role\s*=\s*["']?main\b""", attributes) is not None
+        named = False
+        if not out:
+            out = is_boilerplate(tag, attributes, inside)
+            named = not out and not main and tag not in UNNAMED and is_named(attributes)
+            if out or named:
+                self._flush()
+            if main and not out:
+                for e in self.stack:
+                    if e[4] is not None:
+                        e[4][0] = False
+        self.stack.append((tag, out, not out and (inside or main), len(self.blocks), [True] if named else doubt))
 
     def _close(self, tag: str, walls: frozenset[str]) -> None:
         """Ends the innermost such element unless a wall stands before it."""
@@ -158,12 +193,12 @@ class Page:
             self._close(tag, frozenset())
 
     def _pop(self) -> None:
-        tag, out, _, first = self.stack[-1]
-        if tag in BLOCKS:
+        tag, out, _, first, doubt = self.stack[-1]
+        if tag in BLOCKS or doubt is not self.stack[-2][4]:
             self._flush()
         self.stack.pop()
         if tag in BLOCKS and not out and len(self.blocks) > first:
-            self.elements.append((xxhash.xxh64_intdigest("\x00".join([tag, *self.blocks[first:]]).encode("utf-8", "replace")) - (1 << 63), first, len(self.blocks)))
+            self.subtrees.append((tag, first, len(self.blocks)))
 
     def text(self, templates: frozenset[int] | set[int] = frozenset()) -> str:
         if not templates:
