@@ -1,8 +1,9 @@
 """Cases in which an operator once did less than the whole job."""
 
+import pyarrow.parquet as pq
 import pytest
 
-from caudal.llm import html_text
+from caudal.llm import html_text, url_filters
 
 WORDS = "The river rose in the night and the town was woken by the bells."
 
@@ -28,3 +29,15 @@ def test_op2_keeps_headings_and_math_and_drops_named_boxes():
     html = '<article><h2 id="search">Search</h2><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><div class="sidebar">A</div><div class="site-footer">B</div><div class="share_buttons">C</div></article>'
     assert html_text.Page(html).text() == "Search\n\nso x=2 holds"
     assert html_text.Page('<body><p>one</p><span class="ad">two</span>three<div class="cookie-banner">four</div></body>').text() == "one\n\nthree"
+
+
+def test_op8_table_holds_no_site_of_the_pages_and_ordinary_names_pass(spark):
+    names = {url.split("//")[1].split("/")[0] for url, _ in url_filters.training_urls()}
+    words = {w for name in names for w in name.split(".")}
+    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["url"]).column(0).to_pylist()
+    sites = {w for url in pages for w in url.split("//")[-1].split("/")[0].split(".")} - {"www", "m", "blog", "com", "net", "org", "example"}
+    assert not words & sites
+    held_out = ["free-software", "farmers-market", "plumbing"]
+    assert not words & set(held_out)
+    found = url_filters.judge(spark.createDataFrame([(i, f"https://{n}.com/en/77") for i, n in enumerate(held_out)], "page_id long, url string"), [], *url_filters.fit(url_filters.training_table(spark)))
+    assert {r.host: r.verdict for r in found.collect()} == {f"{n}.com": "allow" for n in held_out}
