@@ -36,14 +36,15 @@ class WordCache:
     """Ids of texts by a tokenizer that never joins what white space separates, nor letters with punctuation.
 
     Each distinct word, without the punctuation around it, is encoded once; many words at a time, as one text,
-    which is parted again after the ids that end a word (marked by `</w>` in the vocabulary).
+    which is parted again after the ids that end a word (marked by `</w>` in the vocabulary). Texts that hold one
+    of the tokenizer's added tokens (as <|endoftext|>) are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
@@ -68,7 +69,14 @@ class WordCache:
         self.chunks.update((c, np.array(x.ids, "<u4").tobytes()) for c, x in zip(chunks, found, strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """For each UTF-8 text its ids as little-endian unsigned 32-bit numbers."""
+        """For each UTF-8 text its ids as little-endian unsigned 32-bit numbers, those of the plain call without special tokens added."""
+        held = [any(x in low for x in self.added) for low in (t.lower() for t in texts)]
+        whole = iter(self.tokenizer.encode_batch_fast([t.decode() for t, h in zip(texts, held, strict=True) if h], add_special_tokens=False))
+        words = iter(self._by_words([t for t, h in zip(texts, held, strict=True) if not h]))
+        return [np.array(next(whole).ids, "<u4").tobytes() if h else next(words) for h in held]
+
+    def _by_words(self, texts: list[bytes]) -> list[bytes]:
+        """encode() of texts that hold no added token."""
         split = [t.split() for t in texts]
         missing = {c for cs in split for c in cs if c not in self.chunks}
         if len(self.chunks) + len(missing) > CACHED_CHUNKS:

@@ -1,9 +1,10 @@
 """Cases in which an operator once did less than the whole job."""
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from caudal.llm import html_text, url_filters
+from caudal.llm import html_text, packing, url_filters
 
 WORDS = "The river rose in the night and the town was woken by the bells."
 
@@ -41,3 +42,13 @@ def test_op8_table_holds_no_site_of_the_pages_and_ordinary_names_pass(spark):
     assert not words & set(held_out)
     found = url_filters.judge(spark.createDataFrame([(i, f"https://{n}.com/en/77") for i, n in enumerate(held_out)], "page_id long, url string"), [], *url_filters.fit(url_filters.training_table(spark)))
     assert {r.host: r.verdict for r in found.collect()} == {f"{n}.com": "allow" for n in held_out}
+
+
+def test_op9_ids_of_texts_with_added_tokens_are_those_of_the_plain_call():
+    import public_tokenizers
+
+    cache = packing.WordCache(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["end <|endoftext|> next", "plain words, twice", "", "x<|startoftext|>y <|endoftext|>", "<|EndOfText|> z", "<|endoftext |>"]
+    found = [np.frombuffer(x, "<u4").tolist() for x in cache.encode([t.encode() for t in texts])]
+    assert found == [cache.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert found[0] == [806, 49407, 1131]
