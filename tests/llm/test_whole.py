@@ -1,10 +1,11 @@
 """Cases in which an operator once did less than the whole job."""
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from caudal.llm import html_text, packing, url_filters
+from caudal.llm import html_text, packing, textkit, toxicity, url_filters
 
 WORDS = "The river rose in the night and the town was woken by the bells."
 
@@ -52,3 +53,17 @@ def test_op9_ids_of_texts_with_added_tokens_are_those_of_the_plain_call():
     found = [np.frombuffer(x, "<u4").tolist() for x in cache.encode([t.encode() for t in texts])]
     assert found == [cache.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert found[0] == [806, 49407, 1131]
+
+
+def test_op7_a_text_scores_the_same_alone_and_between_short_ones():
+    rng = np.random.default_rng(1)
+    model = toxicity.train([], np.zeros(0, bool))
+    model.embedding[:], model.out[:] = rng.normal(0, 1, model.embedding.shape), 0.3
+    tables = model.tables()
+
+    def scores(texts):
+        return np.concatenate([model.scores(*toxicity.word_buckets(data, offsets), tables) for _, _, data, offsets in textkit.parts(pa.array(texts))])
+
+    model.intercept = -3.0
+    texts = ["one", "clean and good words", "two", "", "it is", "so they went home again", "three", "four five", "a b c", "six"]
+    assert np.allclose(scores(texts), [scores([t])[0] for t in texts], atol=1e-6)
