@@ -2,9 +2,12 @@
 
 The tagger (tagger.py) is trained from labelled spans: those that the patterns find in at most TRAIN_DOCS
 documents (those of the smallest hash), and made-up numbers and addresses set into such documents' windows,
-many in forms that the patterns do not cover. Every kind holds a digit or an at sign, so windows are laid, with
-overlap, over all places near one; no other place can be part of a span. Windows are decoded one by one; the spans
-of a document's windows are then reconciled: of those that overlap, the set of the greatest total margin stays.
+many in forms that the patterns do not cover. A span that passes plausible() holds a digit, an at sign or a spoken at
+(AT), so windows are laid, with overlap, over all places near one; words that stand for @ and the dots near them have these
+signs' classes. Windows are decoded one by one; one whose span touches its edge is decoded again, longer on that side, until the
+span is whole or over LONGEST (the longest address there can be). The spans of a document's windows are then
+reconciled: of those that overlap, the set of the greatest total margin stays. A span's
+margin is its log-odds against no span in its place, moves between tags included.
 A tagger's span is added if it does not touch a pattern's span and its digits pass the kind's check.
 
 Defined cases: null text counts as empty and has no spans; a very long text is cut into windows, never cut off;
@@ -25,11 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import small_batches, smallest
-from .tagger import KINDS, PAD, Tagger, classes
+from .tagger import CLASS_OF, KINDS, PAD, Tagger, classes
 
 TRAIN_DOCS, STEPS = 4000, 220
 WINDOW, STRIDE, MARGIN = 64, 32, 24
 SURE = 1.0
+LONGEST = 320
 Span = tuple[str, int, int]
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -39,6 +43,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
 NOT_DIGITS = re.compile(r"[^0-9]")
+#: Spoken signs: at or dot in brackets, dot as a word, at as a word if a name and a spoken dot follow.
+AT = re.compile(r"[\[({]\s?(at)\s?[\])}]|(?<=\s)(at)(?=\s[^\s@]{1,255}\s?(?:\sdot\s|[\[({]\s?dot\s?[\])}]))", re.I)
+DOT = re.compile(r"[\[({]\s?(dot)\s?[\])}]|(?<=\s)(dot)(?=\s)", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -84,11 +91,22 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def coded(text: str) -> np.ndarray:
+    """Character classes, with those of @ and . for spoken signs."""
+    out = classes(text)
+    spoken = [m.span(m.lastindex) for m in AT.finditer(text)]
+    for a, b in spoken:
+        out[a:b] = CLASS_OF[ord("@")]
+    if spoken or "@" in text:
+        for m in DOT.finditer(text):
+            out[slice(*m.span(m.lastindex))] = CLASS_OF[ord(".")]
+    return out
+
+
 def windows(text: str) -> list[int]:
-    """Starts of the windows, STRIDE apart, that cover every trigger with MARGIN on both sides."""
+    """Starts of the windows, STRIDE apart, that cover every trigger (also a spoken at) with MARGIN on both sides."""
     starts, reach = [], -1
-    for m in TRIGGER.finditer(text):
-        at = m.start()
+    for at in sorted({m.start() for r in (TRIGGER, AT) for m in r.finditer(text)}):
         if at + MARGIN <= reach:
             continue
         start = max(0, at - MARGIN) if not starts or at - MARGIN > reach else starts[-1] + STRIDE
@@ -104,7 +122,8 @@ def plausible(kind: str, text: str) -> bool:
     """A tagger's span must hold what its kind holds."""
     digits = NOT_DIGITS.sub("", text)
     if kind == "email":
-        return re.fullmatch(r"[^\s@]+(?:\s?@\s?)[^\s@]+(?:\s?\.\s?[A-Za-z0-9-]+)+", text) is not None
+        text = DOT.sub(".", AT.sub("@", text))
+        return re.fullmatch(r"[^\s@]+(?:\s?@\s?)[^\s@]+(?:\s?\.\s?[A-Za-z0-9-]+)+", re.sub(r"\s+(?=[@.])|(?<=[@.])\s+", " ", text)) is not None
     if kind == "ip":
         return len(re.findall("[0-9]+", text)) == 4 and small_parts(text.strip("[]() ")) and len(digits) >= 6
     if kind == "card":
@@ -134,32 +153,54 @@ def reconcile(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int,
     return kept[::-1]
 
 
+def snapped(text: str, kind: str, a: int, b: int) -> tuple[int, int]:
+    """An address does not begin or end within a name: the span grows to the ends of its first and last."""
+    if kind == "email":
+        while a > 0 and text[a - 1] in LOCAL and text[a] in LOCAL:
+            a -= 1
+        while b < len(text) and text[b - 1].isalnum() and (text[b].isalnum() or text[b] == "-"):
+            b += 1
+    return a, b
+
+
 def tagged(texts: list[str], tagger: Tagger, batch: int = 256) -> list[list[Span]]:
     """The tagger's reconciled spans of each text."""
-    places = [(i, s) for i, text in enumerate(texts) for s in windows(text)]
+    codes = [coded(text) for text in texts]
     found: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
-    for at in range(0, len(places), batch):
-        part = places[at : at + batch]
-        ids = np.full((len(part), WINDOW), PAD)
-        for row, (i, s) in enumerate(part):
-            piece = classes(texts[i][s : s + WINDOW])
-            ids[row, : len(piece)] = piece
-        tags, margins = tagger.decode(ids)
-        for row in np.flatnonzero(tags.any(1)).tolist():
-            i, s = part[row]
-            line = tags[row].tolist()
-            a = 0
-            while a < WINDOW:
-                if line[a] % 2 == 0:
-                    a += 1
-                    continue
-                b = a + 1
-                while b < WINDOW and line[b] == line[a] + 1:
-                    b += 1
-                whole = (a > 0 or s == 0) and (b < WINDOW or s + WINDOW >= len(texts[i]))
-                if whole and s + b <= len(texts[i]):
-                    found[i].append((s + a, s + b, KINDS[line[a] // 2], float(margins[row, a:b].mean())))
-                a = b
+    todo = {(i, s, s + WINDOW) for i, text in enumerate(texts) for s in windows(text)}
+    done = set(todo)
+    while todo:
+        size = min(e - s for _, s, e in todo)
+        places = sorted(p for p in todo if p[2] - p[1] <= 2 * size)
+        todo.difference_update(places)
+        width, step = max(e - s for _, s, e in places), max(1, batch * WINDOW // (2 * size)) if size > WINDOW else batch
+        for at in range(0, len(places), step):
+            part = places[at : at + step]
+            ids = np.full((len(part), width), PAD)
+            for row, (i, s, e) in enumerate(part):
+                piece = codes[i][s:e]
+                ids[row, : len(piece)] = piece
+            tags, margins = tagger.decode(ids)
+            for row in np.flatnonzero(tags.any(1)).tolist():
+                i, s, e = part[row]
+                line, a, n, size = tags[row].tolist(), 0, min(e, len(texts[i])) - s, e - s
+                while a < n:
+                    if line[a] % 2 == 0:
+                        a += 1
+                        continue
+                    b = a + 1
+                    while b < n and line[b] == line[a] + 1:
+                        b += 1
+                    left, right = a == 0 and s > 0, b == n and s + n < len(texts[i])
+                    if not left and not right:
+                        kind = KINDS[line[a] // 2]
+                        found[i].append((*snapped(texts[i], kind, s + a, s + b), kind, float(margins[row, a : b + (b < n and line[b] == 0)].sum())))
+                    elif b - a <= LONGEST:
+                        longer = (i, max(0, s - size) if left else s, e + size if right else e)
+                        if longer not in done:
+                            done.add(longer)
+                            todo.add(longer)
+                    a = b
     return [[(k, a, b) for a, b, k, score in reconcile(x) if score >= SURE] for x in found]
 
 
@@ -180,6 +221,10 @@ def made_up(rng: np.random.Generator) -> tuple[str | None, str]:
     pick = int(rng.integers(0, 10))
     if pick < 2:
         sign = ["@", "@", "@", " @ "][rng.integers(4)]
+        if rng.integers(2):  # long or spoken ones
+            sign = [" @ ", " at ", " [at] ", "(at)", " (at) ", "@"][rng.integers(6)]
+            dot = [" dot ", " dot ", " [dot] ", "(dot)"][rng.integers(4)] if sign in (" at ", "@") or rng.integers(2) else "."
+            return "email", "".join([word() for _ in range(rng.integers(1, 3))]) + ["", ".", "_"][rng.integers(3)] + "".join([word() for _ in range(rng.integers(1, 4))]) + sign + dot.join([word() for _ in range(rng.integers(1, 4))] + [["com", "org", "de", "net"][rng.integers(4)]])
         return "email", f"{word()}{['.', '_', '', '-'][rng.integers(4)]}{[digits(2), word()][rng.integers(2)]}{sign}{word()}{digits(int(rng.integers(0, 2)))}.{['com', 'example.com', 'org', 'de'][rng.integers(4)]}"
     if pick < 4:
         return "ip", ".".join(str(x) for x in rng.integers(0, 256, 4))
@@ -202,7 +247,7 @@ def training_windows(texts: list[str], seed: int = 3, made: int = 2600) -> tuple
 
     def add(text: str, spans: list[Span], start: int) -> None:
         ids, tags = np.full(WINDOW, PAD), np.zeros(WINDOW, np.int64)
-        piece = classes(text[start : start + WINDOW])
+        piece = coded(text)[start : start + WINDOW]
         ids[: len(piece)] = piece
         for kind, a, b in spans:
             if a < start + WINDOW and b > start:
@@ -222,7 +267,7 @@ def training_windows(texts: list[str], seed: int = 3, made: int = 2600) -> tuple
         kind, item = made_up(rng)
         before = re.sub("[0-9@+]", "x", text[at : at + int(rng.integers(2, 30))]).rstrip() + " "
         whole = before + item + [" ", ". ", ", ", "\n", ""][rng.integers(5)] + re.sub("[0-9@]", "x", text[at + 40 : at + 90])
-        add(whole, [(kind, len(before), len(before) + len(item))] if kind else [], max(0, len(before) - int(rng.integers(0, MARGIN + 1))))
+        add(whole, [(kind, len(before), len(before) + len(item))] if kind else [], max(0, len(before) - int(rng.integers(min(0, 24 - len(item)), MARGIN + 1))))
     return np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
 
 

@@ -138,7 +138,7 @@ class Tagger:
         return losses
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags of each window (Viterbi), and each place's margin: its emission over the best other tag's."""
+        """Best tags of each window (Viterbi), and each place's margin: its emission and move into it over those of staying outside."""
         s, _ = self.emissions(ids)
         move = self.p["t"] + self.wall
         best, came = s[:, 0] + np.where(np.isin(np.arange(TAGS), np.arange(2, TAGS, 2)), np.float32(-1e4), np.float32(0)), []
@@ -150,7 +150,6 @@ class Tagger:
         tags[:, -1] = best.argmax(1)
         for t in range(s.shape[1] - 2, -1, -1):
             tags[:, t] = came[t][np.arange(len(ids)), tags[:, t + 1]]
-        chosen = np.take_along_axis(s, tags[:, :, None], 2)[:, :, 0]
-        others = s.copy()
-        np.put_along_axis(others, tags[:, :, None], -np.inf, 2)
-        return tags, chosen - others.max(2)
+        margins = np.take_along_axis(s, tags[:, :, None], 2)[:, :, 0] - s[:, :, 0]
+        margins[:, 1:] += move[tags[:, :-1], tags[:, 1:]] - move[0, 0]
+        return tags, margins

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from caudal.llm import html_text, packing, textkit, toxicity, url_filters
+from caudal.llm import html_text, packing, pii, textkit, toxicity, url_filters
 
 WORDS = "The river rose in the night and the town was woken by the bells."
 
@@ -67,3 +67,31 @@ def test_op7_a_text_scores_the_same_alone_and_between_short_ones():
     model.intercept = -3.0
     texts = ["one", "clean and good words", "two", "", "it is", "so they went home again", "three", "four five", "a b c", "six"]
     assert np.allclose(scores(texts), [scores([t])[0] for t in texts], atol=1e-6)
+
+
+def test_op4_finds_long_and_spoken_addresses(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    addresses = [
+        "maximilian.mustermannfrau @ mail.example.com",
+        "annabelle.christophersen.longname @ department.university.example.org",
+        "name [at] host.org",
+        "john.smith (at) mail (dot) example (dot) com",
+        "anna.berger at example dot com",
+    ]
+    texts = [f"they said that you may ask {a} for the rest of it" for a in addresses]
+    found = [[t[a:b] for _, a, b in spans] for t, (_, spans) in zip(texts, pii.all_spans(texts, pii.fit(docs)), strict=True)]
+    assert all(x in ([], [a]) for x, a in zip(found, addresses, strict=True)) and sum(map(len, found)) >= 4
+
+
+def test_op4_windows_cover_spoken_signs_and_grow_with_the_span():
+    class Names:
+        def decode(self, ids):
+            inside = (ids != pii.CLASS_OF[ord(" ")]) & (ids != pii.PAD)
+            tags = np.where(inside, 2, 0)
+            tags[:, 0] = inside[:, 0]
+            tags[:, 1:][inside[:, 1:] & ~inside[:, :-1]] = 1
+            return tags, np.ones(ids.shape)
+
+    assert pii.windows("you may write name at host dot org, or name [at] host.org") and not pii.windows("we met at noon and the dot was red")
+    name = "n" * 150 + "@" + "h" * 120
+    assert ("email", 6, 6 + len(name)) in pii.tagged([f"words {name} words"], Names())[0]
