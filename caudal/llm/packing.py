@@ -1,12 +1,14 @@
 """Packing of tokenised documents into sequences: first-fit decreasing with a tournament tree of bin capacities.
 
-Documents are cut every CAPACITY ids; the pieces are dealt to groups by a hash of document and piece, so that
-each group is a random sample of about GROUP_PIECES pieces whatever the order or skew of the input, and each
-group is packed by itself. Only (doc_id, start, length, ...) rows move; token ids stay where they were made.
-
-Defined cases: a null or empty text has one id, END; repeated rows and equal doc_ids are packed row by row
-(`sequences` needs unique doc_ids); a very long text gives full pieces and one rest; an empty table gives no
-rows; extra columns are not read.
+Documents are cut every CAPACITY ids; the pieces are dealt to groups by a hash of document, piece and the row's place in the
+table, so that each group is a random sample of about GROUP_PIECES pieces whatever the order or skew of the input (also
+where many rows share a doc_id or have none), and each group is packed by itself. Only (doc_id, start, length, ...) rows
+move; token ids stay where they were made.
+
+Defined cases: a null or empty text has one id, END; a null doc_id is packed like any other; repeated rows and equal
+doc_ids are packed row by row (`sequences` needs unique doc_ids); pieces of equal length go in order of doc_id and start;
+a very long text gives full pieces and one rest; an empty table gives no rows; extra columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
@@ -21,23 +23,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import small_batches, table
-from .textkit import utf8
+from .textkit import LOWER, SPACE, mix, ranges, span_hashes, utf8
 
 CAPACITY, END, GROUP_PIECES = 4096, 2, 8192
-CACHED_WORDS, CACHED_CHUNKS = 500_000, 300_000
+CACHED_SPANS = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-#: ASCII punctuation (but no apostrophe, which starts contractions) around a run of letters.
-PUNCTUATED = re.compile(rb"([!-&(-/:-@\[-`{-~]*)([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+KIND = np.full(256, 2, np.uint8)
+KIND[SPACE] = 0
+KIND[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = 1
+PIECE = re.compile(rb"[0-9]|[^0-9]+")
+CHUNK_SALT = np.uint64(0x5851F42D4C957F2D)
 
 
-class WordCache:
-    """Ids of texts by a tokenizer that never joins what white space separates, nor letters with punctuation.
+class SpanCache:
+    """Ids of texts by a tokenizer that never joins what white space separates, nor letters with other ASCII characters.
 
-    Each distinct word, without the punctuation around it, is encoded once; many words at a time, as one text,
-    which is parted again after the ids that end a word (marked by `</w>` in the vocabulary). Texts that hold one
-    of the tokenizer's added tokens (as <|endoftext|>) are encoded whole.
+    A text is cut into spans, runs of letters and runs of anything else. A span with an apostrophe (which may start a
+    contraction) or with non-ASCII characters that are no letters does not stand alone: its whole chunk, what white space
+    encloses, is one span then. Each distinct span is encoded once, many at a time as one text, which is parted again
+    after the ids that end a word (marked by `</w>` in the vocabulary); all texts of a batch are put together from them by
+    array code. Spans are told apart by 64-bit hashes (two are taken for equal with a chance of about 5e-20 a pair).
+    Texts that hold one of the tokenizer's added tokens (as <|endoftext|>) are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -48,67 +56,116 @@ class WordCache:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Words of letters only: each ends in one id that ends a word."""
-        for at in range(0, len(words), 200):
-            part = words[at : at + 200]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) != len(part):
-                raise ValueError("the tokenizer does not end each word with one id")
-            raw, last = ids.tobytes(), 0
-            for word, end in zip(part, ends.tolist(), strict=True):
-                self.words[word] = raw[4 * last : 4 * end]
-                last = end
-
-    def _whole(self, chunks: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        self.chunks.update((c, np.array(x.ids, "<u4").tobytes()) for c, x in zip(chunks, found, strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """For each UTF-8 text its ids as little-endian unsigned 32-bit numbers, those of the plain call without special tokens added."""
-        held = [any(x in low for x in self.added) for low in (t.lower() for t in texts)]
-        whole = iter(self.tokenizer.encode_batch_fast([t.decode() for t, h in zip(texts, held, strict=True) if h], add_special_tokens=False))
-        words = iter(self._by_words([t for t, h in zip(texts, held, strict=True) if not h]))
-        return [np.array(next(whole).ids, "<u4").tobytes() if h else next(words) for h in held]
-
-    def _by_words(self, texts: list[bytes]) -> list[bytes]:
-        """encode() of texts that hold no added token."""
-        split = [t.split() for t in texts]
-        missing = {c for cs in split for c in cs if c not in self.chunks}
-        if len(self.chunks) + len(missing) > CACHED_CHUNKS:
-            self.chunks.clear()
-            missing = {c for cs in split for c in cs}
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        parted, whole = [], []
-        for c in missing:
-            m = PUNCTUATED.fullmatch(c.lower())
-            if m and (m[2].isalpha() or ((core := m[2].decode()).isalpha() and core.lower().isalpha())):
-                parted.append((c, m[1], m[2], m[3]))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)  # rising
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # place of its ids in pool; size -1: never stands alone
+        self.pool = np.zeros(0, np.uint32)
+
+    def _plain(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _together(self, spans: list[bytes], words: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of spans, each of which has so many ids that end a word, and how many ids each has."""
+        ids, sizes = [], [np.zeros(0, np.int64)]
+        for at in range(0, len(spans), 500):
+            part = spans[at : at + 500]
+            found = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends, last = np.flatnonzero(self.is_end[found]) + 1, np.cumsum(words[at : at + 500])
+            if len(ends) == last[-1]:
+                ids.append(found)
+                sizes.append(np.diff(ends[last - 1], prepend=0))
             else:
-                whole.append(c)
-        self._learn(list({p[2] for p in parted if p[2] not in self.words}))
-        marks = {p for x in parted for p in (x[1], x[3]) if p and p not in self.chunks}
-        for at in range(0, len(rest := [*whole, *marks]), 5000):
-            self._whole(rest[at : at + 5000])
-        chunks, words = self.chunks, self.words
-        chunks[b""] = b""
-        for c, before, core, after in parted:
-            chunks[c] = chunks[before] + words[core] + chunks[after]
-        return [b"".join(map(chunks.__getitem__, cs)) for cs in split]
-
-
-CACHES: dict[str, WordCache] = {}
-
-
-def word_cache(path: str) -> WordCache:
-    """One for each tokenizer file and worker process: later tasks of a reused worker find most words known."""
+                ids += (one := self._plain(part))
+                sizes.append(np.array([len(x) for x in one]))
+        return ids, np.concatenate(sizes)
+
+    def _learn(self, keys: np.ndarray, spans: list[bytes], whole: bool) -> None:
+        """Adds spans that are not known yet."""
+        if whole:
+            ids = self._plain(spans)
+            size = np.array([len(x) for x in ids], np.int64)
+        else:
+            words = np.fromiter(map(self._words, spans), np.int64, len(spans))
+            alone = np.flatnonzero(words)
+            size = np.full(len(spans), -1, np.int64)
+            ids, size[alone] = self._together([spans[i] for i in alone.tolist()], words[alone])
+        first = len(self.pool) + np.concatenate([[0], np.cumsum(np.maximum(size, 0))])[:-1]
+        self.pool = np.concatenate([self.pool, *ids])
+        keys, first, size = (np.concatenate(x) for x in ((self.keys, keys), (self.first, first), (self.size, size)))
+        order = np.argsort(keys)
+        self.keys, self.first, self.size = keys[order], first[order], size[order]
+
+    @staticmethod
+    def _words(span: bytes) -> int:
+        """Words of the tokenizer in a span: letters are one, a digit is one, a run of other characters is one. 0: it does not stand alone."""
+        if span.isalpha() or (not span.isascii() and (text := span.decode()).isalpha() and text.lower().isalpha()):
+            return 1
+        return 0 if b"'" in span or not span.isascii() else len(PIECE.findall(span))
+
+    def _found(self, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, raw: bytes, whole: bool) -> np.ndarray:
+        """Place of each span in keys, after the new ones are learnt."""
+        coded = pa.array(keys).dictionary_encode()
+        code, values = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        at = np.minimum(np.searchsorted(self.keys, values), max(0, len(self.keys) - 1))
+        missing = np.flatnonzero(self.keys[at] != values) if len(self.keys) else np.arange(len(values))
+        if len(missing):
+            one = np.zeros(len(values), np.int64)
+            one[code] = np.arange(len(code))
+            places = one[missing]
+            self._learn(values[missing], [raw[a:b] for a, b in zip(starts[places].tolist(), ends[places].tolist(), strict=True)], whole)
+            at = np.searchsorted(self.keys, values)
+        return at[code]
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """For each text (null counts as empty) its ids, those of the plain call without special tokens added."""
+        if len(self.keys) > CACHED_SPANS:
+            self._clear()
+        data, offsets = utf8(column)
+        plain = LOWER[data]
+        raw, kind = plain.tobytes(), KIND[plain]
+        edge, new = np.zeros(len(plain) + 1, bool), np.ones(len(plain) + 1, bool)
+        edge[offsets] = True
+        new[1:-1] = kind[1:] != kind[:-1]
+        new |= edge
+        starts, ends = np.flatnonzero(new[:-1] & (kind > 0)), np.flatnonzero(new[1:] & (kind > 0)) + 1
+        keys = span_hashes(plain, starts, ends)
+        at = self._found(keys, starts, ends, raw, False)
+        broken = self.size[at] < 0
+        if broken.any():
+            opens = np.ones(len(starts), bool)
+            opens[1:] = (starts[1:] != ends[:-1]) | edge[starts[1:]]
+            chunk = np.cumsum(opens) - 1
+            bad = np.zeros(chunk[-1] + 1, bool)
+            bad[chunk[broken]] = True
+            kept = opens | ~bad[chunk]
+            closes = np.append(opens[1:], True)
+            ends_of = ends[closes][chunk]
+            swap = kept & bad[chunk]
+            first, last = starts[swap], ends_of[swap]
+            keys[swap] = mix(span_hashes(plain, first, last) ^ CHUNK_SALT)
+            self._found(keys[swap], first, last, raw, True)
+            keys, starts = keys[kept], starts[kept]
+            at = np.searchsorted(self.keys, keys)
+        size = self.size[at]
+        ids = self.pool[ranges(self.first[at], size)]
+        places = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, offsets)]
+        out = np.split(ids, places[1:-1]) if len(offsets) > 1 else []
+        if any(x in raw for x in self.added):
+            for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                if any(x in raw[a:b] for x in self.added):
+                    out[row] = self._plain([data[a:b].tobytes()])[0]
+        return out
+
+
+CACHES: dict[str, SpanCache] = {}
+
+
+def span_cache(path: str) -> SpanCache:
+    """One for each tokenizer file and worker process: later tasks of a reused worker find most spans known."""
     if path not in CACHES:
-        CACHES[path] = WordCache(path)
+        CACHES[path] = SpanCache(path)
     return CACHES[path]
 
 
@@ -119,13 +176,11 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = EN
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_cache(path)
+        cache = span_cache(path)
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            raw, rows = data.tobytes(), []
-            encoded = cache.encode([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
-                ids += last
+            rows = []
+            for doc_id, found in zip(batch.column(0).to_pylist(), cache.encode(batch.column(1)), strict=True):
+                ids = found.astype("<u4").tobytes() + last
                 for at in range(0, len(ids), 4 * capacity):
                     piece = ids[at : at + 4 * capacity]
                     rows.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4) + ((np.frombuffer(piece, "<i4"),) if with_ids else ()))
@@ -181,7 +236,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
         group = part.column("bunch")[0].as_py()
         return part.drop_columns(["bunch"]).append_column("sequence_id", pa.array(bins + (group << 32), pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    dealt = pieces.withColumn("bunch", F.pmod(F.xxhash64(F.lit(9), "doc_id", "start"), F.lit(groups)))
+    # The row's place keeps equal rows (as those of null doc_ids) apart.
+    dealt = pieces.withColumn("bunch", F.pmod(F.xxhash64(F.lit(9), "doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("bunch").applyInArrow(run, PIECES + ", sequence_id long, offset long")
 
 
