@@ -1,20 +1,23 @@
 """Main text of web pages, with the templates of each site removed.
 
-A page is cut into blocks and block elements. Elements that are boilerplate by tag, role, class or id are
-left out, and where a page has an article or main element only that is kept. Names of class and id count as whole
-words or in known forms (FORMS; a qualifier before a box, as site-footer), never on html, body, headings, article or
-main, nor on an element that holds an article or main. What remains is hashed, subtree
-by subtree; Spark counts for each host on how many different pages a subtree occurs, and subtrees on at least
-MIN_PAGES pages and SHARE of the host's pages are deleted. Copies of a whole page count as one page, so an
-article published many times is not taken for a template.
-
-The list of a host's templates has at most (subtrees of a page) / SHARE entries, whatever the host's size. If all
-lists together are small (MAX_BROADCAST rows, counted), they are broadcast; otherwise pages and lists are joined
-by host, where Spark splits a host that holds many pages.
+1. Every block element with text is a subtree, hashed by its tag and texts and by where it stands: in an article or main
+   element, beside one, or on a page without either. This comes before any list of tags or names.
+2. Spark counts for each host on how many different pages (by main text, so that copies of an article count once) a subtree
+   occurs. One on at least MIN_PAGES pages is a template if it is on SHARE of the host's pages, or, beside an article, on
+   BESIDE of them, or, on pages without article or main, on SECTION of them and SECTION_PAGES at least, if the block before
+   it or behind it is the same wherever it stands: a section's notice stands next to the section's menu, a passage that many
+   texts quote does not. Templates are deleted.
+3. What no count can tell, as on hosts with few pages, goes by tag, role, visibility and by class or id: names count as whole
+   words or in known forms (FORMS; a qualifier before a box, as site-footer), never on html, body, headings, article or main,
+   nor on an element that holds an article or main. Where a page has an article or main element only that is kept.
+
+The list of a host's templates has at most (subtrees of a page) / BESIDE entries, whatever the host's size. If all lists
+together are small (MAX_BROADCAST rows, counted), they are broadcast; otherwise pages and lists are joined by host and a salt.
 
 Defined cases: null or empty html gives an empty text; without a host nothing counts as a template; markup that is
 never closed ends with the page, stray end tags are ignored; an unquoted or unbalanced attribute ends at the next `>`;
-repeated rows give repeated results; an empty table gives no rows; extra columns are not read.
+a very long page is read in one pass; a subtree at a threshold is a template; repeated rows give repeated results; an empty
+table gives no rows; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -31,11 +34,13 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches, table
 
-MIN_PAGES, SHARE, MAX_BROADCAST = 6, 0.5, 100_000
+MIN_PAGES, SHARE, BESIDE, SECTION, SECTION_PAGES = 6, 0.5, 0.02, 0.05, 20
+MAX_BROADCAST, SALTS = 100_000, 64
+INSIDE, OUTSIDE, ALONE = range(3)  # of an article or main; on a page without
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg object canvas audio video xmp".split())
-DROPPED = frozenset("head title nav footer aside form button select menu dialog noframes fieldset".split()) | RAW
+RAW = frozenset("script style title noscript template textarea iframe svg object canvas audio video xmp".split())
+DROPPED = frozenset("head nav footer aside form button select menu dialog noframes fieldset".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion banner sidebar sidebars "
@@ -87,11 +92,12 @@ def is_named(attributes: str) -> bool:
 
 
 class Page:
-    """blocks: the kept texts in order. elements: (hash, first block, end block) of each kept block element with text."""
+    """blocks: all texts but those of head and RAW elements, in order. elements: (hash, place, first block, end block) of each block element with text."""
 
     def __init__(self, html: str) -> None:
         self.blocks: list[str] = []
         self.mains: list[bool] = []
+        self.outs: list[bool] = []
         # of each block the doubt of its innermost named element; an article or main within that takes all doubts around it away
         self.doubts: list[list[bool] | None] = []
         self.subtrees: list[tuple[str, int, int]] = []
@@ -99,13 +105,14 @@ class Page:
         # tag, whether left out, within a main element, first block, doubt
         self.stack: list[tuple[str, bool, bool, int, list[bool] | None]] = [("", False, False, 0, None)]
         self._read(html)
-        kept = [d is None or not d[0] for d in self.doubts]
-        if any(m and k for m, k in zip(self.mains, kept, strict=True)):
-            kept = [m and k for m, k in zip(self.mains, kept, strict=True)]
-        self.blocks = [t for t, k in zip(self.blocks, kept, strict=True) if k]
-        place = np.concatenate([[0], np.cumsum(kept, dtype=np.int64)]).tolist()
-        spans = [(tag, place[a], place[b]) for tag, a, b in self.subtrees if kept[a]]
-        self.elements = [(xxhash.xxh64_intdigest("\x00".join([tag, *self.blocks[a:b]]).encode("utf-8", "replace")) - (1 << 63), a, b) for tag, a, b in spans]
+        self.kept = [not out and (d is None or not d[0]) for out, d in zip(self.outs, self.doubts, strict=True)]
+        one = any(m and k for m, k in zip(self.mains, self.kept, strict=True))
+        if one:
+            self.kept = [m and k for m, k in zip(self.mains, self.kept, strict=True)]
+        self.elements = []
+        for tag, a, b in self.subtrees:
+            place = INSIDE if self.mains[a] else OUTSIDE if one else ALONE
+            self.elements.append((xxhash.xxh64_intdigest("\x00".join([tag, *self.blocks[a:b]]).encode("utf-8", "replace"), place) - (1 << 63), place, a, b))
 
     def _read(self, html: str) -> None:
         at, n = 0, len(html)
@@ -137,8 +144,7 @@ class Page:
             self._pop()
 
     def _text(self, text: str) -> None:
-        if not self.stack[-1][1]:
-            self.held.append(text)
+        self.held.append(text)
 
     def _flush(self) -> None:
         if self.held:
@@ -148,6 +154,7 @@ class Page:
             if text:
                 self.blocks.append(text)
                 self.mains.append(self.stack[-1][2])
+                self.outs.append(self.stack[-1][1])
                 self.doubts.append(self.stack[-1][4])
 
     def _start(self, tag: str, attributes: str) -> None:
@@ -194,28 +201,33 @@ class Page:
 
     def _pop(self) -> None:
         tag, out, _, first, doubt = self.stack[-1]
-        if tag in BLOCKS or doubt is not self.stack[-2][4]:
+        if tag in BLOCKS or doubt is not self.stack[-2][4] or out != self.stack[-2][1]:
             self._flush()
         self.stack.pop()
-        if tag in BLOCKS and not out and len(self.blocks) > first:
+        if tag in BLOCKS and len(self.blocks) > first:
             self.subtrees.append((tag, first, len(self.blocks)))
 
     def text(self, templates: frozenset[int] | set[int] = frozenset()) -> str:
-        if not templates:
-            return "\n\n".join(self.blocks)
-        gone = [False] * len(self.blocks)
-        for h, a, b in self.elements:
-            if h in templates:
-                gone[a:b] = [True] * (b - a)
-        return "\n\n".join(t for t, g in zip(self.blocks, gone, strict=True) if not g)
+        left = self.kept
+        if templates:
+            left = left.copy()
+            for h, _, a, b in self.elements:
+                if h in templates:
+                    left[a:b] = [False] * (b - a)
+        return "\n\n".join(t for t, k in zip(self.blocks, left, strict=True) if k)
 
 
 def host_of(url: str) -> str:
     return re.split(r"[/?#]", url.partition("://")[2], maxsplit=1)[0].lower()
 
 
+def digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+
+
 def subtrees(pages: DataFrame) -> DataFrame:
-    """host, hash, page: once for each kept subtree of a page; page is a hash of its kept text."""
+    """host, hash, place, page, before, behind: each subtree of a page; page is a hash of its kept text, before and behind of the blocks next to the subtree."""
+    kinds = [("host", pa.string()), ("hash", pa.int64()), ("place", pa.int32()), ("page", pa.int64()), ("before", pa.int64()), ("behind", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,31 +235,43 @@ def subtrees(pages: DataFrame) -> DataFrame:
             for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 host = host_of(url or "")
                 page = Page(html) if html and host else None
-                if page is not None and page.blocks:
-                    whole = xxhash.xxh64_intdigest("\n\n".join(page.blocks).encode("utf-8", "replace")) - (1 << 63)
-                    # an element that holds the whole page is no part of a template; key 0 counts the page itself
-                    rows += [(host, h, whole) for h in {h for h, a, b in page.elements if b - a < len(page.blocks)}]
-                    rows.append((host, 0, whole))
+                if page is None or not page.blocks:
+                    continue
+                whole, n, edges = digest(page.text()), len(page.blocks), {}
+                # an element that holds the whole page is no part of a template; place -1 counts the page itself
+                for h, place, a, b in page.elements:
+                    if b - a < n and h not in edges:
+                        edges[h] = (host, h, place, whole, digest(page.blocks[a - 1]) if a and place == ALONE else 0, digest(page.blocks[b]) if b < n and place == ALONE else 0)
+                rows += edges.values()
+                rows.append((host, 0, -1, whole, 0, 0))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "hash", "page"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], [k for k, _ in kinds])
 
-    return pages.select("url", "html").mapInArrow(run, "host string, hash long, page long")
+    return pages.select("url", "html").mapInArrow(run, "host string, hash long, place int, page long, before long, behind long")
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def templates(pages: DataFrame) -> DataFrame:
     """host, hash of the subtrees that recur on many pages of their host."""
-    counts = table(subtrees(pages).distinct().groupBy("host", "hash").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages), "subtrees")
-    total = counts.filter("hash = 0").select("host", F.col("pages").alias("total"))
-    return counts.filter("hash <> 0").join(total, "host").filter(F.col("pages") >= share * F.col("total")).select("host", "hash")
+    # Neighbours are joined into extremes before pages are counted, so that both steps combine before their shuffles.
+    each = subtrees(pages).groupBy("host", "hash", "place", "page").agg(F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("behind").alias("n0"), F.max("behind").alias("n1"))
+    same = (F.min("b0") == F.max("b1")) | (F.min("n0") == F.max("n1"))
+    counts = table(each.groupBy("host", "hash", "place").agg(F.count("*").alias("pages"), same.alias("fixed")).filter(F.col("pages") >= MIN_PAGES), "subtrees")
+    total = counts.filter("place = -1").select("host", F.col("pages").alias("total"))
+    share = F.col("pages") / F.col("total")
+    many = (share >= SHARE) | ((F.col("place") == OUTSIDE) & (share >= BESIDE)) | ((F.col("place") == ALONE) & F.col("fixed") & (share >= SECTION) & (F.col("pages") >= SECTION_PAGES))
+    return counts.filter("place >= 0").join(total, "host").filter(many).select("host", "hash")
 
 
 def extract(pages: DataFrame, found: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html). found: templates(), as a table."""
     lists = found.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
-    if found.count() <= MAX_BROADCAST:
-        lists = F.broadcast(lists)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
-    joined = pages.select("page_id", "url", "html", host.alias("host")).join(lists, "host", "left")
+    named = pages.select("page_id", "url", "html", host.alias("host"))
+    if found.count() <= MAX_BROADCAST:
+        joined = named.join(F.broadcast(lists), "host", "left")
+    else:
+        salted = named.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+        joined = salted.join(lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["host", "salt"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
