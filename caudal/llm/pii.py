@@ -1,8 +1,9 @@
 """Personal data: exact patterns over whole texts, and a character BiLSTM-CRF that adds what the patterns miss.
 
-The tagger (tagger.py) is trained from labelled spans: those that the patterns find in at most TRAIN_DOCS
-documents (those of the smallest hash), and made-up numbers and addresses set into such documents' windows,
-many in forms that the patterns do not cover. A span that passes plausible() holds a digit, an at sign or a spoken at
+The tagger (tagger.py) is trained from labelled spans: those that the patterns find in a bounded sample of the documents, and
+MADE_UP numbers and addresses set into such documents' windows, many in forms that the patterns do not cover. The sample's bounds:
+TRAIN_DOCS documents (those of the smallest hash), TRAIN_CHARS characters of each, around its first trigger; of these at most
+TRAIN_TEXTS texts and TRAIN_WINDOWS windows of each give windows without made-up items. Tagging itself has no bound. A span that passes plausible() holds a digit, an at sign or a spoken at
 (AT), so windows are laid, with overlap, over all places near one; words that stand for @ and the dots near them have these
 signs' classes. Windows are decoded one by one; one whose span touches its edge is decoded again, longer on that side, until the
 span is whole or over LONGEST (the longest address there can be). The spans of a document's windows are then
@@ -11,8 +12,9 @@ margin is its log-odds against no span in its place, moves between tags included
 A tagger's span is added if it does not touch a pattern's span and its digits pass the kind's check.
 
 Defined cases: null text counts as empty and has no spans; a very long text is cut into windows, never cut off;
-repeated rows give repeated results; an empty table gives no rows (and the tagger learns from made-up spans
-only); extra columns are not read by `find_spans` and stay in `mask`.
+repeated rows give repeated results (of rows with one doc_id one text is trained on); a null doc_id is searched and never trained
+on; spans of equal start are listed by kind; an empty table gives no rows (and the tagger learns from made-up spans only);
+extra columns, whatever their names, are not read by `find_spans` and stay in `mask`.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 from .shared import small_batches, smallest
 from .tagger import CLASS_OF, KINDS, PAD, Tagger, classes
 
-TRAIN_DOCS, STEPS = 4000, 220
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_TEXTS, TRAIN_WINDOWS, MADE_UP, STEPS = 4000, 600, 1500, 20, 2600, 220
 WINDOW, STRIDE, MARGIN = 64, 32, 24
 SURE = 1.0
 LONGEST = 320
@@ -241,7 +243,7 @@ def made_up(rng: np.random.Generator) -> tuple[str | None, str]:
     return None, [f"{rng.integers(1, 9)}.{rng.integers(0, 9)}", str(rng.integers(1, 99999)), f"20{digits(2)}-0{rng.integers(1, 9)}-1{digits(1)}", f"password={hexes}", f"token = \"{hexes}\"", f"{digits(2)}:{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(2)}", f"@{word()}"][rng.integers(8)]
 
 
-def training_windows(texts: list[str], seed: int = 3, made: int = 2600) -> tuple[np.ndarray, np.ndarray]:
+def training_windows(texts: list[str], seed: int = 3, made: int = MADE_UP) -> tuple[np.ndarray, np.ndarray]:
     """Character classes and tags of windows over the texts' own pattern spans and over made-up items set into them."""
     rng, rows = np.random.default_rng(seed), []
 
@@ -256,9 +258,9 @@ def training_windows(texts: list[str], seed: int = 3, made: int = 2600) -> tuple
                 tags[max(a - start, 0)] = 1 + 2 * k
         rows.append((ids, tags))
 
-    for text in texts[:1500]:
+    for text in texts[:TRAIN_TEXTS]:
         spans = base_spans(text)
-        for start in windows(text)[:20]:
+        for start in windows(text)[:TRAIN_WINDOWS]:
             add(text, spans, start)
     carriers = [t for t in texts if len(t) > 40] or ["so it was said that all of them went home by the river in the end. "]
     for _ in range(made):
@@ -278,31 +280,32 @@ def fit(docs: DataFrame) -> Tagger:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pieces = []
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(1).to_pylist():
                 m = TRIGGER.search(text or "")
-                at = max(0, m.start() - 200) if m else 0
-                pieces.append((text or "")[at : at + 600])
-            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string())], ["piece"])
+                at = max(0, m.start() - TRAIN_CHARS // 3) if m else 0
+                pieces.append((text or "")[at : at + TRAIN_CHARS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.string())], ["doc_id", "piece"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").select("text").mapInArrow(run, "piece string").limit(2 * TRAIN_DOCS).toArrow().column(0).to_pylist()
+    pieces = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(run, "doc_id long, piece string")
+    rows = pieces.groupBy("doc_id").agg(F.min("piece").alias("piece")).toArrow().column("piece").to_pylist()
     tagger = Tagger()
     tagger.train(*training_windows(sorted(rows, key=lambda t: (TRIGGER.search(t) is None, t))), steps=STEPS)
     return tagger
 
 
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
 def find_spans(docs: DataFrame, tagger: Tagger) -> DataFrame:
-    """FOUND of every row: counts and digest of the pattern spans, all spans, and how many the tagger added."""
+    """FOUND of every row: counts and digest of the pattern spans, all spans, how many the tagger added, and how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = all_spans([t or "" for t in batch.column(1).to_pylist()], tagger)
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *counts, pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found], pa.string()), pa.array([joined(spans) for _, spans in found], pa.string()), pa.array([len(spans) - len(base) for base, spans in found], pa.int64())],
-                ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"],
+                [batch.column(0), *counts, pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found], pa.string()), pa.array([joined(spans) for _, spans in found], pa.string()), pa.array([len(spans) - len(base) for base, spans in found], pa.int64()), pa.array([len(spans) for _, spans in found], pa.int64())],
+                ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, FOUND)
