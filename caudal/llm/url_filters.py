@@ -1,23 +1,27 @@
 """URL filter: allow and block rules first, then logistic regression on hashed character n-grams of host and path.
 
-Everything runs as DataFrame expressions. The model is fitted by full-batch gradient descent, one
-aggregation for each step, on a small labelled table; its weights (BUCKETS numbers, whatever the input)
-come to the driver and go back into the plan as one constant array.
-
-Defined cases: a null URL, or one without `://`, has empty host and path, takes no rule and is judged by
-the model's intercept; repeated rows are judged alike; an empty table gives an empty result; columns of
-other names are not read.
+Everything runs as DataFrame expressions. The model is fitted by full-batch gradient descent (Adagrad: a bucket's step shrinks
+with its past slopes, so that rare n-grams learn as fast as common ones), one aggregation for each step, on a small labelled
+table; its weights (at most BUCKETS numbers, whatever the input) come to the driver and go back into the plan as one constant array.
+
+Defined cases: a null URL, or one without `://`, has empty host and path, takes no rule and is allowed; a port is part of the
+host; of two `://` the first counts; a very long URL is judged whole; of rules of equal length that both fit (they can only be
+equal) the last counts; log-odds of exactly 0 allow; repeated rows are judged alike; an empty table gives an empty result;
+extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS, STEPS, RATE, KEEP = 4096, 30, 10.0, 0.9
-SIZES = (3, 4, 5)
+from .shared import table
+
+BUCKETS, STEPS, RATE = 1 << 16, 12, 0.2
+SIZES = (3, 4)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The labelled table, of general words only (none is read from pages). Blocked words and ordinary ones get the same
@@ -100,17 +104,19 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> t
 
 def gram_buckets(host: Column, path: Column) -> Column:
     """Array of the buckets of all character n-grams of `^host$` and of the path."""
+
+    def hashed(mark: str, grams: Column) -> Column:
+        return F.transform(grams, lambda g: F.pmod(F.xxhash64(F.lit(mark), g), F.lit(BUCKETS)).cast("int"))
+
     parts = []
     for mark, text in (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", path)):
-        for n in SIZES:
-            grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
-            parts.append(F.transform(grams, lambda g, mark=mark: F.pmod(F.xxhash64(F.lit(mark), g), F.lit(BUCKETS)).cast("int")))
+        parts += [hashed(mark, F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)) for n in SIZES]
     return F.concat(*parts)
 
 
 def margin(buckets: Column, weights: list[float], intercept: float) -> Column:
     """The model's log-odds of block; n-gram counts are divided by the square root of their number."""
-    constant = F.from_json(F.lit(json.dumps(weights)), "array<double>")
+    constant = F.from_json(F.lit(json.dumps([w or 0 for w in weights])), "array<double>")
     total = F.aggregate(buckets, F.lit(0.0), lambda acc, b: acc + F.get(constant, b))
     return F.lit(intercept) + total / F.sqrt(F.greatest(F.size(buckets), F.lit(1)).cast("double"))
 
@@ -118,21 +124,23 @@ def margin(buckets: Column, weights: list[float], intercept: float) -> Column:
 def fit(labelled: DataFrame) -> tuple[list[float], float]:
     """Weights and intercept from rows of url and label, by gradient descent; only bucket sums reach the driver."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    rows = labelled.select(F.col("label").cast("double").alias("label"), gram_buckets(host, path).alias("buckets"))
+    rows = table(labelled.select(F.col("label").cast("double").alias("label"), gram_buckets(host, path).alias("buckets")), "urls")
     n = rows.count()
-    weights, intercept, speed, push = [0.0] * BUCKETS, 0.0, [0.0] * BUCKETS, 0.0
+    weights, intercept, past, past_of_all = [0.0] * BUCKETS, 0.0, [1e-24] * BUCKETS, 1e-24
     for _ in range(STEPS):
         p = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin(F.col("buckets"), weights, intercept)))
         miss = rows.select((p - F.col("label")).alias("miss"), "buckets")
         each = miss.select("miss", F.sqrt(F.greatest(F.size("buckets"), F.lit(1)).cast("double")).alias("root"), F.explode(F.concat(F.array(F.lit(-1)), F.col("buckets"))).alias("bucket"))
         part = F.when(F.col("bucket") == -1, F.col("miss")).otherwise(F.col("miss") / F.col("root"))
         slopes = dict(each.groupBy("bucket").agg(F.sum(part)).collect())
-        push = KEEP * push - RATE * slopes.pop(-1, 0.0) / n
-        intercept += push
-        for bucket in range(BUCKETS):
-            speed[bucket] = KEEP * speed[bucket] - RATE * slopes.get(bucket, 0.0) / n
-            weights[bucket] += speed[bucket]
-    return [round(w, 9) for w in weights], round(intercept, 9)
+        slope = slopes.pop(-1, 0.0) / n
+        past_of_all += slope * slope
+        intercept -= RATE * slope / math.sqrt(past_of_all)
+        for bucket, total in slopes.items():
+            slope = total / n
+            past[bucket] += slope * slope
+            weights[bucket] = round(weights[bucket] - RATE * slope / math.sqrt(past[bucket]), 6)
+    return [round(w, 6) for w in weights], round(intercept, 6)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], weights: list[float], intercept: float) -> DataFrame:
