@@ -246,6 +246,7 @@ def made_up(rng: np.random.Generator) -> tuple[str | None, str]:
 def training_windows(texts: list[str], seed: int = 3, made: int = MADE_UP) -> tuple[np.ndarray, np.ndarray]:
     """Character classes and tags of windows over the texts' own pattern spans and over made-up items set into them."""
     rng, rows = np.random.default_rng(seed), []
+    texts = sorted(texts, key=lambda t: (TRIGGER.search(t) is None, t))
 
     def add(text: str, spans: list[Span], start: int) -> None:
         ids, tags = np.full(WINDOW, PAD), np.zeros(WINDOW, np.int64)
@@ -273,23 +274,25 @@ def training_windows(texts: list[str], seed: int = 3, made: int = MADE_UP) -> tu
     return np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
 
 
+def sampled(text: str) -> str:
+    """What training reads of a text: TRAIN_CHARS characters around its first trigger."""
+    m = TRIGGER.search(text)
+    at = max(0, m.start() - TRAIN_CHARS // 3) if m else 0
+    return text[at : at + TRAIN_CHARS]
+
+
 def fit(docs: DataFrame) -> Tagger:
     """Trains a tagger; only windows of the sampled documents that hold a digit or at sign come to the driver, and short ends of others."""
     chosen = smallest(docs.select("doc_id"), "doc_id", 4, TRAIN_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pieces = []
-            for text in batch.column(1).to_pylist():
-                m = TRIGGER.search(text or "")
-                at = max(0, m.start() - TRAIN_CHARS // 3) if m else 0
-                pieces.append((text or "")[at : at + TRAIN_CHARS])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.string())], ["doc_id", "piece"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sampled(t or "") for t in batch.column(1).to_pylist()], pa.string())], ["doc_id", "piece"])
 
     pieces = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(run, "doc_id long, piece string")
     rows = pieces.groupBy("doc_id").agg(F.min("piece").alias("piece")).toArrow().column("piece").to_pylist()
     tagger = Tagger()
-    tagger.train(*training_windows(sorted(rows, key=lambda t: (TRIGGER.search(t) is None, t))), steps=STEPS)
+    tagger.train(*training_windows(rows), steps=STEPS)
     return tagger
 
 

@@ -6,9 +6,10 @@ streams frame by frame and checks every header and length.
 
 Files go through pyarrow's file systems (local, hdfs, s3, ...) into the shared folder of the session.
 
-Defined cases: null html or url is empty; equal payloads of at least MIN_REVISIT bytes have one response, that
-of the smallest page_id, however many copies there are; an empty table gives no archive and no rows; extra
-columns are not read. page_id must be unique and not null, as it names the record.
+Defined cases: null html or url is empty; equal payloads of at least MIN_REVISIT bytes have one response, that of the smallest
+page_id, however many copies there are (rows that repeat this page_id with this payload are responses too); a null page_id
+gives a record without number, a response always; a page_id with several payloads gives a record of each; a very long page is
+one record in one frame; an empty table gives no archive and no rows; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -50,9 +51,9 @@ def train_dictionary(pages: DataFrame) -> bytes:
         return b""
 
 
-def record(page_id: int, url: str, kind: str, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str, kind: str, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
     """One WARC 1.1 record; a revisit has no block."""
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', url)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', url)}"]
     lines += ["WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {size}"]
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
@@ -64,12 +65,26 @@ def dictionary_frame(dictionary: bytes) -> bytes:
     return struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
 
 
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """File system and place of a path or URI."""
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """folder with the scheme of the cluster's default file system, unless it has one or that is the local one."""
+    if ":" in folder.split("/")[0]:
+        return folder
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return folder if whole.startswith("file:") else whole
+
+
 def write_archives(pages: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
     """pages: page_id, url, html, refers_to (null for a response). Returns path, records and bytes of each archive."""
     schema = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, place = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store, place = opened(folder)
         store.create_dir(place, recursive=True)
         packer = zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=True, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         out, name, count, size, done = None, "", 0, 0, []
@@ -158,11 +173,14 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     names = {"response", "revisit"}
 
     def rows(path: str) -> Iterator[tuple]:
-        store, place = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+        store, place = opened(path)
         with store.open_input_stream(place) as stream:
             for data in frames(stream):
                 headers, block = parse_record(data)
-                kind, page_id = headers["warc-type"], int(re.fullmatch(r"<urn:page:(-?\d+)>", headers["warc-record-id"])[1])
+                named = re.fullmatch(r"<urn:page:(-?\d*)>", headers["warc-record-id"])
+                if named is None:
+                    raise ValueError(f"record id {headers['warc-record-id'][:60]!r}")
+                kind, page_id = headers["warc-type"], int(named[1]) if named[1] else None
                 digest, size = headers["warc-payload-digest"].removeprefix("sha256:"), int(headers["warc-payload-length"])
                 if kind not in names:
                     raise ValueError(f"record type {kind!r}")
@@ -197,16 +215,17 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     Only ids and digests are grouped; a page joins the copies' table by its own id, so that no group of copies meets in one task.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    sums = pages.select("page_id", F.unhex(F.sha2(payload, 256)).alias("digest"), F.length(payload).alias("size")).filter(F.col("size") >= MIN_REVISIT)
+    digest = F.unhex(F.sha2(payload, 256)).alias("digest")
+    sums = pages.select("page_id", digest, F.length(payload).alias("size")).filter((F.col("size") >= MIN_REVISIT) & F.col("page_id").isNotNull())
     firsts = sums.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "refers_to")
-    copies = sums.join(firsts, "digest").filter(F.col("page_id") != F.col("refers_to")).select("page_id", "refers_to")
-    return pages.select("page_id", "url", "html").join(copies, "page_id", "left")
+    copies = sums.join(firsts, "digest").filter(F.col("page_id") != F.col("refers_to")).select("page_id", "digest", "refers_to").distinct()
+    return pages.select("page_id", "url", "html", digest).join(copies, ["page_id", "digest"], "left").drop("digest")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    manifest = table(write_archives(with_revisits(pages), shared_folder(spark, "warc"), train_dictionary(pages)), "warc-manifest")
+    manifest = table(write_archives(with_revisits(pages), qualified(spark, shared_folder(spark, "warc")), train_dictionary(pages)), "warc-manifest")
     return read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
