@@ -221,7 +221,11 @@ def test_op6_ratio_by_brute_force_and_defined_cases(spark):
     found = quality.judge(spark, docs, labels).collect()
     assert len(found) == len(rows)
     raw, target = Counter(), Counter()
-    grams = lambda t: [int.from_bytes(t.encode()[i : i + 4], "little") * 2654435761 % (1 << 32) >> 16 for i in range(len(t or "") - 3)]
+
+    def grams(text):
+        data = text.encode()
+        return [int.from_bytes(data[i : i + 4], "little") * 2654435761 % (1 << 32) >> 16 for i in range(len(data) - 3)]
+
     for d, t, _ in rows:
         raw.update(grams(t or ""))
         if d is not None and d < 20 and d % 2:
