@@ -15,6 +15,11 @@ def percent(part: Column, total: Column) -> Column:
     return whole(F.when(total > 0, 100.0 * part / total).otherwise(F.lit(0.0)))
 
 
+def percent_change(now: Column, before: Column) -> Column:
+    """Whole per cent, half even; null without a base."""
+    return F.when(before != 0, whole((now - before) * 100 / before))
+
+
 def within(sales: DataFrame, start: Column, end: Column) -> DataFrame:
     return sales.filter((F.col("ts") >= start) & (F.col("ts") < end))
 
@@ -30,7 +35,7 @@ def variation(sales: DataFrame, before: Column, start: Column, end: Column) -> D
     both = within(sales, before, end)
     now = F.coalesce(F.sum(F.when(F.col("ts") >= start, F.col("amount"))), F.lit(0)).cast("double")
     then = F.coalesce(F.sum(F.when(F.col("ts") < start, F.col("amount"))), F.lit(0)).cast("double")
-    return both.agg(now.alias("revenue"), then.alias("previous")).withColumn("variation", F.when(F.col("previous") > 0, F.round((F.col("revenue") - F.col("previous")) / F.col("previous") * 100, 1)))
+    return both.agg(now.alias("revenue"), then.alias("previous")).withColumn("variation", percent_change(F.col("revenue"), F.col("previous")))
 
 
 def repeat_buyers(sales: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -69,9 +74,9 @@ def renewal(sales: DataFrame) -> DataFrame:
 
 
 def most_frequent(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """The commonest value of each key, ties by value; counted before any window, so that hot keys arrive as a few rows."""
-    counted = rows.groupBy(key, value).count()
-    return counted.groupBy(key).agg(F.max_by(value, F.struct(F.col("count"), F.col(value))).alias(f"top_{value}"))
+    """The commonest value of each key, ties by what was seen first (ts, id); counted before the second step, so that hot keys arrive as a few rows."""
+    counted = rows.groupBy(key, value).agg(F.count("*").alias("n"), F.min("ts").alias("ts"), F.min("id").alias("id"))
+    return counted.groupBy(key).agg(F.min_by(value, F.struct(-F.col("n"), "ts", "id")).alias(f"top_{value}"))
 
 
 def portfolio(sales: DataFrame, key: str) -> DataFrame:
@@ -88,11 +93,12 @@ def consumption(moves: DataFrame, now: Column, weeks: int = 8) -> DataFrame:
     return out.withColumn("weekly", F.round(F.col("used") / weeks, 1)).withColumn("weeks_left", F.when(F.col("used") > 0, F.round(F.col("balance") * weeks / F.col("used"), 1)))
 
 
-def unpaid_without_later(unpaid: DataFrame, paid: DataFrame) -> DataFrame:
-    """Each buyer's most recent unpaid sale, unless a paid one follows; the paid side is reduced to one row per buyer first."""
-    last = paid.groupBy("buyer").agg(F.max("ts").alias("paid_at"))
-    latest = unpaid.groupBy("buyer").agg(F.max(F.struct("ts", "id")).alias("x")).select("buyer", "x.ts", "x.id")
-    return latest.join(last, "buyer", "left").filter(F.col("paid_at").isNull() | (F.col("paid_at") <= F.col("ts"))).select("buyer", "id", "ts")
+def unpaid_without_later(unpaid: DataFrame, paid: DataFrame, *keys: str) -> DataFrame:
+    """The most recent unpaid sale of each key (nulls are a key's values too), unless a paid one is as late; both sides are reduced to one row a key first."""
+    last = paid.groupBy(*keys).agg(F.max("ts").alias("paid_at")).toDF(*(f"paid_{k}" for k in keys), "paid_at")
+    latest = unpaid.groupBy(*keys).agg(F.max(F.struct("ts", "id")).alias("x")).select(*keys, "x.ts", "x.id")
+    same = [F.col(k).eqNullSafe(F.col(f"paid_{k}")) for k in keys] + [F.col("paid_at") >= F.col("ts")]
+    return latest.join(last, same, "left_anti").select(*keys, "id", "ts")
 
 
 def top(rows: DataFrame, key: str, n: int) -> DataFrame:
@@ -105,20 +111,16 @@ def by_last(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
 
 
 def cheapest_packs(needs: DataFrame, need: str, packs: dict[int, int], most: int = 100_000) -> DataFrame:
-    """needs with the least cost of packs (size: price) that cover each need, and the least number of units at that cost.
+    """needs with the packs (size: price) that cover each: least cost, then fewest purchases, then fewest units. Null for none, or over `most`.
 
-    The greatest need, at most `most`, bounds the table of costs, which one small helper fills and Spark broadcasts.
+    The greatest need up to `most` bounds the table of costs, which one small helper fills and Spark broadcasts.
     """
-    top = needs.agg(F.max(need)).first()[0]
-    if top is not None and top > most:
-        raise ValueError(f"needs over {most} are beyond the table")
-    end = max(0, int(top or 0)) + max(packs)
-    cost: list[float] = [0] + [float("inf")] * end
-    for total in range(1, end + 1):
-        cost[total] = min((cost[total - size] + price for size, price in packs.items() if size <= total), default=float("inf"))
-    best = [min((cost[total], total) for total in range(n, n + max(packs))) for n in range(end - max(packs) + 1)]
-    told = needs.sparkSession.createDataFrame([(n, int(c), t) for n, (c, t) in enumerate(best)], f"{need} long, cost long, units long")
-    return needs.join(F.broadcast(told), need, "left")
+    top = needs.filter(F.col(need) <= most).agg(F.max(need)).first()[0]
+    best = [(0, 0, 0)]
+    for total in range(1, int(top or 0) + 1):
+        best.append(min((best[max(0, total - size)][0] + price, best[max(0, total - size)][1] + 1, best[max(0, total - size)][2] + size) for size, price in packs.items()))
+    told = needs.sparkSession.createDataFrame([(n, *x) for n, x in enumerate(best) if n], f"{need} long, cost long, purchases long, units long")
+    return needs.join(F.broadcast(told), need, "left").withColumn("surplus", F.col("units") - F.col(need))
 
 
 def prices(rows: DataFrame, price: str, discount: str) -> DataFrame:

@@ -23,7 +23,7 @@ def repeated_lines(docs: DataFrame, group: str, id_: str, least: int = 3, parts:
     lines = docs.select(group, id_, F.explode(F.split("text", "\n")).alias("raw")).select(group, id_, F.trim("raw").alias("line")).filter("line <> ''")
     held = lines.groupBy(group, "line").agg(F.countDistinct(id_).alias("docs"))
     total = docs.groupBy(group).agg(F.count("*").alias("total"))
-    return held.filter(F.col("docs") >= least).join(F.broadcast(total), group).filter(F.col("docs") * parts >= F.col("total")).drop("total")
+    return held.filter(F.col("docs") >= least).join(total, group).filter(F.col("docs") * parts >= F.col("total")).drop("total")
 
 
 def shared_terms(topics: DataFrame, docs: DataFrame, topic_id: str, doc_id: str, most_docs: float) -> DataFrame:
@@ -51,3 +51,20 @@ def short_of_median(rows: DataFrame, group: str, size: str, share: float) -> Dat
     """rows with `visual` for those whose size is under that share of their group's median, else `text`; equal sizes combine before the shuffle."""
     middle = rows.groupBy(group).agg(F.percentile(size, F.lit(0.5)).alias("middle"))
     return rows.join(middle, group).withColumn("kind", F.when(F.col(size) < share * F.col("middle"), "visual").otherwise("text")).drop("middle")
+
+
+def nearest(vectors: DataFrame, asked: DataFrame, n: int, block: int = 256) -> DataFrame:
+    """query_id, vec_id, score: the n vectors (vec_id, embedding) most like each asked one (query_id, asked), itself left out.
+
+    The queries go over all vectors in blocks of bounded size, which are broadcast. Each task keeps n rows a query before
+    anything moves: a window's limit is applied to its partition first, so a query's rows over the shuffle are n times the tasks.
+    """
+    ids = [r.query_id for r in asked.select("query_id").orderBy("query_id").collect()]
+    found = None
+    for at in range(0, max(1, len(ids)), block):
+        some = asked.filter(F.col("query_id").isin(ids[at : at + block]))
+        scored = vectors.join(F.broadcast(some), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("asked")), 6).alias("score"))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        best = scored.withColumn("place", place).filter(F.col("place") <= n).drop("place")
+        found = best if found is None else found.unionByName(best)
+    return found

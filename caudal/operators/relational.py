@@ -13,10 +13,10 @@ def last_writer(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def duplicates(rows: DataFrame, key: Column, id_: str) -> DataFrame:
-    """Rows whose key an earlier row (smaller id) has too, with that row's id."""
+    """Rows whose key an earlier row (smaller id) has too, with that row's id; the key is computed once, and only digests and ids move."""
     keyed = rows.select(F.col(id_), F.sha2(key, 256).alias("key"))
-    first = keyed.groupBy("key").agg(F.min(id_).alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("key", "first_id")
-    return keyed.join(first, "key").filter(F.col(id_) > F.col("first_id")).select(id_, "first_id")
+    first = F.min(id_).over(Window.partitionBy("key"))
+    return keyed.filter("key IS NOT NULL").withColumn("first_id", first).filter(F.col(id_) > F.col("first_id")).select(id_, "first_id")
 
 
 def merge_intervals(rows: DataFrame, key: str) -> DataFrame:
@@ -35,10 +35,23 @@ def asof(probes: DataFrame, facts: DataFrame, key: str, value: str) -> DataFrame
     return sides.withColumn(value, F.last(value, ignorenulls=True).over(by)).filter("side = 1").select(key, "ts", *rest, value)
 
 
-def capacity(needs: DataFrame, need: str, sizes: DataFrame, size: str) -> DataFrame:
-    """Each need with the smallest size that holds it; sizes are reduced to their distinct values, one array in one row."""
-    held = sizes.agg(F.array_sort(F.collect_set(F.col(size).cast("double"))).alias("held"))
-    return needs.crossJoin(F.broadcast(held)).withColumn("fits", F.array_min(F.filter("held", lambda x: x >= F.col(need)))).drop("held")
+def capacity(needs: DataFrame, need: str, sizes: DataFrame, size: str, ranges: int = 64) -> DataFrame:
+    """Each need with the smallest size that holds it, by running minima over the distinct values of needs and sizes.
+
+    The values are cut into ranges at approximate quantiles; what a range does not hold comes from the least size behind it, of
+    which there is one for each range. Needs then look theirs up by an equal join.
+    """
+    asked = needs.select(F.col(need).cast("double").alias("x")).distinct().withColumn("asked", F.lit(1))
+    held = sizes.select(F.col(size).cast("double").alias("x")).distinct().withColumn("asked", F.lit(0))
+    both = asked.unionByName(held).filter("x IS NOT NULL")
+    cuts = sorted(set(both.agg(F.percentile_approx("x", [i / ranges for i in range(1, ranges)])).first()[0] or []))
+    part = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)).cast("array<double>"), lambda c: c < F.col("x")))
+    both = both.withColumn("part", part)
+    least = {r.part: r.x for r in both.filter("asked = 0").groupBy("part").agg(F.min("x").alias("x")).collect()}
+    behind = F.array(*(F.lit(min((x for p, x in least.items() if p > i), default=None)) for i in range(len(cuts) + 1))).cast("array<double>")
+    by = Window.partitionBy("part").orderBy(F.desc("x"), "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = both.withColumn("fits", F.coalesce(F.min(F.when(F.col("asked") == 0, F.col("x"))).over(by), F.get(behind, F.col("part")))).filter("asked = 1").select("x", "fits")
+    return needs.join(told, F.col(need).cast("double") == F.col("x"), "left").select(*needs.columns, "fits")
 
 
 def round_robin(rows: DataFrame, group: str, id_: str, n: int) -> DataFrame:
@@ -95,3 +108,8 @@ def gapless(rows: DataFrame, key: str, place: str) -> DataFrame:
     sizes = rows.groupBy(key).agg(F.count("*").alias("parts"), F.countDistinct(place).alias("kinds"), F.min(place).alias("low"), F.max(place).alias("high"))
     whole = (F.col("low") == 1) & (F.col("high") == F.col("parts")) & (F.col("kinds") == F.col("parts"))
     return sizes.select(key, "parts", whole.alias("gapless"))
+
+
+def next_larger(rows: DataFrame, key: str, size: str) -> DataFrame:
+    """Each distinct size of a key with the next larger one, null for the largest."""
+    return rows.select(key, size).distinct().withColumn("larger", F.lead(size).over(Window.partitionBy(key).orderBy(size)))

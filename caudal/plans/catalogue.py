@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,31 +9,22 @@ from ..functions import text as T
 from ..operators import commerce, corpus, learning, relational
 from ..streaming import attempts
 from ..sources.tables import answers, buyers, moment, read, sales, validity
+from .registry import ORACLES, QUERIES, query
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 START, MIDDLE, END = "2000-01-01", "2000-07-01", "2001-01-01"
 NOW, TODAY = "2001-08-01", "2024-01-31"
 
 SALES = "WITH sales AS (SELECT o_orderkey AS id, o_orderdate AS ts, o_totalprice::DECIMAL(18,2) AS amount, o_custkey AS buyer, o_orderpriority AS plan FROM orders WHERE o_orderstatus IN ('F','O'))"
 
 
-def query(sql: str | None = None) -> Callable:
-    def put(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
 @query(f"{SALES} SELECT coalesce(sum(amount), 0)::DOUBLE AS revenue, count(*) AS sales, round_even(coalesce(sum(amount)::DOUBLE / nullif(count(*), 0), 0), 0)::BIGINT AS ticket, count(DISTINCT buyer) AS buyers FROM sales WHERE ts >= '{START}' AND ts < '{END}'")
 def panorama_kpis(spark, sf):
     return commerce.kpis(commerce.within(sales(spark, sf), moment(START), moment(END)))
 
 
-@query(f"{SALES}, t AS (SELECT coalesce(sum(amount) FILTER (ts >= '{MIDDLE}'), 0)::DOUBLE AS revenue, coalesce(sum(amount) FILTER (ts < '{MIDDLE}'), 0)::DOUBLE AS previous FROM sales WHERE ts >= '{START}' AND ts < '{END}') SELECT *, CASE WHEN previous > 0 THEN round((revenue - previous) / previous * 100, 1) END AS variation FROM t")
+@query(f"{SALES}, t AS (SELECT coalesce(sum(amount) FILTER (ts >= '{MIDDLE}'), 0)::DOUBLE AS revenue, coalesce(sum(amount) FILTER (ts < '{MIDDLE}'), 0)::DOUBLE AS previous FROM sales WHERE ts >= '{START}' AND ts < '{END}') SELECT *, CASE WHEN previous <> 0 THEN round_even((revenue - previous) * 100 / previous, 0)::BIGINT END AS variation FROM t")
 def panorama_variation(spark, sf):
     return commerce.variation(sales(spark, sf), moment(START), moment(MIDDLE), moment(END))
 
@@ -101,7 +90,7 @@ def renewal_rate(spark, sf):
 
 
 def _portfolio_sql(key: str, join: str) -> str:
-    return f"{SALES}, s AS (SELECT {key} AS k, sales.* FROM sales {join}), m AS (SELECT k, plan, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, plan DESC) AS r FROM s GROUP BY 1, 2), b AS (SELECT k, count(*) AS purchases, sum(round_even(amount::DOUBLE, 0)::BIGINT)::BIGINT AS total, min(ts)::DATE AS first_day, max(ts)::DATE AS last_day, count(DISTINCT buyer) AS buyers FROM s GROUP BY 1) SELECT b.k AS {'school' if join else 'buyer'}, purchases, total, first_day, last_day, {'buyers, ' if join else ''}plan AS top_plan, CASE WHEN purchases > 1 THEN round_even((last_day - first_day)::DOUBLE / (purchases - 1), 0)::BIGINT END AS mean_gap_days FROM b JOIN m ON b.k = m.k AND r = 1"
+    return f"{SALES}, s AS (SELECT {key} AS k, sales.* FROM sales {join}), m AS (SELECT k, plan, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, min(ts), min(id)) AS r FROM s GROUP BY 1, 2), b AS (SELECT k, count(*) AS purchases, sum(round_even(amount::DOUBLE, 0)::BIGINT)::BIGINT AS total, min(ts)::DATE AS first_day, max(ts)::DATE AS last_day, count(DISTINCT buyer) AS buyers FROM s GROUP BY 1) SELECT b.k AS {'school' if join else 'buyer'}, purchases, total, first_day, last_day, {'buyers, ' if join else ''}plan AS top_plan, CASE WHEN purchases > 1 THEN round_even((last_day - first_day)::DOUBLE / (purchases - 1), 0)::BIGINT END AS mean_gap_days FROM b JOIN m ON b.k = m.k AND r = 1"
 
 
 @query(_portfolio_sql("c_nationkey", "JOIN customer ON buyer = c_custkey"))
@@ -121,9 +110,9 @@ def ledger_consumption(spark, sf):
     return commerce.consumption(moves, moment(NOW))
 
 
-@query(f"{SALES}, p AS (SELECT o_custkey AS buyer, o_orderkey AS id, o_orderdate AS ts, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders WHERE o_orderstatus NOT IN ('F','O')) SELECT buyer, id, ts FROM p WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM sales s WHERE s.buyer = p.buyer AND s.ts > p.ts)")
+@query(f"{SALES}, p AS (SELECT o_custkey AS buyer, o_orderpriority AS plan, o_orderkey AS id, o_orderdate AS ts, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders WHERE o_orderstatus NOT IN ('F','O')) SELECT buyer, plan, id, ts FROM p WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM sales s WHERE s.buyer = p.buyer AND s.plan IS NOT DISTINCT FROM p.plan AND s.ts >= p.ts)")
 def rule_unpaid(spark, sf):
-    return commerce.unpaid_without_later(sales(spark, sf, paid=False), sales(spark, sf))
+    return commerce.unpaid_without_later(sales(spark, sf, paid=False), sales(spark, sf), "buyer", "plan")
 
 
 @query(f"{SALES} SELECT buyer, max(ts) AS last_at FROM sales GROUP BY 1 HAVING max(ts) < TIMESTAMP '{NOW}' - INTERVAL 180 DAY")
@@ -193,12 +182,12 @@ def interval_merge(spark, sf):
     return relational.merge_intervals(validity(spark, sf), "owner")
 
 
-@query("WITH f AS (SELECT l_partkey AS part, l_shipdate AS ts, max(l_extendedprice / l_quantity) AS price FROM lineitem GROUP BY 1, 2), p AS (SELECT l_partkey AS part, o_orderdate AS ts, o_orderkey AS id, l_linenumber AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate >= '2000-01-01') SELECT p.part, p.ts, p.id, p.line, f.price FROM p ASOF LEFT JOIN f ON p.part = f.part AND p.ts >= f.ts")
+@query("WITH f AS (SELECT l_partkey AS part, l_shipdate AS ts, max(l_extendedprice / l_quantity) AS price FROM lineitem GROUP BY 1, 2), p AS (SELECT l_partkey AS part, o_orderdate AS ts, o_orderkey AS id, l_linenumber AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT p.part, p.ts, p.id, p.line, f.price FROM p ASOF LEFT JOIN f ON p.part = f.part AND p.ts >= f.ts")
 def asof_price(spark, sf):
     lines, orders = read(spark, sf, "lineitem"), read(spark, sf, "orders")
     facts = lines.groupBy(F.col("l_partkey").alias("part"), F.col("l_shipdate").alias("ts")).agg(F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
-    late = orders.filter(F.col("o_orderdate") >= moment("2000-01-01")).select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"))
-    probes = lines.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("line")).join(late, "id").select("part", "ts", "id", "line")
+    dated = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"))
+    probes = lines.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("line")).join(dated, "id").select("part", "ts", "id", "line")
     return relational.asof(probes, facts, "part", "price")
 
 
@@ -264,9 +253,7 @@ def anchoring(spark, sf):
 def vector_topk(spark, sf):
     vectors = read(spark, sf, "embeddings").select("vec_id", "embedding")
     asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
-    scored = vectors.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(corpus.cosine(F.col("embedding"), F.col("asked")), 6).alias("score"))
-    best = scored.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, 5).alias("x"))
-    return best.select("query_id", F.explode("x").alias("x")).select("query_id", "x.vec_id", (-F.col("x.far")).alias("score"))
+    return corpus.nearest(vectors, asked, 5)
 
 
 @query("SELECT user_id AS \"user\", CAST(time_bucket(INTERVAL 1 DAY, ts) AS TIMESTAMP) AS day, count(*) AS attempts, count(*) FILTER (event_type = 'purchase') AS authorised FROM events GROUP BY 1, 2")
@@ -288,11 +275,11 @@ def multi_path_semi(spark, sf):
     return relational.by_any_path(people.select("buyer"), "buyer", near, late, people.filter("c_acctbal > 9000"))
 
 
-@query(f"WITH {INTERVALS}, p AS (SELECT l_suppkey AS owner, o_orderdate AS ts, l_orderkey AS id, l_linenumber AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate >= '2001-01-01') SELECT * FROM p WHERE EXISTS (SELECT 1 FROM i WHERE i.owner = p.owner AND p.ts >= i.start AND p.ts <= i.\"end\")")
+@query(f"WITH {INTERVALS}, p AS (SELECT l_suppkey AS owner, o_orderdate AS ts, l_orderkey AS id, l_linenumber AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT * FROM p WHERE EXISTS (SELECT 1 FROM i WHERE i.owner = p.owner AND p.ts >= i.start AND p.ts <= i.\"end\")")
 def range_containment(spark, sf):
-    late = read(spark, sf, "orders").filter(F.col("o_orderdate") >= moment("2001-01-01")).select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"))
+    dated = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"))
     lines = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("owner"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"))
-    return relational.contained(lines.join(late, "id").select("owner", "ts", "id", "line"), validity(spark, sf), "owner")
+    return relational.contained(lines.join(dated, "id").select("owner", "ts", "id", "line"), validity(spark, sf), "owner")
 
 
 @query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents QUALIFY place <= 30 AND (place - 1) % 3 = 0")
@@ -312,7 +299,7 @@ def range_order(spark, sf):
     return relational.gapless(read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line")), "id", "line")
 
 
-@query("WITH d AS (SELECT DISTINCT l_quantity::BIGINT AS need FROM lineitem), c AS (SELECT need, a * 30 + b * 130 + c * 400 AS cost, a + b * 5 + c * 20 AS units FROM d, range(0, 51) x(a), range(0, 12) y(b), range(0, 5) z(c) WHERE a + b * 5 + c * 20 >= need), m AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY need ORDER BY cost, units) = 1) SELECT l_orderkey AS id, l_linenumber AS line, need, cost, units FROM lineitem JOIN m ON l_quantity::BIGINT = need")
+@query("WITH d AS (SELECT DISTINCT l_quantity::BIGINT AS need FROM lineitem), c AS (SELECT need, a * 30 + b * 130 + c * 400 AS cost, a + b + c AS purchases, a + b * 5 + c * 20 AS units FROM d, range(0, 51) x(a), range(0, 12) y(b), range(0, 5) z(c) WHERE a + b * 5 + c * 20 >= need), m AS (SELECT *, row_number() OVER (PARTITION BY need ORDER BY cost, purchases, units) AS r FROM c) SELECT l_orderkey AS id, l_linenumber AS line, l_quantity::BIGINT AS need, cost::BIGINT AS cost, purchases::BIGINT AS purchases, units::BIGINT AS units, units::BIGINT - l_quantity::BIGINT AS surplus FROM lineitem LEFT JOIN m ON m.need = l_quantity::BIGINT AND r = 1")
 def pack_recommendation(spark, sf):
     needs = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("long").alias("need"))
     return commerce.cheapest_packs(needs, "need", {1: 30, 5: 130, 20: 400})
