@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import normalised, tokens
 
 
 def terms(docs: DataFrame, id_: str) -> DataFrame:
@@ -14,8 +14,10 @@ def terms(docs: DataFrame, id_: str) -> DataFrame:
 
 
 def keywords(docs: DataFrame, id_: str, n: int) -> DataFrame:
-    by = Window.partitionBy(id_).orderBy(F.desc("tf"), "term")
-    return terms(docs, id_).withColumn("place", F.row_number().over(by)).filter(F.col("place") <= n)
+    """The n commonest terms of each text, ties by what comes first in it."""
+    placed = docs.select(id_, F.posexplode(tokens(F.col("text"))).alias("pos", "term")).groupBy(id_, "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first"))
+    by = Window.partitionBy(id_).orderBy(F.desc("tf"), "first")
+    return placed.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= n).drop("first")
 
 
 def repeated_lines(docs: DataFrame, group: str, id_: str, least: int = 3, parts: int = 3) -> DataFrame:
@@ -28,10 +30,13 @@ def repeated_lines(docs: DataFrame, group: str, id_: str, least: int = 3, parts:
 
 def shared_terms(topics: DataFrame, docs: DataFrame, topic_id: str, doc_id: str, most_docs: float) -> DataFrame:
     """Share of a topic's distinct terms that a document holds; terms in more than that share of the documents don't count."""
-    held = terms(docs, doc_id).select(doc_id, "term")
+    # Only the topics' own terms are counted and moved; Spark broadcasts their list where it is small.
+    asked = terms(topics, topic_id).select(topic_id, "term")
+    held = docs.select(doc_id, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").select(doc_id, "term")
     often = held.groupBy("term").agg(F.count("*").alias("df"))
-    rare = often.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).filter(F.col("df") <= F.col("n") * most_docs).select("term")
-    mine = terms(topics, topic_id).select(topic_id, "term").join(rare, "term", "left_semi")
+    common = often.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).filter(F.col("df") > F.col("n") * most_docs).select("term")
+    # a term that no document holds is no anchor either
+    mine = asked.join(often.select("term"), "term", "left_semi").join(common, "term", "left_anti")
     size = mine.groupBy(topic_id).agg(F.count("*").alias("terms"))
     return held.join(mine, "term").groupBy(topic_id, doc_id).agg(F.count("*").alias("common")).join(size, topic_id).withColumn("share", F.round(F.col("common") / F.col("terms"), 4))
 
@@ -68,3 +73,59 @@ def nearest(vectors: DataFrame, asked: DataFrame, n: int, block: int = 256) -> D
         best = scored.withColumn("place", place).filter(F.col("place") <= n).drop("place")
         found = best if found is None else found.unionByName(best)
     return found
+
+
+def idf_affinity(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, tf_most: int = 3) -> DataFrame:
+    """query, doc, affinity: sum over shared terms of ln(1 + N / df) times the query's count (with a cap), by each query's best document."""
+    asked = terms(queries, query_id)
+    held = docs.select(doc_id, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").select(doc_id, "term")
+    n = docs.agg(F.count("*").alias("n"))
+    idf = held.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
+    weights = asked.join(idf, "term").select(query_id, "term", (F.col("idf") * F.least("tf", F.lit(tf_most))).alias("w"))
+    raw = held.join(weights, "term").groupBy(query_id, doc_id).agg(F.sum("w").alias("raw"))
+    best = raw.groupBy(query_id).agg(F.max("raw").alias("best"))
+    return raw.join(best, query_id).select(query_id, doc_id, F.round(F.col("raw") / F.col("best"), 6).alias("affinity"))
+
+
+def grams(rows: DataFrame, id_: str) -> DataFrame:
+    """id, term, tf of words and pairs of words of the normalised text."""
+    words = F.filter(F.split(normalised(F.col("text")), " "), lambda w: w != "")
+    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+    return rows.select(id_, words.alias("w")).select(id_, F.explode(F.concat("w", pairs)).alias("term")).groupBy(id_, "term").agg(F.count("*").alias("tf"))
+
+
+def tfidf_matches(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, least: float = 0.2, near: float = 0.75, below: float = 0.08, n: int = 5) -> DataFrame:
+    """query, doc, score, forced: the best documents by cosine of TF-IDF vectors (1 + ln tf, idf smoothed and fitted on both sides).
+
+    Kept are scores of `least` and more that are near the best one (near times it, and no more than `below` under it); where none is,
+    the best document alone, marked as forced. Document norms need all of a document's terms, but only terms of queries are joined.
+    """
+    q, d = grams(queries, query_id), grams(docs, doc_id)
+    total = queries.agg(F.count("*").alias("a")).crossJoin(docs.agg(F.count("*").alias("b"))).select((F.col("a") + F.col("b")).alias("total"))
+    df = q.select("term").unionAll(d.select("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.crossJoin(F.broadcast(total)).select("term", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+    def weighted(side: DataFrame, id_: str) -> tuple[DataFrame, DataFrame]:
+        w = side.join(idf, "term").select(id_, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+        return w, w.groupBy(id_).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"norm_{id_}"))
+
+    (wq, nq), (wd, nd) = weighted(q, query_id), weighted(d, doc_id)
+    shared = wd.join(wq.select("term").distinct(), "term", "left_semi").withColumnRenamed("w", "v")
+    dots = shared.join(wq, "term").groupBy(query_id, doc_id).agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    scores = dots.join(nq, query_id).join(nd, doc_id).select(query_id, doc_id, F.round(F.col("dot") / (F.col(f"norm_{query_id}") * F.col(f"norm_{doc_id}")), 6).alias("score"))
+    by = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
+    ranked = scores.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= n)
+    first = ranked.filter("place = 1").select(query_id, F.col("score").alias("best"))
+    floor = F.greatest(F.lit(least), F.col("best") * near, F.col("best") - below)
+    chosen = ranked.join(first, query_id).filter((F.col("score") >= floor) | ((F.col("place") == 1) & (F.col("best") < least)))
+    return chosen.select(query_id, doc_id, "score", (F.col("best") < least).alias("forced"))
+
+
+def needles(needle_texts: DataFrame, docs: DataFrame, needle_id: str, doc_id: str, width: int = 8, step: int = 4) -> DataFrame:
+    """needle, doc, windows: how many of a text's windows of so many words, each so many words on, a document holds: an equal join on hashes."""
+    def windows(rows: DataFrame, id_: str, every: int) -> DataFrame:
+        words = rows.select(id_, F.filter(F.split(normalised(F.col("text")), " "), lambda w: w != "").alias("w"))
+        starts = F.when(F.size("w") >= width, F.sequence(F.lit(1), F.size("w") - width + 1, F.lit(every))).otherwise(F.array().cast("array<int>"))
+        return words.select(id_, F.explode(F.transform(starts, lambda s: F.xxhash64(F.array_join(F.slice("w", s, F.lit(width)), " ")))).alias("window")).distinct()
+
+    return windows(docs, doc_id, 1).join(windows(needle_texts, needle_id, step), "window").groupBy(needle_id, doc_id).agg(F.count("*").alias("windows"))

@@ -169,7 +169,7 @@ def last_writer_wins(spark, sf):
     return relational.last_writer(read(spark, sf, "conversations").select("conv_id", "role", "turn", "text"), ["conv_id", "role"], "turn")
 
 
-NORMAL = f"trim(regexp_replace(translate(lower(text), '{T.MARKED}', '{T.PLAIN}'), '[^a-z0-9]+', ' ', 'g'))"
+NORMAL = "trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'))"
 
 
 @query(f"WITH k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY {NORMAL}) AS first_id FROM documents) SELECT * FROM k WHERE doc_id > first_id")
@@ -231,10 +231,10 @@ def hash_fragment(spark, sf):
     return read(spark, sf, "documents").select("doc_id", T.fragment_hash(F.col("text")).alias("digest"))
 
 
-TERMS = f"terms AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(string_split({NORMAL}, ' ')) AS term FROM documents) WHERE length(term) > 2 AND term NOT IN {T.STOP_WORDS} AND NOT regexp_matches(term, '^[0-9]+$') GROUP BY 1, 2)"
+TERMS = f"words AS (SELECT doc_id, string_split({NORMAL}, ' ') AS w FROM documents), terms AS (SELECT doc_id, term, count(*) AS tf, min(pos) AS first FROM (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM words) WHERE length(term) > 2 AND term NOT IN {T.STOP_WORDS} AND NOT regexp_matches(term, '^[0-9]+$') GROUP BY 1, 2)"
 
 
-@query(f"WITH {TERMS} SELECT doc_id, term, tf, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS place FROM terms QUALIFY place <= 10")
+@query(f"WITH {TERMS} SELECT doc_id, term, tf, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, first) AS place FROM terms QUALIFY place <= 10")
 def keywords(spark, sf):
     return corpus.keywords(read(spark, sf, "documents"), "doc_id", 10)
 
@@ -347,7 +347,7 @@ def sentence_split(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.size(found).alias("sentences"), F.array_max(F.transform(found, F.length)).alias("longest")).filter("sentences > 0")
 
 
-@query("WITH c AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 80 THEN t ELSE regexp_replace(substring(t, 1, 80), ' [^ ]*$', '') || '…' END AS short FROM c")
+@query("WITH c AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 80 THEN t ELSE regexp_replace(substring(t, 1, 77), ' [^ ]*$', '') || '...' END AS short FROM c")
 def shorten(spark, sf):
     return read(spark, sf, "documents").select("doc_id", T.shortened(F.col("text"), 80).alias("short"))
 

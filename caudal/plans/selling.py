@@ -172,12 +172,12 @@ def renewals_by_plan(spark, sf):
     return each.groupBy("buyer").agg(F.sum("again").alias("renewals"))
 
 
-MOVES = "m AS (SELECT l_suppkey AS owner, l_shipdate AS ts, l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_returnflag = 'R' THEN 3 * l_quantity ELSE -l_quantity END::BIGINT AS quantity FROM lineitem)"
+MOVES = "m AS (SELECT l_suppkey AS owner, l_shipdate AS ts, ((l_orderkey * 100 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 AS id, CASE WHEN l_returnflag = 'R' THEN 3 * l_quantity ELSE -l_quantity END::BIGINT AS quantity FROM lineitem)"
 
 
 def _moves(spark, sf):
     quantity = F.when(F.col("l_returnflag") == "R", 3 * F.col("l_quantity")).otherwise(-F.col("l_quantity")).cast("long")
-    return read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("owner"), F.col("l_shipdate").alias("ts"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), quantity.alias("quantity"))
+    return read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("owner"), F.col("l_shipdate").alias("ts"), (((F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey") % 1000).alias("id"), quantity.alias("quantity"))
 
 
 @query(f"WITH {MOVES} SELECT owner, ts, id, quantity, sum(quantity) OVER (PARTITION BY owner ORDER BY ts, id ROWS UNBOUNDED PRECEDING)::BIGINT AS balance FROM m")
@@ -192,10 +192,10 @@ def last_use(spark, sf):
     return _moves(spark, sf).groupBy("owner").agg(F.max(F.when(q < 0, F.col("ts"))).alias("last_use"), total(F.when(q > 0, q)).alias("bought"), total(F.when(q < 0, -q)).alias("used"))
 
 
-@query("SELECT part, ts, price FROM (SELECT l_partkey AS part, l_shipdate AS ts, l_extendedprice AS price, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n = 1")
+@query("SELECT part, ts, price FROM (SELECT l_partkey AS part, l_shipdate AS ts, l_extendedprice AS price, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice) AS n FROM lineitem) WHERE n = 1")
 def price_snapshot(spark, sf):
     rows = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"))
-    return S.first_of(rows, ["part"], "ts", "l_orderkey", "l_linenumber").select("part", "ts", "price")
+    return S.first_of(rows, ["part"], "ts", "l_orderkey", "l_linenumber", "price").select("part", "ts", "price")
 
 
 BATCH = "b AS (SELECT o_orderkey AS line, lower(trim(' User' || (o_custkey * 3 % 2000) || '@' || CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE 'Mail.example' END || ' ')) AS key FROM orders WHERE o_orderkey < 4000), t AS (SELECT 'user' || c_custkey || '@mail.example' AS key FROM customer WHERE c_custkey % 2 = 0)"
