@@ -20,9 +20,11 @@ where they have over BLOCK rows together, they are split by bucket.
 
 Hashes have 64 bits: two different shingles or sets are taken for equal with a chance of about 5e-20 a pair.
 
-Defined cases: a null or empty text, or one without words, has no shingles and is linked with nothing; fewer
-than WIDTH words are one shingle; repeated rows are one node; an empty table gives no rows; extra columns are
-not read. A null doc_id keeps its class's component.
+Defined cases: a null or empty text, or one without words, has no shingles and is linked with nothing; fewer than WIDTH
+words are one shingle; a very long text is one set like any other; repeated rows are one node; a pair at exactly SHARE is
+linked; several texts under one doc_id are linked each by itself, and a row has the component of its own text; a null doc_id
+is linked too (its component is null where all of it is); an empty table gives no rows; extra columns, whatever their names,
+are not read by `linked` and stay in `one_each`.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from .textkit import LOWER, distinct, lists, mix, parts, shingles, span_hashes,
 
 WIDTH, SHARE = 5, 80  # words, per cent
 FREQUENT, CHUNK = 2000, 6_000_000
-GROUPS, MOST_GROUPS, LEAF, BLOCK, HELD_PAIRS = 128, 1024, 32, 8192, 200_000
+GROUPS, MOST_GROUPS, LEAF, BLOCK, HELD_PAIRS = 128, 1024, 32, 2048, 200_000
 MAX_BROADCAST = 500_000
 
 
@@ -108,6 +110,12 @@ def prefixes(values: np.ndarray, places: np.ndarray, frequent: np.ndarray, ranks
     return np.concatenate(kept) if kept else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def node_ids(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A hash of each row's set."""
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(values))])
+    return mix((total[places[1:]] - total[places[:-1]]) ^ np.diff(places).astype(np.uint64)).view(np.int64)
+
+
 NODES = "doc_id long, node long, n_shingles long, counts binary, prefix array<long>, fine binary"
 
 
@@ -120,9 +128,7 @@ def nodes(docs: DataFrame, frequent: np.ndarray, ranks: np.ndarray) -> DataFrame
         seen: set[int] = set()
         for batch in batches:
             for a, b, values, places in shingle_sets(batch.column(1)):
-                sizes = np.diff(places)
-                total = np.concatenate([[np.uint64(0)], np.cumsum(mix(values))])
-                node = mix((total[places[1:]] - total[places[:-1]]) ^ sizes.astype(np.uint64)).view(np.int64)
+                sizes, node = np.diff(places), node_ids(values, places)
                 new = np.zeros(len(sizes), bool)
                 for i in np.flatnonzero(sizes):
                     if node[i] not in seen:
@@ -285,7 +291,7 @@ def candidates(members: DataFrame, labels: DataFrame | None, fine: DataFrame | N
     that the fine points (rep, fine) allow too.
     """
     many = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "rep"), many).cast("int"))
+    dealt = members.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "bucket", "rep"), many).cast("int"))
     if labels is None:
         keyed = dealt.select("bucket", "block", F.col("block").alias("other"), "block", F.col("rep"), "n_shingles", F.lit(0).cast("long").alias("label"), "counts", F.lit(None).cast("binary"), "deal")
     else:
@@ -354,31 +360,33 @@ def may_link(x: bytes, y: bytes) -> bool:
     return (100 + SHARE) * np.minimum(a, b).sum() >= SHARE * (a.sum() + b.sum())
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (x, y of doc_id) whose whole sets are similar enough. pairs: a table.
+def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (x, y of node) whose whole sets are similar enough. pairs: a table; reps: node and a doc_id that has it.
 
     Whole sets are moved only for pairs that the bound on fine points lets through: in long documents the
     coarse points of the tree are too even to tell two of them apart.
     """
-    ids = table(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "wanted")
-    few = ids.count() <= MAX_BROADCAST
+    wanted = table(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(reps, "node").select("node", "rep"), "wanted")
+    few = wanted.count() <= MAX_BROADCAST
+    near = F.broadcast if few else (lambda x: x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, values, places in shingle_sets(batch.column(1)):
+            for _, _, values, places in shingle_sets(batch.column(0)):
                 fine = [fine_point(values[i:j]) for i, j in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists(values.view(np.int64), places, pa.int64()), pa.array(fine, pa.binary())], ["doc_id", "shingles", "fine"])
+                yield pa.RecordBatch.from_arrays([pa.array(node_ids(values, places)), lists(values.view(np.int64), places, pa.int64()), pa.array(fine, pa.binary())], ["node", "shingles", "fine"])
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fits = [may_link(x, y) for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
             yield batch.select(["x", "y"]).filter(pa.array(fits, pa.bool_()))
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = table(texts.mapInArrow(run, "doc_id long, shingles array<long>, fine binary").dropDuplicates(["doc_id"]), "sets")
-    points = sets.select("doc_id", "fine")
+    texts = docs.join(near(wanted.select("rep").distinct()), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+    own = texts.mapInArrow(run, "node long, shingles array<long>, fine binary").join(near(wanted.select("node")), "node", "left_semi")
+    sets = table(own.dropDuplicates(["node"]), "sets")
+    points = sets.select("node", "fine")
     open_ = table(pairs.join(points.toDF("x", "a"), "x").join(points.toDF("y", "b"), "y").select("x", "y", "a", "b").mapInArrow(bound, PAIRS), "bounded")
-    whole = sets.select("doc_id", "shingles")
+    whole = sets.select("node", "shingles")
     both = open_.join(whole.toDF("x", "a"), "x").join(whole.toDF("y", "b"), "y")
     common = F.size(F.array_intersect("a", "b"))
     return both.select("x", "y", common.alias("common"), (F.size("a") + F.size("b") - common).alias("all")).filter(f"100 * common >= {SHARE} * all").select("x", "y")
@@ -403,27 +411,29 @@ def linked(spark: SparkSession, docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     found = table(nodes(docs, *frequent_shingles(docs)), "nodes")
     small_batches(spark, 20_000)
-    # Columns of fixed size only: a class of copies is reduced to its smallest doc_id before any join.
+    # Columns of fixed size only: a class of copies is its node and smallest doc_id before any join.
     reps = table(found.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
-    points = found.filter("counts IS NOT NULL").dropDuplicates(["node"]).select("node", "n_shingles", "counts").join(reps, "node")
-    members = table(buckets(found).join(points, "node").select("bucket", "size", "lead", "rep", "n_shingles", "counts"), "members")
+    points = found.filter("counts IS NOT NULL").dropDuplicates(["node"]).select("node", "n_shingles", "counts")
+    members = table(buckets(found).join(points, "node").select("bucket", "size", "lead", F.col("node").alias("rep"), "n_shingles", "counts"), "members")
     members = with_deal(members)
     small_batches(spark, 2000)
     stars = table(candidates(members, None), "pairs")
-    links = table(verified(docs, table(stars.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "pairs")), "links")
-    links = table(links.union(verified(docs, table(across(stars, grouped(links)), "pairs"))), "links")
+    links = table(verified(docs, table(stars.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "pairs"), reps), "links")
+    links = table(links.union(verified(docs, table(across(stars, grouped(links)), "pairs"), reps)), "links")
     first = grouped(links)
-    fine = found.filter("fine IS NOT NULL").dropDuplicates(["node"]).select("node", "fine").join(reps, "node").select("rep", "fine")
-    more = table(verified(docs, table(candidates(members, first, fine), "pairs")), "links")
-    whole = grouped(links.union(more))
-    names = reps.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
+    fine = found.filter("fine IS NOT NULL").dropDuplicates(["node"]).select(F.col("node").alias("rep"), "fine")
+    more = table(verified(docs, table(candidates(members, first, fine), "pairs"), reps), "links")
+    # A component is told by its smallest doc_id; the sum over a component combines before the shuffle.
+    whole = table(reps.join(grouped(links.union(more)), "node", "left").withColumn("component", F.coalesce("component", "node")), "whole")
+    names = whole.join(whole.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id")
     return found.select("doc_id", "node", "n_shingles").join(names, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs, all columns as they are, with the smallest doc_id of each group of linked documents; rows of one doc_id count once.
+    """docs, all columns as they are, with the smallest doc_id of each group of linked documents.
 
-    Rows without doc_id stay.
+    Rows of one doc_id are one document, of which the row with the least text (then the least other columns) stays. Rows without
+    doc_id stay.
     """
     found = table(linked(spark, docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "linked")
     gone = found.filter("component_id <> doc_id").select("doc_id")
@@ -433,7 +443,8 @@ def one_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     if not (n := again.count()):
         return kept
     again = F.broadcast(again) if n <= MAX_BROADCAST else again
-    once = kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    least = F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("x")
+    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(least).select(*(F.col("doc_id") if c == "doc_id" else F.col(f"x.`{c}`").alias(c) for c in docs.columns))
     return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
 
 

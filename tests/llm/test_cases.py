@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from caudal.llm import decontamination, html_text, packing, pii, quality, queries, shared, tagger, toxicity, url_filters, warc
+from caudal.llm import decontamination, html_text, ngram_join, packing, pii, quality, queries, shared, tagger, toxicity, url_filters, warc
 
 SF = "/root/testdata/sf0.001"
 PAGES = "page_id long, url string, html string"
@@ -21,6 +21,31 @@ def frame(spark, rows, shape):
     return spark.createDataFrame(rows, shape)
 
 
+def test_op1_repeated_ids_nulls_long_texts_and_clashing_names(spark):
+    base = [f"w{i}" for i in range(80)]
+    near = " ".join([*base[:78], "x", "y"])
+    rows = [(5, " ".join(base), 1), (5, "quite another text of six words", 2), (7, near, 3), (None, near + " z", 4), (None, "no other text is like this one", 5), (8, LONG, 6), (9, LONG + " end", 7), (6, "QUITE another text of six words", 8)]
+    docs = frame(spark, rows, "doc_id long, text string, node int")
+    found = Counter((r.doc_id, r.component_id) for r in ngram_join.linked(spark, docs).collect())
+    assert found == {(5, 5): 2, (7, 5): 1, (None, 5): 1, (None, None): 1, (8, 8): 1, (9, 8): 1, (6, 5): 1}
+    kept = ngram_join.one_each(spark, docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.node) for r in kept.collect()) == [(0, 4), (0, 5), (5, 2), (8, 6)]
+
+
+def test_op1_blocks_and_ties(spark, monkeypatch):
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(40)]
+    texts = [" ".join([*common[:30], *(f"v{rng.randrange(3)}{j}" for j in range(4))]) for _ in range(120)] + [" ".join(f"s{i}{j}" for j in range(20)) for i in range(30)]
+    five = [f"t{i}" for i in range(13)]  # nine shingles; eight common of ten is exactly 0.8
+    texts += [" ".join(five), " ".join([*five[:12], "other"])]
+    from tests.llm.test_queries import components
+
+    for block in (16, 2048):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked(spark, frame(spark, list(enumerate(texts)), "doc_id long, text string")).collect()}
+        assert found == components(dict(enumerate(texts)))
+
+
 def test_op9_ids_of_every_document_are_the_tokenizers(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
