@@ -65,9 +65,15 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         held, size, docs_ = [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            # Sorted in place, and only runs of three and more are looked at: no array of all distinct values is made.
+            values = np.concatenate(held)
+            held.clear()
+            values.sort()
+            starts = np.flatnonzero((values[2:] == values[:-2]) & np.concatenate([[True], values[1:-2] != values[:-3]])) if len(values) > 2 else np.zeros(0, np.int64)
+            found = values[starts]
+            counts = np.searchsorted(values, found, "right") - starts
             often = counts >= max(3, docs_ / (2 * FREQUENT))
-            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often]), pa.array(np.zeros(often.sum(), np.int64))], ["shingle", "hits", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(counts[often]), pa.array(np.zeros(often.sum(), np.int64))], ["shingle", "hits", "docs"])
 
         total = 0
         for batch in batches:

@@ -26,7 +26,7 @@ from .shared import small_batches, table
 from .textkit import LOWER, SPACE, mix, ranges, span_hashes, utf8
 
 CAPACITY, END, GROUP_PIECES = 4096, 2, 8192
-CACHED_SPANS = 1_000_000
+CACHED_SPANS = 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
