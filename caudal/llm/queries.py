@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from . import chat_formatting, decontamination, html_text, ngram_join, packing, pii, quality, toxicity, url_filters, warc
+from . import chat_formatting, decontamination, divergence, html_text, ngram_join, packing, pii, quality, toxicity, url_filters, warc, whitening, word_table
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,9 @@ QUERIES = {
         url_filters.op8_url_filter,
         packing.op9_packing,
         chat_formatting.op10_chat_format,
+        whitening.op11_whitening,
+        divergence.op12_divergence,
+        word_table.op13_bpe,
     )
 }
-ORACLES = {"op3_warc": warc.OP3_SQL, "op10_chat_format": chat_formatting.OP10_SQL}
+ORACLES = {"op3_warc": warc.OP3_SQL, "op10_chat_format": chat_formatting.OP10_SQL, "op12_divergence": divergence.OP12_SQL}

@@ -70,9 +70,9 @@ def parts(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word `[^\\x20\\x09-\\x0D]+`, and where each row's words begin in those arrays (n + 1 places)."""
-    inside = ~SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word `[^\\x20\\x09-\\x0D]+` (or run of bytes that are not apart), and where each row's words begin in those arrays (n + 1 places)."""
+    inside = ~apart[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty_like(inside)
@@ -86,6 +86,17 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def spelt(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.DictionaryArray:
+    """The bytes of spans in rising order that do not overlap, each distinct text once in the dictionary."""
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    inside = np.cumsum(inside, dtype=np.int8)[:-1].astype(bool)
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    column = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[inside]))
+    return column.dictionary_encode()
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span; equal spans have equal hashes wherever they stand."""
     up, down = _powers(len(data))

@@ -28,7 +28,7 @@ def frame(spark, texts, shape="doc_id long, text string"):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("pages", "conversations", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = queries.QUERIES[name](spark, SF)
     expected = con.execute(queries.ORACLES[name])
