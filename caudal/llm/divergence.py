@@ -54,7 +54,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends, places = words(data, offsets, APART)
             if not len(starts):
                 continue
-            terms = spelt(data, starts, ends)
+            terms = spelt(data, starts, ends).dictionary_encode()
             size = len(terms.dictionary)
             row = np.repeat(np.arange(last - first), np.diff(places))
             cell, times = np.unique(row * size + terms.indices.to_numpy(), return_counts=True)

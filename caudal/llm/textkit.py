@@ -86,15 +86,14 @@ def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> t
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def spelt(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.DictionaryArray:
-    """The bytes of spans in rising order that do not overlap, each distinct text once in the dictionary."""
+def spelt(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.LargeStringArray:
+    """The bytes of spans in rising order that do not overlap, as strings."""
     inside = np.zeros(len(data) + 1, np.int8)
     inside[starts] += 1
     inside[ends] -= 1
     inside = np.cumsum(inside, dtype=np.int8)[:-1].astype(bool)
     offsets = np.concatenate([[0], np.cumsum(ends - starts)])
-    column = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[inside]))
-    return column.dictionary_encode()
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[inside]))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -1,14 +1,20 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split at white space in Spark. The rows of a few megabytes of texts make a chunk: its distinct words, commonest
-first, are its dictionary, and a text is kept as its words' places there, a byte or two a word. Words are then made
-distinct over all chunks, each is encoded once, and its ids are decoded by a join with the vocabulary's table of ids and
-pieces. Ids and pieces go back to the chunks by a join on the word and to the texts by position: a common word is one row
-a chunk, not one an occurrence, and a group is one chunk.
-
-The tokenizers meant are those of the `tokenizers` library whose ids for a text are those of its words, one after
-another, and that have no decoder, so that decoding joins pieces by one space (as word_bpe_49k.json); other files raise
-ValueError. Strings of added tokens inside a text are ids of their own, as in the library.
+Texts are split into words: at white space, and where ASCII letters and other ASCII characters meet, since no token of the
+tokenizers meant here joins what lies on the two sides. The rows of a few megabytes of texts make a chunk: its distinct
+words, commonest first, are its dictionary, and a text is kept as its words' places there, a byte or two a word. The
+dictionaries of all chunks are dealt and sorted by word, which gives the table of distinct words with the places of each:
+every distinct word is encoded once, and its ids go back to its places. A chunk's words and texts meet by chunk, and each
+text's ids are put together by position. Ids are decoded by a join with the vocabulary's id-to-piece table, which each
+worker holds whole (its size is the vocabulary's). A common word is one row a chunk, not one an occurrence; no group is
+larger than a chunk.
+
+The tokenizers meant are those of the `tokenizers` library with the splitting pattern PATTERN and no decoder, so that
+decoding joins pieces by one space (as word_bpe_49k.json); other files raise ValueError. Strings of added tokens inside a
+text are ids of their own, as in the library.
+
+docs is read twice and must give its rows in the same order both times, as a table does; a chunk that was read in two
+ways raises ValueError.
 
 Defined cases: a null or empty text, and one of white space alone, has no ids and decodes to ''; a word that has no ids
 (as a lone next-line sign) leaves nothing, also no space; repeated rows, null and repeated doc_ids stay row by row; a
@@ -19,6 +25,7 @@ lacks decode to nothing; an empty table gives no rows; extra columns, whatever t
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -28,29 +35,66 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_folder, small_batches
-from .textkit import slices, spelt, utf8, words
-
-CHUNK = 4 << 20  # bytes of text
-ENCODED = 20_000  # words handed to the tokenizer at once
-PIECES = {}
-
-
-def _numbers(codes: np.ndarray, places: np.ndarray) -> pa.Array:
-    """Each row's codes as bytes, seven bits a byte, the lowest first and the last one's top bit clear."""
+from .shared import small_batches
+from .textkit import LOWER, ranges, slices, spelt, utf8, words
+
+CHUNK, PART = 16 << 20, 2 << 20  # bytes of text: of a chunk, and at once
+#: Fixed value: the splitting pattern for which words may be taken apart as below.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+TOKENIZERS = {}
+
+
+def _merged(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """The places up to most that are in a or b, rising."""
+    there = np.zeros(most + 1, bool)
+    there[a] = there[b] = True
+    return np.flatnonzero(there)
+
+
+class Splitter:
+    """Cuts texts into words whose ids, one after another, are the text's."""
+
+    def __init__(self, path: str) -> None:
+        rules = json.loads(Path(path).read_text(encoding="utf-8"))
+        added = [t["content"] for t in rules["added_tokens"]]
+        splits = [p.get("pattern", {}).get("Regex") for p in (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        if rules.get("decoder") or splits[:1] != [PATTERN] or any(t["lstrip"] or t["rstrip"] for t in rules["added_tokens"]) or any(c.isspace() for a in added for c in a):
+            raise ValueError(f"{path} does not encode and decode word by word")
+        byte = np.arange(256)
+        self.letter = np.isin(byte, [*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)])
+        # No cut beside an apostrophe (it may start a contraction), nor beside a sign that an added token has beside a letter.
+        self.glue = np.isin(byte, [ord("'"), *(ord(c) for a in added for c in a if ord(c) < 128 and not c.isalpha())])
+        self.bars = self.glue.copy()
+        self.bars[ord("'")] = False
+        self.other = (byte > 0x20) & (byte < 0x80) & ~self.letter & ~self.glue
+
+    def split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray]:
+        """The words of all rows, and how many each row has. Case is kept where lower case could tell otherwise: beside bytes that are not ASCII and in words with signs of added tokens."""
+        starts, ends, _ = words(data, offsets)
+        letter, other = self.letter[data], self.other[data]
+        cuts = np.flatnonzero((letter[:-1] & other[1:]) | (other[:-1] & letter[1:])) + 1
+        starts, ends = _merged(starts, cuts, len(data)), _merged(ends, cuts, len(data))
+        low = LOWER[data]
+        beside = np.flatnonzero(data[1:] >= 0x80)
+        low[beside] = data[beside]
+        for i in np.unique(np.searchsorted(starts, np.flatnonzero(self.bars[data]), "right") - 1).tolist():
+            low[starts[i] : ends[i]] = data[starts[i] : ends[i]]
+        return spelt(low, starts, ends), np.diff(np.searchsorted(starts, offsets))
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """Codes as bytes, seven bits a byte, the lowest first and the last one's top bit clear, compressed."""
     size = 1 + (codes >= 1 << 7) + (codes >= 1 << 14) + (codes >= 1 << 21) + (codes >= 1 << 28)
     ends = np.cumsum(size)
     raw = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
     for byte in range(5):
         more = size > byte
         raw[(ends - size)[more] + byte] = (codes[more] >> 7 * byte & 127) | np.where(size[more] > byte + 1, 128, 0)
-    offsets = np.concatenate([[0], ends])[places]
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw.tobytes(), "zstd", asbytes=True)
 
 
-def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of all rows and where each row's begin, back from _numbers."""
-    data, offsets = utf8(column.cast(pa.large_binary()).view(pa.large_string()))
+def _unpacked(packed: bytes) -> np.ndarray:
+    data = np.frombuffer(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True), np.uint8)
     last = np.flatnonzero(data < 128)
     first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
     codes = np.zeros(len(last), np.int64)
@@ -58,141 +102,151 @@ def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         at = first + byte
         more = at <= last
         codes[more] |= (data[at[more]] & 127).astype(np.int64) << 7 * byte
-    return codes, np.searchsorted(last, offsets)
+    return codes
+
 
+def _chunked(splitter: Splitter, told):
+    """Calls told(chunk, doc_ids, codes, sizes, dictionary) for each chunk of a task's rows (doc_id, text).
 
-def _chunks(kind: pa.DataType):
-    """Rows (chunk, doc_id, codes) of texts and (chunk, code, word) of their chunk's distinct words."""
-    schema = pa.schema([("chunk", pa.string()), ("doc_id", kind), ("codes", pa.large_binary()), ("code", pa.int64()), ("word", pa.large_string())])
+    A chunk is named by the task's partition, its number there and a sum of its dictionary, so that a chunk made of other rows has another name.
+    """
+
+    def made(held: list[pa.RecordBatch], first: int) -> Iterator[tuple]:
+        from pyspark import TaskContext
 
-    def told(held: list[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).combine_chunks()
         data, offsets = utf8(rows.column("text"))
-        for part, (a, b) in enumerate(slices(offsets, CHUNK)):
-            chunk = f"{name}-{part}"
-            starts, ends, places = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            found = spelt(data[offsets[a] : offsets[b]], starts, ends)
+        for n, (a, b) in enumerate(slices(offsets, 2 * CHUNK), first):
+            parts = [splitter.split(data[offsets[a + i] : offsets[a + j]], offsets[a + i : a + j + 1] - offsets[a + i]) for i, j in slices(offsets[a : b + 1] - offsets[a], PART)]
+            found = pa.chunked_array([p[0] for p in parts], pa.large_string()).combine_chunks().dictionary_encode()
+            sizes = np.concatenate([p[1] for p in parts])
             codes = found.indices.to_numpy()
             order = np.argsort(-np.bincount(codes, minlength=len(found.dictionary)), kind="stable")
             rank = np.empty_like(order)
             rank[order] = np.arange(len(order))
-            n = b - a
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.string()), rows.column("doc_id").combine_chunks().slice(a, n), _numbers(rank[codes], places), pa.nulls(n, pa.int64()), pa.nulls(n, pa.large_string())], schema=schema)
-            n = len(order)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.string()), pa.nulls(n, kind), pa.nulls(n, pa.large_binary()), pa.array(np.arange(n)), found.dictionary.take(pa.array(order))], schema=schema)
+            dictionary = found.dictionary.take(pa.array(order))
+            bytes_, ends = utf8(dictionary)
+            name = TaskContext.get().partitionId() << 40 | n << 28 | zlib.crc32(bytes_.tobytes(), zlib.crc32(ends.tobytes())) >> 4
+            yield n, told(name, rows.column("doc_id").combine_chunks().slice(a, b - a), rank[codes], sizes, dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, made, held, size = TaskContext.get().taskAttemptId(), 0, [], 0
+        last, held, size = -1, [], 0
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
             if size >= CHUNK:
-                yield from told(held, f"{task}-{made}")
-                made, held, size = made + 1, [], 0
+                for last, rows in made(held, last + 1):
+                    yield rows
+                held, size = [], 0
         if held:
-            yield from told(held, f"{task}-{made}")
+            for _, rows in made(held, last + 1):
+                yield rows
 
     return run
 
 
+def _told_words(name: int, doc_ids: pa.Array, codes: np.ndarray, sizes: np.ndarray, dictionary: pa.Array) -> pa.RecordBatch:
+    n = len(dictionary)
+    return pa.RecordBatch.from_arrays([dictionary.cast(pa.string()), pa.array(np.full(n, name)), pa.array(np.arange(n), pa.int32())], names=["word", "part", "code"])
+
+
+def _told_texts(name: int, doc_ids: pa.Array, codes: np.ndarray, sizes: np.ndarray, dictionary: pa.Array) -> pa.RecordBatch:
+    ids = pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)
+    return pa.RecordBatch.from_arrays([pa.array([name]), ids, pa.array([sizes], pa.list_(pa.int64())), pa.array([_packed(codes)], pa.binary()), pa.array([len(dictionary)])], names=["chunk", "doc_ids", "sizes", "codes", "known"])
+
+
 def _tokenizer(path: str):
-    """Its tokenizer, once a worker."""
-    if path not in PIECES:
+    """The tokenizer of a file and its pieces by id, once a worker."""
+    if path not in TOKENIZERS:
         from tokenizers import Tokenizer
 
-        PIECES[path] = Tokenizer.from_file(path)
-        PIECES[path].no_truncation()
-        PIECES[path].no_padding()
-    return PIECES[path]
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        pieces = [None] * (max(vocabulary.values()) + 1)
+        for piece, i in vocabulary.items():
+            pieces[i] = piece
+        TOKENIZERS[path] = tokenizer, pa.array(pieces, pa.string())
+    return TOKENIZERS[path]
+
 
+def _id_kind(pieces: pa.Array) -> str:
+    return "<u2" if len(pieces) <= 1 << 16 else "<u4"
 
-def encoded_words(lexicon: DataFrame, path: str) -> DataFrame:
-    """word, ids (an array of ints) of distinct words, each by the library's own call."""
+
+def _encoded(path: str):
+    """Rows (part, code, ids) of rows (word, part, code) sorted by word; a word that goes on in the next batch is not encoded again. ids are bytes, of the kind that holds the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        (tokenizer, pieces), last, last_ids = _tokenizer(path), None, None
+        kind = _id_kind(pieces)
         for batch in batches:
-            for at in range(0, batch.num_rows, ENCODED):
-                column = batch.column(0).slice(at, ENCODED)
-                ids = [x.ids for x in tokenizer.encode_batch_fast(column.to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([column, pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            if not batch.num_rows:
+                continue
+            coded = batch.column(0).dictionary_encode()
+            found = coded.dictionary.to_pylist()
+            known = found[0] == last
+            ids = ([last_ids] if known else []) + [np.array(x.ids, kind).tobytes() for x in tokenizer.encode_batch_fast(found[known:], add_special_tokens=False)]
+            last, last_ids = found[-1], ids[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(ids, pa.binary()).take(coded.indices)], names=["part", "code", "ids"])
 
-    return lexicon.select("word").mapInArrow(run, "word string, ids array<int>")
+    return run
 
 
-def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """id, piece of a tokenizer's vocabulary, read from its file: its size is the vocabulary's, whatever the corpus."""
-    from tokenizers import Tokenizer
+def spoken(ids: pa.Array, pieces: pa.Array) -> pa.Array:
+    """The text of each list of ids: the ids are joined with their pieces (unknown ones drop out), which are put together with one space between."""
+    flat = ids.flatten()
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    real = pc.and_(pc.less(flat, len(pieces)), pc.greater_equal(flat, 0))
+    found = pieces.take(pc.if_else(real, flat, None))
+    kept = found.is_valid().to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(sizes)])]
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), found.drop_null() if found.null_count else found), " ")
 
-    rows = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
-    return spark.createDataFrame(pa.table({"id": pa.array(rows.values(), pa.int32()), "piece": pa.array(rows.keys(), pa.string())}))
 
+def decode(rows: DataFrame, path: str) -> DataFrame:
+    """rows (key, ids array<int>) with text, what the ids decode to. No shuffle: the id-to-piece table, as large as the vocabulary, is in each worker."""
+    Splitter(path)
 
-def decoded(rows: DataFrame, key: str, path: str) -> DataFrame:
-    """key, ids, text of rows (key, ids) with distinct keys: each id joined with its piece, pieces in order parted by one space."""
-    one = rows.select(key, "ids", F.posexplode_outer("ids").alias("at", "id"))
-    told = one.join(F.broadcast(piece_table(rows.sparkSession, path)), "id", "left").groupBy(key)
-    lists = told.agg(F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "id", "piece")))).alias("pieces"))
-    return lists.select(key, F.col("pieces.id").alias("ids"), F.array_join("pieces.piece", " ").alias("text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("text", spoken(batch.column("ids"), _tokenizer(path)[1]))
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{shape}, text string")
 
 
-def _together(kind: pa.DataType):
-    """The texts of a chunk from its texts' codes and its words' ids and pieces."""
+def _together(kind: pa.DataType, path: str):
+    """The texts of a chunk, put together by position from the ids of its words."""
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        ids_kind, text_kind = pa.list_(pa.int32()), pa.string()
-        if not texts.num_rows:
-            return pa.table({"doc_id": pa.nulls(0, kind), "ids": pa.nulls(0, ids_kind), "text": pa.nulls(0, text_kind)})
+        if texts.num_rows != 1 or texts.column("known")[0].as_py() != found.num_rows:
+            raise ValueError("documents came in another order when they were read again; write them as a table first")
         found = found.sort_by("code")
-        codes, places = _codes(texts.column("codes").combine_chunks())
-        ids = found.column("ids").combine_chunks()
-        size = np.asarray(pc.list_value_length(ids)).astype(np.int64)
-        real = size[codes] > 0
-        codes, places = codes[real], np.concatenate([[0], np.cumsum(real)])[places]
-        first = np.concatenate([[0], np.cumsum(size[codes])])
-        flat = ids.take(pa.array(codes)).flatten()
-        spoken = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), found.column("text").combine_chunks().take(pa.array(codes)))
-        return pa.table(
-            {
-                "doc_id": texts.column("doc_id"),
-                "ids": pa.ListArray.from_arrays(pa.array(first[places].astype(np.int32)), flat.cast(pa.int32())),
-                "text": pc.binary_join(spoken, " "),
-            }
-        )
+        codes, sizes = _unpacked(texts.column("codes")[0].as_py()), texts.column("sizes").combine_chunks().flatten().to_numpy()
+        pieces = _tokenizer(path)[1]
+        data, places = utf8(found.column("ids").combine_chunks().view(pa.string()))
+        ids, places = data.view(_id_kind(pieces)), places // np.dtype(_id_kind(pieces)).itemsize
+        counts = np.diff(places)[codes]
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])]
+        whole = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids[ranges(places[codes], counts)], pa.int32()))
+        return pa.table({"doc_id": texts.column("doc_ids").combine_chunks().flatten().cast(kind), "ids": whole, "text": spoken(whole, pieces)})
 
     return run
 
 
-def check(path: str) -> None:
-    """Raises ValueError for a tokenizer whose ids or texts don't come word by word."""
-    rules = json.loads(Path(path).read_text(encoding="utf-8"))
-    if rules.get("decoder") or rules["model"].get("type") != "BPE" or any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in rules["added_tokens"]):
-        raise ValueError(f"{path} does not encode and decode word by word")
-    from tokenizers import Tokenizer
-
-    tokenizer, parts = Tokenizer.from_file(path), ["a,b", "naïve", "’s", "'s", "12", "Ab"]
-    whole = tokenizer.encode(" \n".join(parts), add_special_tokens=False).ids
-    if whole != [i for p in parts for i in tokenizer.encode(p, add_special_tokens=False).ids]:
-        raise ValueError(f"{path} does not encode word by word")
-
-
 def encode(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids array<int> (of the text), text (what the ids decode to), one row a row of docs (doc_id, text)."""
-    check(path)
+    splitter = Splitter(path)
     small_batches(spark)
-    field = docs.schema["doc_id"].dataType
-    kind = pa.string() if field.simpleString() == "string" else pa.int32() if field.simpleString() == "int" else pa.int64()
-    shape = f"chunk string, doc_id {field.simpleString()}, codes binary, code long, word string"
-    folder = shared_folder(spark, "words")
-    docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_chunks(kind), shape).write.option("compression", "zstd").parquet(folder)
-    rows = spark.read.schema(shape).parquet(folder)
-    known = rows.filter("word is not null").select("chunk", "code", "word")
-    lexicon = decoded(encoded_words(known.select("word").distinct(), path), "word", path)
-    found = known.join(lexicon, "word").select(F.col("chunk").alias("part"), "code", "ids", "text")
-    texts = rows.filter("codes is not null").select("chunk", "doc_id", "codes")
-    return texts.groupBy("chunk").cogroup(found.groupBy("part")).applyInArrow(_together(kind), f"doc_id {field.simpleString()}, ids array<int>, text string")
+    name = docs.schema["doc_id"].dataType.simpleString()
+    kind = {"string": pa.string(), "int": pa.int32()}.get(name, pa.int64())
+    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lexicon = slim.mapInArrow(_chunked(splitter, _told_words), "word string, part long, code int").repartition("word").sortWithinPartitions("word")
+    found = lexicon.mapInArrow(_encoded(path), "part long, code int, ids binary")
+    texts = slim.mapInArrow(_chunked(splitter, _told_texts), f"chunk long, doc_ids array<{name}>, sizes array<long>, codes binary, known long")
+    return texts.groupBy("chunk").cogroup(found.groupBy("part")).applyInArrow(_together(kind, path), f"doc_id {name}, ids array<int>, text string")
 
 
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
