@@ -19,7 +19,7 @@ ways raises ValueError.
 Defined cases: a null or empty text, and one of white space alone, has no ids and decodes to ''; a word that has no ids
 (as a lone next-line sign) leaves nothing, also no space; repeated rows, null and repeated doc_ids stay row by row; a
 text beyond a chunk's size is a chunk by itself, and a word is as long as its text may be; ids that the vocabulary
-lacks decode to nothing; an empty table gives no rows; extra columns, whatever their names, are not read.
+lacks decode to nothing, and null ids to ''; an empty table gives no rows; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
