@@ -179,7 +179,7 @@ def test_random_logs_against_a_plain_interpreter(spark):
             its = [i for i in its if i[6] != "new_unit"]
         else:
             seen = False
-            its = [i for i in its if i[6] != "new_unit" or not (seen or (seen := True))]
+            its = [i for i in its if i[6] != "new_unit" or (not seen and (seen := True))]
         rows, log = rows + mine, log + its
         lines, outcome = interpreter(mine, its)
         expected |= {(f"p{p}", *x) for x in lines}
