@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from caudal.plans import catalogue, content, exams, offline, selling, structure  # noqa: F401
+from caudal.plans import catalogue, content, courses, exams, offline, selling, structure  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
