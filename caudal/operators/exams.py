@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .commerce import whole
@@ -164,3 +164,38 @@ def inconsistent(keys: DataFrame) -> DataFrame:
 
 def rounded_share(part: Column, total: Column) -> Column:
     return whole(F.when(total > 0, F.lit(100.0) * part / total))
+
+
+def exam_quotas(counts: DataFrame, n: int) -> DataFrame:
+    """course, category, quota: how many of n questions each category gives, from counts (course, category, available).
+
+    The level of water poured over the counts: a category gives all it has where that is less than its even share, and what it lacks is
+    shared among the others; the rest that does not part evenly goes to the first of those in the order of a hash. The quotas of a
+    course add up to n, or to all it has. Only counts are looked at, one row a category.
+    """
+    turn = F.sha2(F.col("category").cast("string"), 256)
+    rising = Window.partitionBy("course").orderBy("available", turn)
+    whole_course = Window.partitionBy("course")
+    ranked = counts.withColumns({"before": F.sum("available").over(rising.rowsBetween(Window.unboundedPreceding, -1)), "place": F.row_number().over(rising), "categories": F.count("*").over(whole_course)})
+    left, sharers = F.lit(n) - F.coalesce("before", F.lit(0)), F.col("categories") - F.col("place") + 1
+    even = F.greatest(F.lit(0), F.floor(left / sharers))
+    levelled = ranked.withColumns({"short": F.col("available") <= even, "level": F.when(F.col("available") > even, even), "rest": F.when(F.col("available") > even, left - even * sharers)})
+    # The first category that is not short sets level and rest for all that follow.
+    first = levelled.withColumns({c: F.min_by(c, F.when(~F.col("short"), F.col("place"))).over(whole_course) for c in ("level", "rest")})
+    order = F.row_number().over(Window.partitionBy("course", "short").orderBy(turn))
+    given = F.when(F.col("short"), F.col("available")).otherwise(F.col("level") + F.when(order <= F.col("rest"), 1).otherwise(0))
+    return first.withColumn("quota", given.cast("int")).filter("quota > 0").select("course", "category", "quota")
+
+
+def exam_sample(questions: DataFrame, n: int) -> DataFrame:
+    """course, id, category, place: n questions of each course (all where it has fewer), balanced over its categories, in an order fixed by hashes.
+
+    questions: course, category, id. Each task keeps n questions a category before anything moves.
+    """
+    counts = questions.groupBy("course", "category").agg(F.count("*").alias("available"))
+    by = Window.partitionBy("course", "category").orderBy(F.sha2(F.col("id").cast("string"), 256), "id")
+    best = questions.select("course", "category", "id").withColumn("turn", F.row_number().over(by)).filter(F.col("turn") <= n)
+    quotas = exam_quotas(counts, n).select(F.col("course").alias("_course"), F.col("category").alias("_category"), "quota")
+    chosen = best.join(quotas, F.col("course").eqNullSafe(F.col("_course")) & F.col("category").eqNullSafe(F.col("_category"))).filter("turn <= quota")
+    place = F.row_number().over(Window.partitionBy("course").orderBy("turn", F.sha2(F.col("category").cast("string"), 256)))
+    return chosen.withColumn("place", place).select("course", "id", "category", "place")

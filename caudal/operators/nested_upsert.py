@@ -4,27 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import numbered, written
 
 PROTECTED_UNIT = 0  # Fixed value: the order of the unit that is kept by other means and never pruned
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "number") -> DataFrame:
-    """rows with their place (from 1) in the order of all rows, which must tell them apart.
-
-    Rows are dealt in ranges and numbered within each; only the number of rows of each range (one row a partition) is summed in one
-    place. The rows are written once, so that ranges and counts agree.
-    """
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = written(dealt.withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_part", F.shiftright("_at", 33)).withColumn("_local", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return placed.join(before, "_part").withColumn(name, F.col("_before") + F.col("_local") + 1).drop("_at", "_part", "_local", "_before")
-
-
 def level(incoming: DataFrame, stored: DataFrame, id_: str, keys: list[str], fields: list[str]) -> DataFrame:
     """One level: id_, keys, fields as they are after the import, and action: create, update, keep, or absent (stored rows that nothing came for).
 

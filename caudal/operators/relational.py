@@ -14,9 +14,10 @@ def last_writer(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def duplicates(rows: DataFrame, key: Column, id_: str) -> DataFrame:
     """Rows whose key an earlier row (smaller id) has too, with that row's id; the key is computed once, and only digests and ids move."""
-    keyed = rows.select(F.col(id_), F.sha2(key, 256).alias("key"))
-    first = F.min(id_).over(Window.partitionBy("key"))
-    return keyed.filter("key IS NOT NULL").withColumn("first_id", first).filter(F.col(id_) > F.col("first_id")).select(id_, "first_id")
+    keyed = rows.select(F.col(id_), F.sha2(key, 256).alias("key")).filter("key IS NOT NULL")
+    # An aggregate, so that a key that many rows share combines before the shuffle; a join's rows of one key can be split over tasks.
+    first = keyed.groupBy("key").agg(F.min(id_).alias("first_id"), F.max(id_).alias("last_id")).filter("last_id > first_id").drop("last_id")
+    return keyed.join(first, "key").filter(F.col(id_) > F.col("first_id")).select(id_, "first_id")
 
 
 def merge_intervals(rows: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .storage import numbered_within
 
 
 def paragraphs(docs: DataFrame, id_: str) -> DataFrame:
@@ -54,8 +55,7 @@ def without_repeats(rows: DataFrame, key: str, place: str, name: Column) -> Data
 
 def batches(rows: DataFrame, key: str, place: str, size: int) -> DataFrame:
     """rows with their number from 1 in the key and the batch of so many rows that they fall into."""
-    number = F.row_number().over(Window.partitionBy(key).orderBy(place))
-    return rows.withColumn("number", number).withColumn("batch", F.floor((F.col("number") - 1) / size).cast("int"))
+    return numbered_within(rows, key, place).withColumn("batch", F.floor((F.col("number") - 1) / size).cast("int"))
 
 
 def lessons(paras: DataFrame, key: str, target: int, most: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalised
 from ..operators import alignment as A
 from ..operators import contracts as C
+from ..operators import exams, rectangles
 from ..operators import nested_upsert as N
 from ..operators import plan_edits as E
 from ..operators.selling import days, plus_months
@@ -154,3 +155,24 @@ def relinked_targets(spark, sf):
     key = F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string"), F.lit("."), (k % 50 + 1).cast("string"))
     targets = read(spark, sf, "orders").select(k.alias("target"), F.concat(F.lit("P"), (F.col("o_custkey") * 2).cast("string")).alias("plan_id"), key.alias("key"), F.when(k % 3 == 0, "red widget").when(k % 3 == 1, "small ring").alias("name"))
     return N.relinked(targets, lessons)
+
+
+EXAM_SIZE = 35  # Fixed value: questions of a whole exam
+
+
+@query(
+    "WITH q AS (SELECT o_custkey % 60 AS course, o_orderpriority || CASE WHEN o_orderkey % 29 = 0 THEN ' rare' WHEN o_orderkey % 11 = 0 THEN ' less' ELSE '' END AS category, o_orderkey AS id FROM orders), t AS (SELECT *, row_number() OVER (PARTITION BY course, category ORDER BY sha256(id::VARCHAR), id) AS turn FROM q), "
+    "p AS (SELECT course, id, category, row_number() OVER (PARTITION BY course ORDER BY turn, sha256(category)) AS place FROM t) SELECT course, id, category, place::INT AS place FROM p WHERE place <= 35"
+)
+def exam_sample(spark, sf):
+    key = F.col("o_orderkey")
+    category = F.concat("o_orderpriority", F.when(key % 29 == 0, " rare").when(key % 11 == 0, " less").otherwise(""))
+    return exams.exam_sample(read(spark, sf, "orders").select((F.col("o_custkey") % 60).alias("course"), category.alias("category"), key.alias("id")), EXAM_SIZE)
+
+
+@query()
+def merged_figures(spark, sf):
+    """Boxes on pages from order lines: a supplier is a page, parts and orders tell the place, numbers the size."""
+    x, y = (F.col("l_partkey") * 7919 % 600).cast("double"), (F.col("l_orderkey") * 104729 % 800).cast("double")
+    boxes = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("page"), x.alias("x0"), y.alias("y0"), (x + F.col("l_linenumber")).alias("x1"), (y + F.col("l_quantity") / 5).alias("y1"))
+    return rectangles.merged(boxes, "page")
