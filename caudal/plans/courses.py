@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalised
 from ..operators import alignment as A
 from ..operators import contracts as C
-from ..operators import exams, rectangles
+from ..operators import exams, layout, rectangles
 from ..operators import nested_upsert as N
 from ..operators import plan_edits as E
 from ..operators.selling import days, plus_months
@@ -176,3 +176,9 @@ def merged_figures(spark, sf):
     x, y = (F.col("l_partkey") * 7919 % 600).cast("double"), (F.col("l_orderkey") * 104729 % 800).cast("double")
     boxes = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("page"), x.alias("x0"), y.alias("y0"), (x + F.col("l_linenumber")).alias("x1"), (y + F.col("l_quantity") / 5).alias("y1"))
     return rectangles.merged(boxes, "page")
+
+
+@query()
+def layout_paragraphs(spark, sf):
+    """Documents set in lines with cut words and labels between, read back as paragraphs."""
+    return layout.book_paragraphs(layout.typeset(read(spark, sf, "documents").select(F.col("doc_id").alias("book"), "text")))
