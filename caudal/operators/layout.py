@@ -173,10 +173,10 @@ def book_paragraphs(lines: DataFrame) -> DataFrame:
 def typeset(texts: DataFrame, width: int = 60, lines: int = 30) -> DataFrame:
     """Lines of texts (book, text) as a printer sets them: cut every `width` characters with a soft hyphen within words, so many lines a page, with a label of another size after every 17th line."""
     flat = F.regexp_replace(F.col("text"), r"\s+", " ")
-    cut = texts.select("book", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length(flat) - 1) / width).cast("int")), lambda k: F.struct(F.substring(flat, k * width + 1, F.lit(width)).alias("line"), F.substring(flat, (k + 1) * width, F.lit(2)).alias("seam")))).alias("n", "x")).filter("x.line <> ''")
+    seams = F.regexp_replace(F.regexp_replace(flat, rf"(.{{{width}}})(?=.)", "$1\n"), r"(\p{L})\n(?=\p{L})", f"$1{SOFT}\n")
+    cut = texts.select("book", F.posexplode(F.split(seams, "\n")).alias("n", "line")).filter("line <> ''")
     n, y = F.col("n"), (F.col("n") % lines).cast("double") * 13
-    body = F.concat("x.line", F.when(F.col("x.seam").rlike(r"^\p{L}\p{L}$"), SOFT).otherwise(""))
     common = [F.lit(None).cast("string").alias("title"), (F.floor(n / lines) + 1).cast("int").alias("page")]
-    row = cut.select("book", *common, (n * 2).alias("at"), body.alias("text"), F.lit(12.0).alias("size"), y.alias("y0"), (y + 10).alias("y1"), F.lit(800.0).alias("page_height"))
+    row = cut.select("book", *common, (n * 2).alias("at"), F.col("line").alias("text"), F.lit(12.0).alias("size"), y.alias("y0"), (y + 10).alias("y1"), F.lit(800.0).alias("page_height"))
     label = cut.filter("n % 17 = 16").select("book", *common, (n * 2 + 1).alias("at"), F.concat(F.lit("Label "), n.cast("string")).alias("text"), F.lit(9.0).alias("size"), (y + 11).alias("y0"), (y + 12).alias("y1"), F.lit(800.0).alias("page_height"))
     return row.union(label)
