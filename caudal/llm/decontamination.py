@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import small_batches, tidied
 from .textkit import parts, ranges, shingles, span_hashes, words
 
 SHARE, SHORT, SEGMENT = 20, 5, 256
@@ -293,7 +293,7 @@ def indexes(benchmark: DataFrame) -> Iterator[Index]:
 
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """LEAKS: each pair of a document and an item that it holds."""
-    small_batches(spark)
+    small_batches(spark, 300)
     found = None
     for index in indexes(benchmark):
         shared = spark.sparkContext.broadcast(index)
@@ -305,14 +305,14 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFra
                     ids = batch.column(0).slice(a, b - a).take(pa.array(row))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(item), pa.array(distance, pa.int32()), pa.array(size, pa.int32()), pa.array(end, pa.int64())], ["doc_id", "item_id", "distance", "item_words", "end_word"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, LEAKS)
+        part = docs.select("doc_id", "text").mapInArrow(tidied(run), LEAKS)
         found = part if found is None else found.union(part)
     return found
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns as they are, whose text holds no benchmark item."""
-    small_batches(spark)
+    small_batches(spark, 300)
     at = docs.columns.index("text")
     for index in indexes(benchmark):
         shared = spark.sparkContext.broadcast(index)
@@ -324,7 +324,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
                     clean[a + shared.value.search(hashes, firsts)[0]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidied(run), docs.schema)
     return docs
 
 

@@ -37,11 +37,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import small_batches, table
+from .shared import small_batches, table, tidied
 from .textkit import LOWER, distinct, lists, mix, parts, shingles, span_hashes, words
 
 WIDTH, SHARE = 5, 80  # words, per cent
-FREQUENT, CHUNK = 2000, 6_000_000
+FREQUENT, CHUNK, SEEN = 2000, 3_000_000, 200_000
 GROUPS, MOST_GROUPS, LEAF, BLOCK, HELD_PAIRS = 128, 1024, 32, 2048, 200_000
 MAX_BROADCAST = 500_000
 
@@ -88,7 +88,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield flush()
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], ["shingle", "hits", "docs"])
 
-    counted = table(docs.select("text").mapInArrow(run, "shingle long, hits long, docs long"), "frequent")
+    counted = table(docs.select("text").mapInArrow(tidied(run), "shingle long, hits long, docs long"), "frequent")
     n = counted.agg(F.sum("docs")).first()[0] or 0
     found = counted.filter("hits > 0").groupBy("shingle").agg(F.sum("hits").alias("hits")).filter(F.col("hits") >= n / (2 * FREQUENT)).toArrow()
     values, hits = found.column("shingle").to_numpy().view(np.uint64), found.column("hits").to_numpy()
@@ -140,7 +140,7 @@ def nodes(docs: DataFrame, frequent: np.ndarray, ranks: np.ndarray) -> DataFrame
                     if node[i] not in seen:
                         seen.add(int(node[i]))
                         new[i] = True
-                if len(seen) > 1_000_000:
+                if len(seen) > SEEN:
                     seen.clear()
                 tokens, firsts = prefixes(values, places, frequent, ranks)
                 rows = np.repeat(np.arange(len(sizes)), sizes)
@@ -158,7 +158,7 @@ def nodes(docs: DataFrame, frequent: np.ndarray, ranks: np.ndarray) -> DataFrame
                     ["doc_id", "node", "n_shingles", "counts", "prefix", "fine"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, NODES)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), NODES)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -196,14 +196,14 @@ def buckets(found: DataFrame) -> DataFrame:
                     keep[i] = False
                 else:
                     seen.add(int(ids[i]))
-            if len(seen) > 1_000_000:
+            if len(seen) > SEEN:
                 seen.clear()
             if keep.any():
                 mask = np.repeat(keep, sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)[mask]), pa.array(node[mask]), pa.array(np.repeat(sizes, sizes)[mask]), pa.array(np.repeat(node[starts], sizes)[mask])], ["bucket", "node", "size", "lead"])
 
     exploded = found.filter("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "node")
-    return exploded.repartition("token").sortWithinPartitions("token", "node").mapInArrow(run, "bucket long, node long, size long, lead long").distinct()
+    return exploded.repartition("token").sortWithinPartitions("token", "node").mapInArrow(tidied(run), "bucket long, node long, size long, lead long").distinct()
 
 
 def with_deal(members: DataFrame) -> DataFrame:
@@ -347,7 +347,7 @@ def candidates(members: DataFrame, labels: DataFrame | None, fine: DataFrame | N
                 if new.any():
                     yield pa.RecordBatch.from_arrays([pa.array(both[0][new]), pa.array(both[1][new])], ["x", "y"])
 
-    return keyed.repartition("deal", "block", "other").sortWithinPartitions("deal", "bucket", "block", "other", "n_shingles", "rep").mapInArrow(run, PAIRS).distinct()
+    return keyed.repartition("deal", "block", "other").sortWithinPartitions("deal", "bucket", "block", "other", "n_shingles", "rep").mapInArrow(tidied(run), PAIRS).distinct()
 
 
 def fine_point(values: np.ndarray, most: int = 1 << 30) -> bytes:
@@ -388,10 +388,10 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
             yield batch.select(["x", "y"]).filter(pa.array(fits, pa.bool_()))
 
     texts = docs.join(near(wanted.select("rep").distinct()), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    own = texts.mapInArrow(run, "node long, shingles array<long>, fine binary").join(near(wanted.select("node")), "node", "left_semi")
+    own = texts.mapInArrow(tidied(run), "node long, shingles array<long>, fine binary").join(near(wanted.select("node")), "node", "left_semi")
     sets = table(own.dropDuplicates(["node"]), "sets")
     points = sets.select("node", "fine")
-    open_ = table(pairs.join(points.toDF("x", "a"), "x").join(points.toDF("y", "b"), "y").select("x", "y", "a", "b").mapInArrow(bound, PAIRS), "bounded")
+    open_ = table(pairs.join(points.toDF("x", "a"), "x").join(points.toDF("y", "b"), "y").select("x", "y", "a", "b").mapInArrow(tidied(bound), PAIRS), "bounded")
     whole = sets.select("node", "shingles")
     both = open_.join(whole.toDF("x", "a"), "x").join(whole.toDF("y", "b"), "y")
     common = F.size(F.array_intersect("a", "b"))

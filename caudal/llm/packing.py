@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table
+from .shared import small_batches, table, tidied
 from .textkit import LOWER, SPACE, mix, ranges, span_hashes, utf8
 
 CAPACITY, END, GROUP_PIECES = 4096, 2, 8192
-CACHED_SPANS = 500_000
+CACHED_SPANS = 250_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -187,7 +187,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = EN
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), PIECES + ", ids array<int>" * with_ids)
 
 
 class Tournament:
@@ -252,7 +252,7 @@ def sequences(packed: DataFrame, with_ids: DataFrame, capacity: int = CAPACITY,
 def pack_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    small_batches(spark)
+    small_batches(spark, 300)
     return pack(table(tokenize(docs, public_tokenizers.path("word_bpe_49k.json")), "pieces"))
 
 

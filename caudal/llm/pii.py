@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches, smallest
+from .shared import small_batches, smallest, tidied
 from .tagger import CLASS_OF, KINDS, PAD, Tagger, classes
 
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_TEXTS, TRAIN_WINDOWS, MADE_UP, STEPS = 4000, 600, 1500, 20, 2600, 220
@@ -289,7 +289,7 @@ def fit(docs: DataFrame) -> Tagger:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sampled(t or "") for t in batch.column(1).to_pylist()], pa.string())], ["doc_id", "piece"])
 
-    pieces = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(run, "doc_id long, piece string")
+    pieces = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(tidied(run), "doc_id long, piece string")
     rows = pieces.groupBy("doc_id").agg(F.min("piece").alias("piece")).toArrow().column("piece").to_pylist()
     tagger = Tagger()
     tagger.train(*training_windows(rows), steps=STEPS)
@@ -311,7 +311,7 @@ def find_spans(docs: DataFrame, tagger: Tagger) -> DataFrame:
                 ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, FOUND)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), FOUND)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -335,7 +335,7 @@ def mask(docs: DataFrame, tagger: Tagger) -> DataFrame:
             new = pa.array([None if t is None else masked(t, spans) for t, (_, spans) in zip(texts, found, strict=True)], pa.string())
             yield batch.set_column(at, batch.schema.field(at).name, new)
 
-    out = docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
+    out = docs.mapInArrow(tidied(run), T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

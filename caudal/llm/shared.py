@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +58,29 @@ def small_batches(spark: SparkSession, records: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system, since a worker is used again by later stages and its heap else stays as large as it ever was."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable) -> Callable:
+    """run (of batches), with give_back() after every fourth batch and the last one."""
+
+    def inner(batches: Iterator) -> Iterator:
+        for n, batch in enumerate(run(batches), 1):
+            yield batch
+            if n % 4 == 0:
+                give_back()
+        give_back()
+
+    return inner
+
+
 def smallest(df: DataFrame, key: str, salt: int, most: int) -> DataFrame:
     """At most so many rows of df, those of the smallest salted hash of key (ties by all columns); null keys are left out.
 
