@@ -32,7 +32,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 KIND = np.full(256, 2, np.uint8)
 KIND[SPACE] = 0
-KIND[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = 1
+KIND[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(0x80, 0x100)]] = 1
 PIECE = re.compile(rb"[0-9]|[^0-9]+")
 CHUNK_SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -124,6 +124,9 @@ class SpanCache:
             self._clear()
         data, offsets = utf8(column)
         plain = LOWER[data]
+        # A capital before a mark is left to the tokenizer, which puts the two together before it makes them small.
+        marked = np.flatnonzero(data[1:] >= 0x80)
+        plain[marked] = data[marked]
         raw, kind = plain.tobytes(), KIND[plain]
         edge, new = np.zeros(len(plain) + 1, bool), np.ones(len(plain) + 1, bool)
         edge[offsets] = True

@@ -65,7 +65,8 @@ def test_op9_odd_texts_as_the_plain_call():
     import public_tokenizers
 
     cache, rng = packing.SpanCache(public_tokenizers.path("word_bpe_49k.json")), random.Random(1)
-    texts = ["don't 's 'sun x,'s it'll", "a b —, ’s naïve été 한 x", "İstanbul ß ΣΣ", "1,000 12.5% a1b2", "", None, "\x00\x1c a\x1fb", "中文 123²", "\x85nel x", "word" * 3000]
+    texts = ["don't 's 'sun x,'s it'll", "a b —, ’s naïve été 한 x", "İstanbul ß ΣΣ", "1,000 12.5% a1b2", "", None, "\x00\x1c a\x1fb", "中文 123²", "\x85nel x", "word" * 3000, "H\u0331 aH\u0331 T\u0308x A\u030a. E\u0301a", "ABC DÉf"]
+    texts += ["".join(rng.choices("aBHTW'., é\u0331\u0301\u030a\u0308—Z\n", k=rng.randint(0, 40))) for _ in range(500)]
     texts += ["".join(rng.choices("ab'.,-1 é\u0301— ²Z<|>\t\n中", k=rng.randint(0, 40))) for _ in range(500)]
     for part in (texts, texts[::-1]):
         found = [x.tolist() for x in cache.encode(pa.array(part, pa.string()))]
