@@ -108,6 +108,8 @@ def test_op2_templates_go_without_telling_names_and_quotations_stay(spark):
     pages = frame(spark, rows, PAGES)
     found = shared.table(html_text.templates(pages), "templates")
     assert [r.text for r in html_text.extract(pages, found).orderBy("page_id").collect()] == expected
+    without = html_text.extract(pages, found.limit(0)).orderBy("page_id").collect()
+    assert all(r.text != text for r, text in zip(without, expected, strict=True))
 
 
 def test_op2_counts_by_brute_force(spark):

@@ -1,5 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -95,3 +97,23 @@ def test_op4_windows_cover_spoken_signs_and_grow_with_the_span():
     assert pii.windows("you may write name at host dot org, or name [at] host.org") and not pii.windows("we met at noon and the dot was red")
     name = "n" * 150 + "@" + "h" * 120
     assert ("email", 6, 6 + len(name)) in pii.tagged([f"words {name} words"], Names())[0]
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<b>", "<a", "<!", "<i></p>", "<main class=x>x", "<div class=sidebar>x<main>", "<td>x<th>", "<article><p>x</article>", '<a "><b \'>'])
+def test_op2_reads_long_pages_in_one_pass(part):
+    for html in (part * (1_000_000 // len(part)), "<th><table>" + "<b>" * 100_000 + part * (500_000 // len(part)) + ">"):
+        start = time.process_time()
+        page = html_text.Page(html)
+        page.text({e[0] for e in page.elements[:9]})
+        assert time.process_time() - start < 3
+
+
+def test_op2_subtrees_are_equal_where_their_blocks_are():
+    def hashes(html):
+        page = html_text.Page(html)
+        return {tuple(page.blocks[a:b]): h for h, _, a, b in page.elements}
+
+    one, two = hashes("<div>a</div><div><p>b</p><p>c</p></div>"), hashes("<div>x y</div><p>b</p><div><p>b</p><p>c</p></div><div><p>c</p><p>b</p></div>")
+    assert one[("b", "c")] == two[("b", "c")] != two[("c", "b")]
+    assert len({*one.values(), *two.values()}) == len(one.keys() | two.keys())
+    assert html_text.Page("<article>a</article><div>b</div>").elements == html_text.Page("<article>a</article>").elements  # what stands beside is not counted
