@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalised
 from ..operators import alignment as A
 from ..operators import contracts as C
-from ..operators import exams, layout, rectangles
+from ..operators import exams, figures, layout, rectangles
 from ..operators import nested_upsert as N
 from ..operators import plan_edits as E
 from ..operators.selling import days, plus_months
@@ -182,3 +182,35 @@ def merged_figures(spark, sf):
 def layout_paragraphs(spark, sf):
     """Documents set in lines with cut words and labels between, read back as paragraphs."""
     return layout.book_paragraphs(layout.typeset(read(spark, sf, "documents").select(F.col("doc_id").alias("book"), "text")))
+
+
+def _illustrated(spark, sf):
+    """Each document as a book: blocks of 12 words, 20 a page, the last of each page a running head, and a figure behind some blocks."""
+    words = F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), " ")
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("book"), words.alias("words"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / 12).cast("int")), lambda i: F.array_join(F.slice(F.col("words"), i * 12 + 1, 12), " "))
+    rows = docs.select("book", F.posexplode(cut).alias("at", "text")).withColumns({"page": F.floor(F.col("at") / 20) + 1, "y0": (F.col("at") % 20 * 30).cast("double")})
+    box = [F.lit(50.0).alias("x0"), "y0", F.lit(500.0).alias("x1"), (F.col("y0") + 20).alias("y1")]
+    heads = docs.select("book", F.explode(F.sequence(F.lit(1), F.floor(F.size("words") / 240).cast("int") + 1)).alias("page"))
+    head = [F.lit(-1).alias("at"), F.lit(50.0).alias("x0"), F.lit(600.0).alias("y0"), F.lit(500.0).alias("x1"), F.lit(620.0).alias("y1"), F.format_string("Book %d with its name on page %d", "book", "page").alias("text")]
+    blocks = rows.select("book", "page", "at", *box, "text").union(heads.select("book", "page", *head))
+    drawn = rows.filter(F.pmod(F.xxhash64("book", "at"), F.lit(7)) == 0).select("book", "page", F.col("at").alias("figure"), F.lit(60.0).alias("x0"), (F.col("y0") + 21).alias("y0"), F.lit(400.0).alias("x1"), (F.col("y0") + 29).alias("y1"))
+    return blocks, drawn
+
+
+@query()
+def figure_anchors(spark, sf):
+    return figures.anchors(*_illustrated(spark, sf))
+
+
+@query()
+def figure_lessons(spark, sf):
+    """The figures of each book in lessons of eight blocks, of which every fourth tells other words, so that only pages place its figures."""
+    blocks, drawn = _illustrated(spark, sf)
+    asked = figures.anchors(blocks, drawn).join(drawn.select("book", "figure", "page"), ["book", "figure"])
+    lesson = F.floor(F.col("at") / 8)
+    told = F.when(lesson % 4 == 3, F.regexp_replace("text", r"\S+", "other")).otherwise(F.col("text"))
+    parts = blocks.filter("at >= 0").select("book", lesson.alias("lesson"), "page", F.struct("at", told.alias("text")).alias("part"))
+    lessons = parts.groupBy("book", "lesson").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["text"]), "\n\n").alias("text"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+    lessons = lessons.select(F.col("book").alias("course"), "lesson", F.col("lesson").alias("at"), F.floor(F.col("lesson") / 3).alias("unit"), "text", "first_page", "last_page")
+    return figures.to_lessons(asked.select(F.col("book").alias("course"), "figure", F.lit(0).alias("file"), "page", "before", "after"), lessons)
