@@ -6,11 +6,16 @@ from collections import deque
 from collections.abc import Iterator
 from itertools import groupby, islice
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions.text import collapsed, normalised
+from .storage import written
 
 # Words of a body block, body blocks of a side, points over an edge that still count as beside it, share of a block within the figure that makes it a label.
 BODY_WORDS, SIDE, TOUCH, LABEL = 6, 3, 2.0, 0.5
@@ -20,22 +25,15 @@ CAPTION_GAP, CAPTION_WORDS, HEAD_PAGES, NEEDLE, FEWEST, NEEDLES, PAGE_LESSONS =
 PAGE_BIN = 16
 
 
-def in_running_head(blocks: DataFrame) -> DataFrame:
-    """blocks with `head`: whether the text, digits apart, stands on HEAD_PAGES pages of its book or more. Counted by an aggregate and a join."""
-    keyed = blocks.withColumn("_key", F.regexp_replace(normalised(F.coalesce("text", F.lit(""))), "[0-9]+", "#"))
-    heads = keyed.groupBy(F.col("book").alias("_book"), F.col("_key").alias("_k")).agg(F.count_distinct("page").alias("_pages")).filter(F.col("_pages") >= HEAD_PAGES)
-    return keyed.join(heads, F.col("book").eqNullSafe(F.col("_book")) & (F.col("_key") == F.col("_k")), "left").withColumn("head", F.col("_pages").isNotNull()).drop("_key", "_book", "_k", "_pages")
-
-
 def may_be_caption(text: Column) -> Column:
     """Neither a number, nor a list item, nor words that open something else."""
     return (text != "") & ~text.rlike(r"^\p{Nd}+$") & ~text.endswith(":") & ~text.rlike(r"^(?:[•·●▪◦\-–—*]|[0-9]{1,2}[.)])\s")
 
 
 def _beside(events: Iterator[tuple]) -> Iterator[tuple]:
-    """(figure, texts of the nearest body blocks, nearest first, (text, gap, may be a caption) of the nearest block or None) for one page and side, in order of edges.
+    """(figure, the nearest body blocks, nearest first, (block, gap, may be a caption) of the nearest block or None) for one page and side, in order of edges.
 
-    An event is (figure or None, edge, x0, y0, x1, y1, text, body, caption); y runs towards the figures. What is held are the last
+    An event is (figure or None, edge, x0, y0, x1, y1, block, body, caption); y runs towards the figures. What is held are the last
     blocks and the few within reach of a figure's edge, of which it may take some for its labels.
     """
     bodies, every = deque(), deque()
@@ -62,59 +60,71 @@ def anchors(blocks: DataFrame, figures: DataFrame) -> DataFrame:
     """book, figure, before, after, caption of figures (book, page, figure, x0, y0, x1, y1) on pages with blocks (book, page, at, x0, y0, x1, y1, text).
 
     before and after join up to SIDE body blocks above and below in reading order; a body block has BODY_WORDS words and is no running
-    head; blocks that lie mostly within a figure are its labels. Only pages with figures are read, also for running heads. The caption is the next block below, if it is short, near and neither a
+    head (a text that, digits apart, stands on HEAD_PAGES pages); blocks that lie mostly within a figure are its labels. Only pages with figures are read, also for running heads. The caption is the next block below, if it is short, near and neither a
     running head nor a list item. Of blocks with equal edges the first by `at` is nearer. One ordered pass for each page and side, which
-    holds a few blocks. Null texts and blank ones are no blocks, figures without an id, page or edge are left out, figures without
+    holds a few blocks; only numbers go through it, and each text moves to its figures once. `at` tells a page's blocks apart. Null texts and blank ones are no blocks, figures without an id, page or edge are left out, figures without
     blocks get empty texts, a caption of the empty string means none; a repeated figure (book, figure) is one.
     """
     kind = figures.schema["figure"].dataType.simpleString()
     book_kind = figures.schema["book"].dataType.simpleString()
     box = ["x0", "y0", "x1", "y1"]
-    drawn = figures.select(F.col("book").alias("_book"), F.col("page").alias("_page")).dropna(subset=["_page"]).distinct()
-    near = blocks.join(drawn, F.col("book").eqNullSafe(F.col("_book")) & (F.col("page") == F.col("_page")), "left_semi")
-    told = in_running_head(near.select("book", "page", "at", *(F.col(c).cast("double") for c in box), collapsed(F.replace(F.coalesce("text", F.lit("")), F.lit("­"), F.lit(""))).alias("text")).filter("text <> ''").dropna(subset=box))
-    words = F.size(F.split("text", " "))
-    marked = told.withColumns({"body": (words >= BODY_WORDS) & ~F.col("head"), "may": (words <= CAPTION_WORDS) & ~F.col("head") & may_be_caption(F.col("text"))})
     asked = figures.select("book", "page", "figure", *(F.col(c).cast("double") for c in box)).dropna(subset=["page", "figure", *box]).dropDuplicates(["book", "figure"])
-
-    def side(rows: DataFrame, below: bool, figure: bool) -> DataFrame:
-        """Rows with y turned so that it runs towards the figures."""
-        y0, y1 = (-F.col("y1"), -F.col("y0")) if below else (F.col("y0"), F.col("y1"))
-        edge = y0 + TOUCH if figure else y1
-        mine = [F.col("figure"), F.lit(None).cast("long"), F.lit(None).cast("string"), F.lit(None).cast("boolean"), F.lit(None).cast("boolean")] if figure else [F.lit(None).cast(kind), -F.col("at").cast("long"), F.col("text"), F.col("body"), F.col("may")]
-        names = ["figure", "back", "text", "body", "may"]
-        return rows.select("book", "page", F.lit(below).alias("below"), edge.alias("edge"), F.lit(int(figure)).alias("order"), "x0", y0.alias("y0"), "x1", y1.alias("y1"), *(c.alias(n) for c, n in zip(mine, names, strict=True)))
-
-    events = side(marked, False, False).union(side(marked, True, False)).union(side(asked, False, True)).union(side(asked, True, True))
-    columns = ["book", "page", "below", "figure", "edge", "x0", "y0", "x1", "y1", "text", "body", "may"]
-    dealt = events.repartition("book", "page", "below").sortWithinPartitions("book", "page", "below", "edge", "order", "back").select(*columns)
+    drawn = asked.select(F.col("book").alias("_book"), F.col("page").alias("_page")).distinct()
+    told = collapsed(F.replace(F.coalesce("text", F.lit("")), F.lit("­"), F.lit("")))
+    words = F.size(F.split("told", " "))
+    facts = blocks.select("book", "page", F.col("at").cast("long").alias("at"), *(F.col(c).cast("double") for c in box), told.alias("told")).filter("told <> ''").dropna(subset=["at", *box])
+    facts = facts.select("book", "page", "at", *box, (words >= BODY_WORDS).alias("body"), ((words <= CAPTION_WORDS) & may_be_caption(F.col("told"))).alias("may"), F.xxhash64(F.regexp_replace(normalised(F.col("told")), "[0-9]+", "#")).alias("key"))
+    facts = written(facts.join(drawn, F.col("book").eqNullSafe(F.col("_book")) & (F.col("page") == F.col("_page")), "left_semi"), "blocks")
+    heads = facts.groupBy(F.col("book").alias("_book"), F.col("key").alias("_key")).agg(F.count_distinct("page").alias("_pages")).filter(F.col("_pages") >= HEAD_PAGES)
+    head = F.col("_pages").isNotNull()
+    marked = facts.join(heads, F.col("book").eqNullSafe(F.col("_book")) & (F.col("key") == F.col("_key")), "left").withColumns({"body": F.col("body") & ~head, "may": F.col("may") & ~head}).drop("_book", "_key", "_pages")
+
+    def turned(rows: DataFrame, figure: bool) -> DataFrame:
+        """Rows of both sides, y turned so that it runs towards the figures."""
+        sides = []
+        for below, y0, y1 in ((False, F.col("y0"), F.col("y1")), (True, -F.col("y1"), -F.col("y0"))):
+            sides.append(F.struct(F.lit(below).alias("below"), (y0 + TOUCH if figure else y1).alias("edge"), y0.alias("y0"), y1.alias("y1")))
+        none = F.lit(None)
+        mine = {"figure": none.cast(kind), "at": F.col("at"), "body": F.col("body"), "may": F.col("may")} if not figure else {"figure": F.col("figure"), "at": none.cast("long"), "body": none.cast("boolean"), "may": none.cast("boolean")}
+        return rows.withColumn("s", F.explode(F.array(*sides))).select("book", "page", "s.below", "s.edge", "x0", "s.y0", "x1", "s.y1", *(c.alias(n) for n, c in mine.items()))
+
+    columns = ["book", "page", "below", "figure", "edge", "x0", "y0", "x1", "y1", "at", "body", "may"]
+    events = turned(marked, False).union(turned(asked, True)).withColumn("back", -F.col("at"))
+    dealt = events.repartition("book", "page", "below").sortWithinPartitions("book", "page", "below", "edge", F.col("figure").isNotNull(), "back").select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, out = [], []
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                kinds[:] = [batch.schema.field(i).type for i in (0, 3)]
+                kinds[:] = [batch.schema.field(i).type for i in (0, 1, 3)]
                 yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
         def whole() -> pa.RecordBatch:
-            types = [*kinds, pa.bool_(), pa.string(), pa.string()]
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["book", "figure", "below", "told", "caption"])
+            types = [*kinds, pa.bool_(), pa.list_(pa.int64())]
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["book", "page", "figure", "below", "ats"])
             out.clear()
             return made
 
-        for (book, _, below), mine in groupby(rows(), key=lambda r: r[:3]):
+        for (book, page, below), mine in groupby(rows(), key=lambda r: r[:3]):
             for figure, bodies, near in _beside(r[3:] for r in mine):
-                caption = near[0] if below and near and near[2] and near[1] <= CAPTION_GAP else ""
-                out.append((book, figure, below, " ".join(bodies if below else reversed(bodies)), caption))
+                # the caption comes first, null if there is none
+                caption = near[0] if below and near and near[2] and near[1] <= CAPTION_GAP else None
+                out.append((book, page, figure, below, [caption, *bodies]))
                 if len(out) == 500:
                     yield whole()
         if out:
             yield whole()
 
-    found = dealt.mapInArrow(run, f"book {book_kind}, figure {kind}, below boolean, told string, caption string")
-    text = lambda below, column: F.max(F.when(F.col("below") == below, F.col(column)))
-    return found.groupBy("book", "figure").agg(text(False, "told").alias("before"), text(True, "told").alias("after"), text(True, "caption").alias("caption"))
+    page_kind = events.schema["page"].dataType.simpleString()
+    found = dealt.mapInArrow(run, f"book {book_kind}, page {page_kind}, figure {kind}, below boolean, ats array<long>")
+    refs = found.select("book", "page", "figure", "below", F.posexplode("ats").alias("place", "at"))
+    texts = blocks.select(F.col("book").alias("_book"), F.col("page").alias("_page"), F.col("at").cast("long").alias("_at"), told.alias("told")).filter("told <> ''").dropna(subset=["_page", "_at"])
+    joined = refs.join(texts, F.col("book").eqNullSafe(F.col("_book")) & (F.col("page") == F.col("_page")) & (F.col("at") == F.col("_at")), "left")
+    parts = F.array_sort(F.collect_list(F.when((F.col("place") > 0) & F.col("told").isNotNull(), F.struct("below", F.when(F.col("below"), F.col("place")).otherwise(-F.col("place")).alias("place"), "told"))))
+    each = joined.groupBy("book", "figure").agg(parts.alias("parts"), F.coalesce(F.max(F.when(F.col("place") == 0, F.col("told"))), F.lit("")).alias("caption"))
+    text = lambda keep: F.array_join(F.transform(F.filter("parts", keep), lambda p: p["told"]), " ")
+    return each.select("book", "figure", text(lambda p: ~p["below"]).alias("before"), text(lambda p: p["below"]).alias("after"), "caption")
 
 
 def needles(text: Column, backwards: bool) -> Column:
@@ -127,6 +137,39 @@ def needles(text: Column, backwards: bool) -> Column:
     return F.when(F.size(words) < FEWEST, F.array().cast("array<string>")).when(last <= 0, F.array(F.array_join(words, " "))).otherwise(cut)
 
 
+def _marks(line: str) -> np.ndarray:
+    """Hashes of each FEWEST neighbouring words, in order."""
+    h = np.array([xxhash.xxh64_intdigest(w) for w in line.split()], np.uint64)
+    n = len(h) - FEWEST + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for i in range(FEWEST if n > 0 else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+    return ((out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def marks(lines: pd.Series) -> pd.Series:
+    return lines.map(lambda x: np.unique(_marks(x)))
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def least_marks(lines: pd.Series) -> pd.Series:
+    """The least mark of each NEEDLE words, once each."""
+    span = NEEDLE - FEWEST + 1
+
+    def least(line: str) -> np.ndarray:
+        m = _marks(line)
+        return np.unique(np.lib.stride_tricks.sliding_window_view(m, span).min(axis=1)) if len(m) >= span else m[:0]
+
+    return lines.map(least)
+
+
+@F.pandas_udf(LongType())
+def mark(needles: pd.Series) -> pd.Series:
+    """By which a needle is found: its least mark, of a short one the first."""
+    return needles.map(lambda x: int(m.min() if len(m := _marks(x)) > NEEDLE - FEWEST else m[0]))
+
+
 def _paragraphs(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), normalised)
 
@@ -147,49 +190,47 @@ def to_lessons(figures: DataFrame, lessons: DataFrame, by_file: bool = False) ->
     unit's first lesson is the last resort. found_by is text, page, unit or null. paragraph is the number of paragraphs of the lesson
     before the figure less one (-1: before the first), null unless found by text.
 
-    Needles meet lessons by the hash of their first words, and only what meets is compared in full, so neither all pairs nor all texts
-    move; all fallbacks are one aggregate a figure. Null texts are empty, null or zero pages are unknown, lessons without an id or place are left out;
+    Needles meet lessons by the least hash of FEWEST neighbouring words; a lesson tells the least hash of each NEEDLE words, a third of
+    all. Short needles meet by their first words, for which lessons of their courses tell all hashes. Only what meets is compared in
+    full; all fallbacks are one aggregate a figure. Null texts are empty, null or zero pages are unknown, lessons without an id or place are left out;
     a repeated figure (course, figure) is one.
     """
-    asked = figures.filter("figure IS NOT NULL").select("course", "figure", F.col("file").cast("long").alias("file"), F.nullif(F.col("page"), F.lit(0)).cast("long").alias("page"), "before", "after").dropDuplicates(["course", "figure"])
+    asked = written(figures.filter("figure IS NOT NULL").select("course", "figure", F.col("file").cast("long").alias("file"), F.nullif(F.col("page"), F.lit(0)).cast("long").alias("page"), "before", "after").dropDuplicates(["course", "figure"]), "figures")
     held = lessons.dropna(subset=["lesson", "at"]).select("course", "lesson", F.col("at").cast("long").alias("at"), F.col("unit").cast("long").alias("unit"), F.col("first_page").cast("long").alias("first_page"), F.col("last_page").cast("long").alias("last_page"), _paragraphs(F.col("text")).alias("paragraphs"))
     held = held.withColumn("line", F.concat(F.lit(" "), F.array_join(F.filter("paragraphs", lambda p: p != ""), " "), F.lit(" ")))
 
-    opening = lambda words, i: F.xxhash64(F.array_join(F.slice(words, i, FEWEST), " "))
-    words = F.split(F.trim("line"), " ")
-    places = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - FEWEST + 1, F.lit(1))), lambda i: opening(F.col("words"), i))
-    openings = held.withColumn("words", words).select("course", "lesson", "at", F.explode(F.array_distinct(places)).alias("hash"))
-    sought = asked.select("course", "figure", F.explode(F.array(F.struct(F.lit(0).alias("side"), needles(F.col("before"), True).alias("cut")), F.struct(F.lit(1).alias("side"), needles(F.col("after"), False).alias("cut")))).alias("s"))
-    sought = sought.select("course", "figure", "s.side", F.posexplode("s.cut").alias("turn", "needle"))
-    sought = sought.withColumn("hash", opening(F.split("needle", " "), F.lit(1)))
-    met = sought.join(openings, ["course", "hash"]).drop("hash")
+    cut = lambda column, backwards, side: F.struct(F.lit(side).alias("side"), needles(F.col(column), backwards).alias("cut"))
+    sought = asked.select("course", "figure", "file", "page", F.explode(F.array(cut("before", True, 0), cut("after", False, 1))).alias("s"))
+    sought = sought.select("course", "figure", "file", "page", "s.side", F.posexplode("s.cut").alias("turn", "needle")).withColumn("mark", mark("needle"))
+    short = F.size(F.split("needle", " ")) < NEEDLE
+    few = sought.filter(short).select(F.col("course").alias("_course")).distinct()
+    sparse = held.select("course", "lesson", "at", F.explode(least_marks("line")).alias("mark"))
+    dense = held.join(few, F.col("course") == F.col("_course"), "left_semi").select("course", "lesson", "at", F.explode(marks("line")).alias("mark"))
+    met = sought.filter(~short).join(sparse, ["course", "mark"]).union(sought.filter(short).join(dense, ["course", "mark"])).drop("mark")
 
     facts = ["course", "lesson", "at"]
-    hits = met.join(held.select(*facts, "unit", "first_page", "last_page", "line"), facts).filter(F.contains("line", F.concat(F.lit(" "), F.col("needle"), F.lit(" ")))).drop("line")
-    hits = hits.join(asked.select("course", "figure", "file", "page"), ["course", "figure"])
+    found = F.instr(F.col("line"), F.concat(F.lit(" "), F.col("needle"), F.lit(" "))) - 1
+    hits = met.join(held.select(*facts, "unit", "first_page", "last_page", "paragraphs", "line"), facts).withColumn("position", found).filter("position >= 0")
+    behind, ahead = _starting(F.col("paragraphs"), F.col("position") + F.length("needle")) - 1, _starting(F.col("paragraphs"), F.col("position") + 1) - 2
+    hits = hits.withColumn("paragraph", F.when(F.col("side") == 0, behind).otherwise(ahead))
     mine = F.col("unit").eqNullSafe(F.col("file"))
     abroad = ~mine if by_file else F.lit(False)
     on_page = F.coalesce(F.col("page").between(F.col("first_page"), F.col("last_page")), F.lit(False))
     rank = F.when(on_page, 0).when(mine, 1).otherwise(2)
-    by_text = hits.select("course", "figure", F.struct(F.lit(0).alias("way"), "side", "turn", abroad.alias("abroad"), rank.alias("rank"), "at", "lesson", "needle").alias("choice"))
+    by_text = hits.select("course", "figure", F.struct(F.lit(0).alias("way"), "side", "turn", abroad.alias("abroad"), rank.alias("rank"), "at", "lesson", "paragraph").alias("choice"))
 
     bins = F.sequence(F.floor(F.col("first_page") / PAGE_BIN), F.floor(F.col("last_page") / PAGE_BIN))
     telling = held.groupBy(F.col("course").alias("_course")).agg(F.min("first_page").alias("a"), F.max("first_page").alias("b"), F.min("last_page").alias("c"), F.max("last_page").alias("d")).filter("a < b OR c < d").select("_course")
     paged = held.filter("first_page <= last_page").join(telling, F.col("course") == F.col("_course"), "left_semi").select(*facts, "unit", "first_page", "last_page", F.explode(bins).alias("bin"))
     covering = asked.filter("page IS NOT NULL").select("course", "figure", "file", "page", F.floor(F.col("page") / PAGE_BIN).alias("bin")).join(paged, ["course", "bin"]).filter(on_page & (mine if by_file else F.lit(True)))
     none = {"side": F.lit(0), "turn": F.lit(0), "abroad": F.lit(False), "rank": F.lit(0)}
-    resort = lambda way, at, lesson: F.struct(F.lit(way).alias("way"), *(c.alias(n) for n, c in none.items()), at.alias("at"), lesson.alias("lesson"), F.lit("").alias("needle"))
+    resort = lambda way, at, lesson: F.struct(F.lit(way).alias("way"), *(c.alias(n) for n, c in none.items()), at.alias("at"), lesson.alias("lesson"), F.lit(None).cast("int").alias("paragraph"))
     first = F.min(F.struct("at", "lesson")).alias("first")
     by_page = covering.groupBy("course", "figure").agg(first, F.count("*").alias("n")).filter(F.col("n") <= PAGE_LESSONS).select("course", "figure", resort(1, F.col("first.at"), F.col("first.lesson")).alias("choice"))
     ways = by_text.union(by_page)
     if by_file:
         units = held.groupBy("course", F.col("unit").alias("file")).agg(first)
         ways = ways.union(asked.join(units, ["course", "file"]).select("course", "figure", resort(2, F.col("first.at"), F.col("first.lesson")).alias("choice")))
-    chosen = ways.groupBy("course", "figure").agg(F.min("choice").alias("choice")).select("course", "figure", "choice.way", "choice.side", "choice.lesson", "choice.at", "choice.needle")
-
-    found = F.instr(F.col("line"), F.concat(F.lit(" "), F.col("needle"), F.lit(" "))) - 1
-    behind, ahead = _starting(F.col("paragraphs"), F.col("position") + F.length("needle")) - 1, _starting(F.col("paragraphs"), F.col("position") + 1) - 2
-    placed = chosen.filter("way = 0").join(held.select(*facts, "paragraphs", "line"), facts).withColumn("position", found).select("course", "figure", F.when(F.col("side") == 0, behind).otherwise(ahead).alias("paragraph"))
-    way = F.element_at(F.array(F.lit("text"), F.lit("page"), F.lit("unit")), F.col("way") + 1).alias("found_by")
-    whole = asked.select("course", "figure").join(chosen.select("course", "figure", "lesson", way), ["course", "figure"], "left").join(placed, ["course", "figure"], "left")
-    return whole.select("course", "figure", "lesson", "found_by", "paragraph")
+    chosen = ways.groupBy("course", "figure").agg(F.min("choice").alias("choice")).select("course", "figure", "choice.way", "choice.lesson", "choice.paragraph")
+    way = F.when(F.col("way") == 0, "text").when(F.col("way") == 1, "page").when(F.col("way") == 2, "unit").alias("found_by")
+    return asked.select("course", "figure").join(chosen, ["course", "figure"], "left").select("course", "figure", "lesson", way, "paragraph")
