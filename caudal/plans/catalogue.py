@@ -335,7 +335,7 @@ def taxonomy(spark, sf):
     return answers(spark, sf).groupBy(category.alias("category")).agg(F.count("*").alias("answers"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r]+'))::INT AS words, length(text)::INT AS chars, len(string_split(text, chr(10)))::INT AS lines FROM documents")
+@query("SELECT doc_id, len(regexp_extract_all(text, '[a-zA-ZáéíóúÁÉÍÓÚñÑüÜ0-9]+'))::INT AS words, length(text)::INT AS chars, len(string_split(text, chr(10)))::INT AS lines FROM documents")
 def word_stats(spark, sf):
     text = F.col("text")
     return read(spark, sf, "documents").select("doc_id", T.word_count(text).alias("words"), F.length(text).alias("chars"), F.size(F.split(text, "\n")).alias("lines"))

@@ -197,6 +197,6 @@ def clean_lists(spark, sf):
 
 @query("WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS w FROM documents) SELECT doc_id, greatest(150, round_even(least(1200, greatest(250, round_even(w * 1.1::DOUBLE, 0))) * 0.6::DOUBLE, 0))::BIGINT AS least, least(1200, greatest(250, round_even(w * 1.1::DOUBLE, 0)))::BIGINT AS most, least(100, greatest(8, w // 50))::BIGINT AS lessons FROM w")
 def lesson_targets(spark, sf):
-    words = T.word_count(F.col("text"))
+    words = T.space_count(F.col("text"))
     most = F.least(F.lit(1200), F.greatest(F.lit(250), F.bround(words * F.lit(1.1)).cast("long")))
     return read(spark, sf, "documents").select("doc_id", F.greatest(F.lit(150), F.bround(most * F.lit(0.6)).cast("long")).alias("least"), most.cast("long").alias("most"), F.least(F.lit(100), F.greatest(F.lit(8), F.floor(words / 50))).cast("long").alias("lessons"))

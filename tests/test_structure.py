@@ -132,3 +132,9 @@ def test_selling_rules(spark, tmp_path):
     key = F.lower(F.trim("mail"))
     status = selling.batch_status(batch, spark.createDataFrame([("b@x.y",)], "key string"), key, "line", key.contains("@"))
     assert {r.line: r.status for r in status.collect()} == {1: "new", 2: "repeated", 3: "exists", 4: "invalid"}
+
+
+def test_marks_go_and_signs_are_no_words(spark):
+    text = "# Title\n\n\n\n- a *bold* [link *one*](http://x) {{ figura: f-1 }}`code`\n  + b - c"
+    row = spark.createDataFrame([(text,)], "t string").select(T.unmarkdown(F.col("t")).alias("plain"), T.markers(F.col("t")).alias("ids"), T.word_count(F.lit("a - b, niño 3.5 — x_y")).alias("n")).first()
+    assert row.plain == "Title\na bold link one \nb - c" and row.ids == ["f-1"] and row.n == 7
