@@ -17,7 +17,7 @@ def _resources(spark, sf):
     kind = F.when(F.col("l_returnflag") == "A", "audio").when(F.col("l_returnflag") == "N", "video").otherwise("pdf")
     url = F.when(F.col("l_quantity") > 5, F.concat(F.lit("u"), "l_partkey", F.lit("-"), "l_suppkey"))
     place = F.col("l_linenumber").cast("long") * 1000000 + F.col("l_partkey")
-    return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("lesson"), place.alias("place"), kind.alias("type"), F.concat(F.lit("role"), F.col("l_suppkey") % 4).alias("role"), url.alias("url"))
+    return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("lesson"), place.alias("place"), kind.alias("type"), F.concat(F.lit("role"), F.col("l_suppkey") % 4).alias("role"), url.alias("url"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
 def _mirror(kind, roles):
@@ -34,7 +34,7 @@ def media_mirror(spark, sf):
 
 @query(f"WITH {RESOURCES} SELECT lesson, type, min(place) AS place, arg_max(url, place) FILTER (url IS NOT NULL) AS url, arg_max(role, place) AS role FROM r GROUP BY 1, 2")
 def resource_upserts(spark, sf):
-    return C.merged_resources(_resources(spark, sf), "lesson", "type", "place", ("url", "role"))
+    return C.merged_resources(_resources(spark, sf), "lesson", "type", "place", ("url", "role"), ("file", "row"))
 
 
 @query(
