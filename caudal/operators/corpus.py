@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalised, tokens
+from .storage import written
+
+#: Rows of a list (terms or windows of queries, one row a query) that are broadcast at most; longer ones are joined by a shuffle.
+MAX_BROADCAST = 500_000
+
+
+def lookup(rows: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+    """rows, broadcast if they (or `bound`, which has as many rows at least and is cheaper to count) are few."""
+    counted = rows if bound is None else bound
+    return F.broadcast(rows) if counted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else rows
 
 
 def terms(docs: DataFrame, id_: str) -> DataFrame:
@@ -14,10 +29,32 @@ def terms(docs: DataFrame, id_: str) -> DataFrame:
 
 
 def keywords(docs: DataFrame, id_: str, n: int) -> DataFrame:
-    """The n commonest terms of each text, ties by what comes first in it."""
-    placed = docs.select(id_, F.posexplode(tokens(F.col("text"))).alias("pos", "term")).groupBy(id_, "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first"))
+    """The n commonest terms of each text, ties by what comes first in it. Texts that share an id count as one.
+
+    A text of its own id is counted in its own row, so that nothing but the ids moves; only texts that share an id meet by a shuffle.
+    """
+    shared = docs.groupBy(F.col(id_).alias("_id")).agg(F.count("*").alias("_rows")).filter("_rows > 1").select("_id")
+    rows = docs.select(id_, tokens(F.col("text")).alias("words"))
+    if shared.isEmpty():
+        return _own_keywords(rows, id_, n)
+    same = F.col(id_).eqNullSafe(F.col("_id"))
+    placed = rows.join(shared, same, "left_semi").select(id_, F.posexplode("words").alias("pos", "term")).groupBy(id_, "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first"))
     by = Window.partitionBy(id_).orderBy(F.desc("tf"), "first")
-    return placed.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= n).drop("first")
+    together = placed.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= n).drop("first")
+    return _own_keywords(rows.join(shared, same, "left_anti"), id_, n).unionByName(together)
+
+
+def _own_keywords(rows: DataFrame, id_: str, n: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, terms_, counts, places = [], [], [], []
+            for row, words in enumerate(batch.column(1).to_pylist()):
+                # a Counter keeps the order of first places, and so does the sort
+                for place, (term, tf) in enumerate(Counter(words or ()).most_common(n), 1):
+                    at.append(row), terms_.append(term), counts.append(tf), places.append(place)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(terms_, pa.string()), pa.array(counts, pa.int64()), pa.array(places, pa.int32())], [id_, "term", "tf", "place"])
+
+    return rows.mapInArrow(run, f"{id_} {rows.schema[id_].dataType.simpleString()}, term string, tf long, place int")
 
 
 def repeated_lines(docs: DataFrame, group: str, id_: str, least: int = 3, parts: int = 3) -> DataFrame:
