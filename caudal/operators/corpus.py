@@ -95,21 +95,64 @@ def short_of_median(rows: DataFrame, group: str, size: str, share: float) -> Dat
     return rows.join(middle, group).withColumn("kind", F.when(F.col(size) < share * F.col("middle"), "visual").otherwise("text")).drop("middle")
 
 
-def nearest(vectors: DataFrame, asked: DataFrame, n: int, block: int = 256) -> DataFrame:
+def _best_of(vectors: DataFrame, ids: np.ndarray, asked: np.ndarray, n: int) -> DataFrame:
+    """query_id, vec_id, score: of each task's vectors the n most like each asked one, by score to six places and id; unrounded."""
+    unit = np.sqrt((asked * asked).sum(1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query (its place), vec_id, score
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                vec = part.column(0).to_numpy()
+                x = part.column(1).flatten().to_numpy().astype(np.float64).reshape(len(vec), -1)
+                norm = np.sqrt((x * x).sum(1))
+                found = [best]
+                for q in range(0, len(ids), 256):
+                    scores = (asked[q : q + 256] @ x.T) / (unit[q : q + 256, None] * norm)
+                    scores[ids[q : q + 256, None] == vec] = -np.inf
+                    rounded = np.round(scores, 6)
+                    least = np.partition(rounded, -n, axis=1)[:, -n, None] if len(vec) > n else -np.inf
+                    row, column = np.nonzero((rounded >= least) & (rounded > -np.inf))
+                    found.append([row + q, vec[column], scores[row, column]])
+                query, vecs, scores = (np.concatenate(c) for c in zip(*found, strict=True))
+                order = np.lexsort((vecs, -np.round(scores, 6), query))
+                query = query[order]
+                place = np.arange(len(query)) - np.searchsorted(query, query)
+                best = [query[place < n], vecs[order][place < n], scores[order][place < n]]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "vec_id", "score"])
+
+    return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def nearest(vectors: DataFrame, asked: DataFrame, n: int, block: int = 4096) -> DataFrame:
     """query_id, vec_id, score: the n vectors (vec_id, embedding) most like each asked one (query_id, asked), itself left out.
 
-    The queries go over all vectors in blocks of bounded size, which are broadcast. Each task keeps n rows a query before
-    anything moves: a window's limit is applied to its partition first, so a query's rows over the shuffle are n times the tasks.
+    The queries go over all vectors in blocks of bounded size. Each task multiplies its vectors with a block and keeps n rows a query, so
+    that a query's rows over the shuffle are n times the tasks. Vectors without the commonest length, with nulls, entries that are not
+    finite or zeros alone are compared one by one, as are vectors and queries without an id.
     """
-    ids = [r.query_id for r in asked.select("query_id").orderBy("query_id").collect()]
+    kind, asked_kind = vectors.schema["vec_id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
+    size = asked.filter("asked IS NOT NULL").groupBy(F.size("asked").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    size = size["size"] if size else 0
+    def plain(c, id_):  # noqa: E306
+        finite = F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+        return F.coalesce(F.col(id_).isNotNull() & (F.size(c) == size) & finite & F.exists(c, lambda v: v != 0), F.lit(False))
+
+    known, queries = plain("embedding", "vec_id"), plain("asked", "query_id")
     found = None
-    for at in range(0, max(1, len(ids)), block):
-        some = asked.filter(F.col("query_id").isin(ids[at : at + block]))
-        scored = vectors.join(F.broadcast(some), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("asked")), 6).alias("score"))
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        best = scored.withColumn("place", place).filter(F.col("place") <= n).drop("place")
+    ids = [r.query_id for r in asked.filter(queries).select("query_id").distinct().orderBy("query_id").collect()]
+    for at in range(0, len(ids), block):
+        rows = asked.filter(queries & F.col("query_id").isin(ids[at : at + block])).dropDuplicates(["query_id"]).orderBy("query_id").toArrow()
+        some = rows.column("asked").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(rows.num_rows, -1)
+        best = _best_of(vectors.filter(known), rows.column("query_id").to_numpy().astype(np.int64), some, n)
         found = best if found is None else found.unionByName(best)
-    return found
+    odd = vectors.filter(~known).join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).unionByName(vectors.filter(known).join(F.broadcast(asked.filter(~queries)), F.col("vec_id") != F.col("query_id")))
+    odd = odd.select(F.col("query_id").cast("long"), F.col("vec_id").cast("long"), cosine(F.col("embedding"), F.col("asked")).alias("score"))
+    found = odd if found is None else found.unionByName(odd)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    kept = found.withColumn("score", F.round("score", 6)).withColumn("place", place).filter(F.col("place") <= n)
+    return kept.select(F.col("query_id").cast(asked_kind), F.col("vec_id").cast(kind), "score")
 
 
 def idf_affinity(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, tf_most: int = 3) -> DataFrame:

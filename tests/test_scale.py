@@ -19,3 +19,21 @@ def test_keywords_of_texts_that_share_an_id(spark):
     assert found == {(1, 1): ("bbb", 2), (1, 2): ("aaa", 2), (2, 1): ("zzz", 3), (2, 2): ("aaa", 1), (None, 1): ("ooo", 1)}
     alone = corpus.keywords(docs.filter("id = 1"), "id", 2)
     assert "Exchange" not in _moved(alone) and [(r.term, r.place) for r in alone.orderBy("place").collect()] == [("bbb", 1), ("aaa", 2)]
+
+
+def test_nearest_with_odd_vectors_and_copies(spark):
+    rng = np.random.default_rng(3)
+    plain = [(i, [float(v) for v in rng.integers(-3, 4, 4)]) for i in range(60)]
+    plain = [(i, v if any(v) else [1.0, 0, 0, 0]) for i, v in plain] + [(60 + i, [1.0, 2.0, 0.0, 1.0]) for i in range(9)]
+    rows = plain + [(100, [1.0, None, 0.0, 1.0]), (101, None), (102, [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    asked = vectors.filter("vec_id in (3, 61, 100)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
+    found = {}
+    for r in corpus.nearest(vectors, asked, 4, block=1).collect():
+        found.setdefault(r.query_id, set()).add((r.vec_id, r.score))
+    for q in (3, 61):
+        x = np.array(dict(plain)[q])
+        scores = sorted((-round(float(x @ v / np.sqrt((x @ x) * (v @ v))), 6), i) for i, v in ((i, np.array(v)) for i, v in plain) if i != q)
+        assert found[q] == {(i, -s) for s, i in scores[:4]}
+    assert len(found[100]) == 4 and all(s is None for _, s in found[100])
+    assert "NestedLoopJoin" not in _moved(corpus._best_of(vectors, np.array([3]), np.array([[1.0, 0, 0, 0]]), 4))
