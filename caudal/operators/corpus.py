@@ -157,14 +157,16 @@ def nearest(vectors: DataFrame, asked: DataFrame, n: int, block: int = 4096) ->
 
 def idf_affinity(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, tf_most: int = 3) -> DataFrame:
     """query, doc, affinity: sum over shared terms of ln(1 + N / df) times the query's count (with a cap), by each query's best document."""
-    asked = terms(queries, query_id)
-    held = docs.select(doc_id, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").select(doc_id, "term")
+    # What queries ask for is broadcast where it is short, so that only sums by query and document move.
+    asked = written(terms(queries, query_id), "asked")
+    sought = lookup(asked.select("term").distinct(), asked)
+    held = docs.select(doc_id, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(sought, "term", "left_semi").select(doc_id, "term")
     n = docs.agg(F.count("*").alias("n"))
     idf = held.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
     weights = asked.join(idf, "term").select(query_id, "term", (F.col("idf") * F.least("tf", F.lit(tf_most))).alias("w"))
-    raw = held.join(weights, "term").groupBy(query_id, doc_id).agg(F.sum("w").alias("raw"))
+    raw = held.join(lookup(weights, asked), "term").groupBy(query_id, doc_id).agg(F.sum("w").alias("raw"))
     best = raw.groupBy(query_id).agg(F.max("raw").alias("best"))
-    return raw.join(best, query_id).select(query_id, doc_id, F.round(F.col("raw") / F.col("best"), 6).alias("affinity"))
+    return raw.join(lookup(best, queries), query_id).select(query_id, doc_id, F.round(F.col("raw") / F.col("best"), 6).alias("affinity"))
 
 
 def grams(rows: DataFrame, id_: str) -> DataFrame:
