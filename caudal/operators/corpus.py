@@ -208,6 +208,9 @@ def needles(needle_texts: DataFrame, docs: DataFrame, needle_id: str, doc_id: st
     def windows(rows: DataFrame, id_: str, every: int) -> DataFrame:
         words = rows.select(id_, F.filter(F.split(normalised(F.col("text")), " "), lambda w: w != "").alias("w"))
         starts = F.when(F.size("w") >= width, F.sequence(F.lit(1), F.size("w") - width + 1, F.lit(every))).otherwise(F.array().cast("array<int>"))
-        return words.select(id_, F.explode(F.transform(starts, lambda s: F.xxhash64(F.array_join(F.slice("w", s, F.lit(width)), " ")))).alias("window")).distinct()
+        return words.select(id_, F.explode(F.transform(starts, lambda s: F.xxhash64(F.array_join(F.slice("w", s, F.lit(width)), " ")))).alias("window"))
 
-    return windows(docs, doc_id, 1).join(windows(needle_texts, needle_id, step), "window").groupBy(needle_id, doc_id).agg(F.count("*").alias("windows"))
+    # Only windows that a needle has go on, and of these each one of a document once.
+    asked = written(windows(needle_texts, needle_id, step).distinct(), "needles")
+    met = windows(docs, doc_id, 1).join(lookup(asked), "window").select(needle_id, doc_id, "window").distinct()
+    return met.groupBy(needle_id, doc_id).agg(F.count("*").alias("windows"))

@@ -37,3 +37,11 @@ def test_nearest_with_odd_vectors_and_copies(spark):
         assert found[q] == {(i, -s) for s, i in scores[:4]}
     assert len(found[100]) == 4 and all(s is None for _, s in found[100])
     assert "NestedLoopJoin" not in _moved(corpus._best_of(vectors, np.array([3]), np.array([[1.0, 0, 0, 0]]), 4))
+
+
+def test_needles_and_affinity_move_only_what_is_asked(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"word{(i * j) % 50}" for j in range(40))) for i in range(20)] + [(3, "a b c d e f g h a b c d e f g h")], "doc long, text string")
+    asked = spark.createDataFrame([(0, "a b c d e f g h"), (1, "word1 word2 word3")], "item long, text string")
+    found = corpus.needles(asked, docs, "item", "doc")
+    assert [tuple(r) for r in found.collect()] == [(0, 3, 1)]
+    assert "SortMergeJoin" not in _moved(found) and "SortMergeJoin" not in _moved(corpus.idf_affinity(asked, docs, "item", "doc"))
