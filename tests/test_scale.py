@@ -45,3 +45,11 @@ def test_needles_and_affinity_move_only_what_is_asked(spark):
     found = corpus.needles(asked, docs, "item", "doc")
     assert [tuple(r) for r in found.collect()] == [(0, 3, 1)]
     assert "SortMergeJoin" not in _moved(found) and "SortMergeJoin" not in _moved(corpus.idf_affinity(asked, docs, "item", "doc"))
+
+
+def test_number_core_stays_small(spark):
+    x = T.number_core(F.col("x"))
+    rows = spark.createDataFrame([("1.234,",), ("00012",), ("0,50",), ("1,234.5.",), ("1.2.3",), ("0.",), (",5",), (None,)], "x string")
+    assert [r[0] for r in rows.select(x).collect()] == ["1234", "12", "0.5", "12345", "123", "0", "0.5", None]
+    # each step names the one before a few times, and so names all steps before it the more often
+    assert str(x).count("regexp_replace") < 20
