@@ -142,25 +142,32 @@ def span_coverage(asked: DataFrame, held: DataFrame, found: DataFrame) -> DataFr
 
 
 def _classes(rows: DataFrame, words: Column) -> DataFrame:
-    """group, words (sorted, distinct), id, rank: rows of equal words are one class, in falling order of id."""
+    """group, key, words (sorted, distinct), id, rank: rows of equal words are one class, in falling order of id; its key is a digest of the words, which can be many."""
     named = rows.select("group", F.array_sort(F.array_distinct(words)).alias("words"), "id").filter(F.size("words") > 0)
-    return named.withColumn("rank", F.row_number().over(Window.partitionBy("group", "words").orderBy(F.desc("id"))))
+    keyed = named.select("group", F.unhex(F.md5(F.to_json("words"))).alias("key"), "words", "id")
+    return keyed.withColumn("rank", F.row_number().over(Window.partitionBy("group", "key").orderBy(F.desc("id"))))
 
 
 def _alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """group, a, b (word arrays), score: classes of both sides with a Jaccard of `least` or more, by their rarest words alone: two such sets share one of them."""
-    both = left.select("group", "words", F.lit("a").alias("side")).union(right.select("group", "words", F.lit("b").alias("side"))).distinct()
-    each = both.select("group", "side", "words", F.explode("words").alias("word"))
+    """group, a, b (keys), score: classes of both sides with a Jaccard of `least` or more, by their rarest words alone: two such sets share one of them.
+
+    A word goes about with its class's key; the words of a class move only once a pair.
+    """
+    both = left.filter("rank = 1").select("group", "key", "words", F.lit("a").alias("side")).union(right.filter("rank = 1").select("group", "key", "words", F.lit("b").alias("side")))
+    each = both.select("group", "side", "key", F.explode("words").alias("word"))
     often = each.groupBy("group", "word").agg(F.count("*").alias("often"))
-    ranked = each.join(often, ["group", "word"]).groupBy("group", "side", "words").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("rare"))
-    first = F.size("words") - F.ceil(F.lit(least) * F.size("words") - 1e-9) + 1
-    heads = ranked.select("group", "side", "words", F.explode(F.slice("rare", F.lit(1), first.cast("int"))).alias("head")).select("group", "side", "words", "head.word")
-    a = heads.filter("side = 'a'").select("group", "word", F.col("words").alias("a"))
-    b = heads.filter("side = 'b'").select("group", "word", F.col("words").alias("b"))
-    near = (F.size("a") >= F.lit(least) * F.size("b") - 1e-9) & (F.size("b") >= F.lit(least) * F.size("a") - 1e-9)
+    ranked = each.join(often, ["group", "word"]).groupBy("group", "side", "key").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("rare"))
+    size = F.size("rare")
+    first = size - F.ceil(F.lit(least) * size - 1e-9) + 1
+    heads = ranked.select("group", "side", "key", size.alias("size"), F.explode(F.slice("rare", F.lit(1), first.cast("int"))).alias("head")).select("group", "side", "key", "size", "head.word")
+    a = heads.filter("side = 'a'").select("group", "word", F.col("key").alias("a"), F.col("size").alias("a_size"))
+    b = heads.filter("side = 'b'").select("group", "word", F.col("key").alias("b"), F.col("size").alias("b_size"))
+    near = (F.col("a_size") >= F.lit(least) * F.col("b_size") - 1e-9) & (F.col("b_size") >= F.lit(least) * F.col("a_size") - 1e-9)
     pairs = a.join(b, ["group", "word"]).filter(near).select("group", "a", "b").distinct()
-    same = F.size(F.array_intersect("a", "b"))
-    return pairs.withColumn("score", same / (F.size("a") + F.size("b") - same)).filter(F.col("score") >= least)
+    told = lambda rows, s: rows.filter("rank = 1").select("group", F.col("key").alias(s), F.col("words").alias(f"{s}_words"))
+    met = pairs.join(told(left, "a"), ["group", "a"]).join(told(right, "b"), ["group", "b"])
+    same = F.size(F.array_intersect("a_words", "b_words"))
+    return met.select("group", "a", "b", (same / (F.size("a_words") + F.size("b_words") - same)).alias("score")).filter(F.col("score") >= least)
 
 
 def one_to_one(left: DataFrame, right: DataFrame, words: Column, least: float = 0.6) -> DataFrame:
@@ -174,10 +181,11 @@ def one_to_one(left: DataFrame, right: DataFrame, words: Column, least: float =
     a, b = written(_classes(left, words), "left"), written(_classes(right, words), "right")
     pairs = written(_alike(a, b, least), "alike")
     # Equal words come first: the scan pairs them in order of their ids before any other score.
-    taken = a.join(b.withColumnRenamed("id", "right_id"), ["group", "words", "rank"]).select("group", F.col("id").alias("left_id"), "right_id", F.lit(1.0).alias("score"), F.col("words").alias("a"), F.col("words").alias("b"), F.col("rank").alias("a_rank"), F.col("rank").alias("b_rank"))
+    a, b = a.drop("words"), b.drop("words")
+    taken = a.join(b.withColumnRenamed("id", "right_id"), ["group", "key", "rank"]).select("group", F.col("id").alias("left_id"), "right_id", F.lit(1.0).alias("score"), F.col("key").alias("a"), F.col("key").alias("b"), F.col("rank").alias("a_rank"), F.col("rank").alias("b_rank"))
     taken = written(taken, "taken")
-    sizes = {s: rows.groupBy("group", F.col("words").alias(s)).agg(F.max("rank").alias("size")) for s, rows in (("a", a), ("b", b))}
-    ids = {"a": a.select("group", F.col("words").alias("a"), F.col("rank").alias("a_rank"), F.col("id").alias("a_id")), "b": b.select("group", F.col("words").alias("b"), F.col("rank").alias("b_rank"), F.col("id").alias("b_id"))}
+    sizes = {s: rows.groupBy("group", F.col("key").alias(s)).agg(F.max("rank").alias("size")) for s, rows in (("a", a), ("b", b))}
+    ids = {"a": a.select("group", F.col("key").alias("a"), F.col("rank").alias("a_rank"), F.col("id").alias("a_id")), "b": b.select("group", F.col("key").alias("b"), F.col("rank").alias("b_rank"), F.col("id").alias("b_id"))}
     parts = [taken]
     live = pairs.filter("score < 1")
     while True:

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from caudal.functions import text as T
-from caudal.operators import corpus
+from caudal.operators import alignment, corpus
 
 
 def _moved(df):
@@ -53,3 +53,13 @@ def test_number_core_stays_small(spark):
     assert [r[0] for r in rows.select(x).collect()] == ["1234", "12", "0.5", "12345", "123", "0", "0.5", None]
     # each step names the one before a few times, and so names all steps before it the more often
     assert str(x).count("regexp_replace") < 20
+
+
+def test_words_of_long_names_do_not_go_about_with_each_word(spark):
+    names = spark.createDataFrame([("g", i, [f"w{j}" for j in range(i % 3, 300)]) for i in range(6)], "group string, id long, words array<string>")
+    left, right = (alignment._classes(names.filter(f"id % 2 = {k}"), F.col("words")) for k in (0, 1))
+    plan = _moved(alignment._alike(left, right, 0.6))
+    # words are exploded beside the key of their class alone
+    assert [line for line in plan.split("\n") if "Generate explode(words" in line] and all(", words#" not in line.split("explode(words")[1].split("[", 1)[1].split("]")[0] for line in plan.split("\n") if "Generate explode(words" in line)
+    found = alignment.one_to_one(names.filter("id % 2 = 0"), names.filter("id % 2 = 1"), F.col("words")).collect()
+    assert {(r.left_id, r.right_id) for r in found} == {(0, 3), (2, 5), (4, 1)}
