@@ -1,11 +1,11 @@
 """Quality rules: counting rules over the whole text, then a hashed n-gram log-likelihood ratio.
 
-Two multinomials over BUCKETS hashed byte NGRAM-grams are counted: of trusted documents (labelled of good
-quality; at most TRUSTED_ROWS labelled rows are used, those of the smallest hash) and of the whole raw corpus.
-A document's score is the mean of log(p_target / p_raw) over its n-grams, so its length cancels. One threshold,
-the cut that parts the labelled rows best, decides every document.
+Two multinomials over BUCKETS hashed byte NGRAM-grams are counted: of trusted documents (all that are labelled of good
+quality) and of the whole raw corpus. A document's score is the mean of log(p_target / p_raw) over its n-grams, so its
+length cancels. One threshold, the cut that parts all labelled rows best, decides every document.
 
-Counts are summed in slices of the bucket range over a tree of groups; the driver gets two arrays of BUCKETS.
+Counts are summed in slices of the bucket range over a tree of groups; the driver gets two arrays of BUCKETS. Labels are
+broadcast up to BROADCAST_ROWS documents and joined by a shuffle beyond that; the cut is found over ranges of scores.
 
 Defined cases: null text has no words and fails the base rule; a text under NGRAM bytes scores 0; a very long text is measured
 whole, by itself; a score equal to the threshold is kept, and of equally good cuts the one in the widest gap is taken, of equal
@@ -20,14 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches, smallest, table, tidied
+from .shared import small_batches, table, tidied
 from .textkit import distinct, mix, parts, ranges, shingles, span_hashes, words
 
 NGRAM, BUCKETS, SLICES, SMOOTH = 4, 1 << 16, 16, 0.5
-TRUSTED_ROWS = 20_000
+BROADCAST_ROWS = 4_000_000
 MIN_WORDS, REPEAT_WORDS = 50, 0.5
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -94,14 +94,14 @@ def gram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return hashed[ranges(offsets[:-1], sizes)], places
 
 
-def multinomials(docs: DataFrame, trusted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the n-gram buckets in all docs, and in those whose doc_id is in trusted (sorted)."""
+def multinomials(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the n-gram buckets in all docs (good, text), and in the good ones."""
     width = BUCKETS // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            good = np.isin(batch.column(0).fill_null(-1).to_numpy(), trusted) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            good = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, data, offsets in parts(batch.column(1)):
                 grams, places = gram_buckets(data, offsets)
                 raw += np.bincount(grams, minlength=BUCKETS)
@@ -119,7 +119,7 @@ def multinomials(docs: DataFrame, trusted: np.ndarray) -> tuple[np.ndarray, np.n
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([raw.tobytes()], pa.binary()), pa.array([target.tobytes()], pa.binary())], ["slice", "salt", "raw", "target"])
 
     shape = "slice int, salt int, raw binary, target binary"
-    counted = docs.select("doc_id", "text").mapInArrow(tidied(count), shape)
+    counted = docs.select("good", "text").mapInArrow(tidied(count), shape)
     summed = counted.groupBy("slice", "salt").applyInArrow(add, shape).groupBy("slice").applyInArrow(add, shape)
     raw, target = np.zeros((SLICES, width), np.int64), np.zeros((SLICES, width), np.int64)
     for row in summed.collect():
@@ -179,38 +179,58 @@ def threshold(scores: np.ndarray, good: np.ndarray) -> float:
 FAILED = f"n_words < {MIN_WORDS} OR n_repeat_words > {REPEAT_WORDS} * n_words"
 
 
-def labelled(spark: SparkSession, labels: DataFrame) -> DataFrame:
-    """At most TRUSTED_ROWS rows (doc_id, quality) of labels."""
-    rows = smallest(labels.filter("quality IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("quality").cast("int")), "doc_id", 6, TRUSTED_ROWS).collect()
-    return spark.createDataFrame(rows, "doc_id long, quality int")
+def labelled(labels: DataFrame) -> DataFrame:
+    """doc_id, quality (the least label) and good (a label is 1) of every labelled document."""
+    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    return table(known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.col("quality") == 1).alias("good")), "labels")
 
 
-def learned(docs: DataFrame, sample: DataFrame) -> np.ndarray:
-    """The log-ratio of each bucket, from all docs and the sample's good ones."""
-    good = [r.doc_id for r in sample.filter("quality = 1").collect()]
-    return weights(*multinomials(docs, np.sort(np.array(good, np.int64))))
+def at_hand(known: DataFrame) -> DataFrame:
+    """known, broadcast where it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
 
 
-def cut(found: DataFrame, sample: DataFrame) -> float:
-    """The threshold for FEATURES rows, from those of them that the sample labels."""
-    known = found.filter(f"NOT ({FAILED})").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("score").alias("score"), F.min("quality").alias("quality")).orderBy("doc_id").toPandas()
-    return float(threshold(known.score.to_numpy(float), known.quality.to_numpy() == 1)) if len(known) else -np.inf
+def learned(docs: DataFrame, known: DataFrame) -> np.ndarray:
+    """The log-ratio of each bucket, from all docs and all that are labelled good."""
+    marked = docs.select("doc_id", "text").join(known.select("doc_id", "good"), "doc_id", "left")
+    return weights(*multinomials(marked.select(F.coalesce("good", F.lit(False)).alias("good"), "text")))
+
+
+def cut(found: DataFrame, known: DataFrame) -> float:
+    """The threshold() for FEATURES rows, from all of them that are labelled.
+
+    Scores are dealt in ranges; each sums its own rows, and only a row a range and the best cut meet in one place.
+    """
+    rows = found.filter(f"NOT ({FAILED})").join(known.select("doc_id", "quality"), "doc_id").groupBy("doc_id").agg(F.min("score").alias("score"), F.min("quality").alias("quality"))
+    counted = rows.groupBy("score").agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") != 1).cast("long")).alias("bad"))
+    dealt = table(counted.repartitionByRange("score").sortWithinPartitions("score").withColumn("range", F.spark_partition_id()), "scores")
+    total = dealt.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    if not total.good or not total.bad:
+        return -np.inf
+    by, inside = Window.orderBy("range"), Window.partitionBy("range").orderBy("score")
+    sums = dealt.groupBy("range").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.min("score").alias("from"))
+    sums = sums.select("range", (F.sum("g").over(by) - F.col("g")).alias("g"), (F.sum("b").over(by) - F.col("b")).alias("b"), F.lead("from").over(by).alias("then"))
+    placed = dealt.join(F.broadcast(sums), "range")
+    lost = (F.sum("good").over(inside) + F.col("g")) / F.lit(total.good) + 1 - (F.sum("bad").over(inside) + F.col("b")) / F.lit(total.bad)
+    cuts = placed.select("score", F.coalesce(F.lead("score").over(inside), "then").alias("next"), F.round(lost, 12).alias("lost")).filter("next IS NOT NULL")
+    best = cuts.orderBy("lost", F.desc(F.col("next") - F.col("score")), "score").first()
+    return round((best.score + best.next) / 2, 9) if best else -np.inf
 
 
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """FEATURES, base_failed and kept of every row of docs (doc_id, text). labels: doc_id, quality (1 is good)."""
     small_batches(spark)
-    sample = labelled(spark, labels)
-    found = table(features(docs, learned(docs, sample)), "quality")
-    return found.withColumn("base_failed", F.expr(FAILED)).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(cut(found, sample))))
+    known = at_hand(labelled(labels))
+    found = table(features(docs, learned(docs, known)), "quality")
+    return found.withColumn("base_failed", F.expr(FAILED)).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(cut(found, known))))
 
 
 def passing(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that judge() keeps, all columns as they are. Texts stay in their tasks: nothing is joined or shuffled but counts."""
     small_batches(spark)
-    sample = labelled(spark, labels)
-    ratios = learned(docs, sample)
-    least = cut(features(docs.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi"), ratios), sample)
+    known = at_hand(labelled(labels))
+    ratios = learned(docs, known)
+    least = cut(features(docs.join(known.select("doc_id"), "doc_id", "left_semi"), ratios), known)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
