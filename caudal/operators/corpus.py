@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from .storage import written
 
 #: Rows of a list (terms or windows of queries, one row a query) that are broadcast at most; longer ones are joined by a shuffle.
 MAX_BROADCAST = 500_000
+#: Of tfidf_matches: terms of a block, bytes of text whose terms make a bucket, scores at once.
+BLOCK, BUCKET, CELLS = 1 << 20, 8 << 20, 1 << 17
 
 
 def lookup(rows: DataFrame, bound: DataFrame | None = None) -> DataFrame:
@@ -170,34 +174,214 @@ def idf_affinity(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str
 
 
 def grams(rows: DataFrame, id_: str) -> DataFrame:
-    """id, term, tf of words and pairs of words of the normalised text."""
-    words = F.filter(F.split(normalised(F.col("text")), " "), lambda w: w != "")
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    return rows.select(id_, words.alias("w")).select(id_, F.explode(F.concat("w", pairs)).alias("term")).groupBy(id_, "term").agg(F.count("*").alias("tf"))
+    """id, terms: the hash of each word and each pair of neighbouring words of the normalised text, as often as it is there."""
+    words = F.coalesce(F.filter(F.split(normalised(F.col("text")), " "), lambda w: w != ""), F.array().cast("array<string>"))
+    pairs = F.filter(F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda t: t.isNotNull())
+    return rows.select(id_, words.alias("w")).select(id_, F.transform(F.concat("w", pairs), lambda t: F.xxhash64(t)).alias("terms"))
+
+
+def _of_each(rows: DataFrame, id_: str) -> DataFrame:
+    """id, terms: the hashes of a text's terms; texts that share an id count as one, and only these move."""
+    shared = rows.groupBy(F.col(id_).alias("_id")).agg(F.count("*").alias("_rows")).filter("_rows > 1").select("_id")
+    each = grams(rows, id_)
+    if shared.isEmpty():
+        return each
+    same = F.col(id_).eqNullSafe(F.col("_id"))
+    return each.join(shared, same, "left_anti").unionByName(each.join(shared, same, "left_semi").groupBy(id_).agg(F.flatten(F.collect_list("terms")).alias("terms")))
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 by the first, second, ... byte of all of them, compressed: the high bytes of small ones take no room."""
+    raw = values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _values(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    raw = np.frombuffer(pa.decompress(packed[8:], 8 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).view("<u8").ravel()
+
+
+def _steps(rising: np.ndarray) -> np.ndarray:
+    return np.diff(rising, prepend=rising[:1] * 0)
+
+
+def _blocks(told, side: int):
+    """Calls told(block, ids, hashes, counts, rows, codes, tf) for each block of a task's rows (id, terms).
+
+    hashes are the block's distinct ones, rising, and counts how many rows have each; rows, codes (places in hashes) and tf tell each
+    row's distinct terms. A block is named by the task's partition, its number there, a sum of its hashes and its side, so that one made
+    of other rows has another name.
+    """
+
+    def made(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
+        from pyspark import TaskContext
+
+        table = pa.Table.from_batches(held).combine_chunks()
+        ids, terms_ = (table.column(c).combine_chunks() for c in (0, 1))
+        sizes = pc.list_value_length(terms_).to_numpy(zero_copy_only=False)
+        hashes, codes = np.unique(terms_.flatten().to_numpy().view(np.uint64), return_inverse=True)
+        pairs, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(len(hashes), 1) + codes, return_counts=True)
+        rows, codes = np.divmod(pairs, max(len(hashes), 1))
+        name = TaskContext.get().partitionId() << 40 | number << 28 | zlib.crc32(hashes.tobytes()) >> 4
+        return told(2 * name + side, ids, hashes, np.bincount(codes, minlength=len(hashes)), rows, codes, tf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = 0, [], 0
+        for batch in batches:
+            flat = batch.column(1)
+            ends = flat.offsets.to_numpy()
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK - size, "right")) - 1)
+                held.append(batch.slice(at, to - at))
+                size += int(ends[min(to, batch.num_rows)] - ends[at])
+                at = to
+                if size >= BLOCK or at < batch.num_rows:
+                    yield made(held, number)
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield made(held, number)
+
+    return run
+
+
+def _told_terms(buckets: int):
+    """A block's distinct terms by ranges of their hashes: bucket, block, hashes, counts."""
+
+    def told(block, ids, hashes, counts, rows, codes, tf):
+        bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        there, first = np.unique(bucket, return_index=True)
+        ends = [*first[1:], len(hashes)]
+        packed = [[_planes(x(i, j)) for i, j in zip(first, ends, strict=True)] for x in (lambda i, j: _steps(hashes[i:j]), lambda i, j: counts[i:j])] if len(there) else [[], []]
+        return pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(np.full(len(there), block), pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], names=["bucket", "block", "hashes", "counts"])
+
+    return told
+
+
+def _told_texts(block, ids, hashes, counts, rows, codes, tf):
+    ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+    # within a row the codes rise, so that their steps are small; a row begins anew
+    sizes = np.bincount(rows, minlength=len(ids.values))
+    first = np.diff(rows, prepend=-1) != 0
+    steps = np.where(first, codes, np.diff(codes, prepend=0)) if len(codes) else codes
+    return pa.RecordBatch.from_arrays([pa.array([block]), ids, *(pa.array([_planes(x)], pa.binary()) for x in (sizes, steps, tf)), pa.array([len(hashes)])], names=["block", "ids", "sizes", "steps", "tf", "known"])
+
+
+def _counted(texts: pa.Table, queries: pa.Table) -> pa.Table:
+    """Of a bucket's rows (block, hashes, counts) of both sides each block's answer: twice the rows of all blocks that have each term, and one more if a query has it; and the hashes of these."""
+    told = pa.concat_tables([texts, queries])
+    hashes = [np.cumsum(_values(x), dtype=np.uint64) for x in told.column("hashes").to_pylist()]
+    blocks = told.column("block").to_numpy()
+    counts = np.concatenate([_values(x) for x in told.column("counts").to_pylist()]).astype(np.float64)
+    sizes = np.array([len(x) for x in hashes])
+    every = np.concatenate(hashes)
+    _, place = np.unique(every, return_inverse=True)
+    held, asked = np.bincount(place, counts), np.bincount(place, np.repeat(blocks & 1, sizes)) > 0
+    answers = (2 * held.astype(np.int64) + asked)[place]
+    spans = [slice(b - n, b) for b, n in zip(np.cumsum(sizes), sizes, strict=True)]
+    terms_ = pa.array([every[x][(answers[x] & 1) > 0].view(np.int64) for x in spans], pa.list_(pa.int64()))
+    return pa.table({"block": blocks, "bucket": told.column("bucket"), "answers": pa.array([_planes(answers[x]) for x in spans], pa.binary()), "terms": terms_})
+
+
+def _weighed(total: int):
+    """Of a block (_told_texts) and its answers: each row's norm, and of the terms that queries have the hashes, and the rows, terms (places in these hashes) and weights."""
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("bucket")
+        answers = [_values(x) for x in found.column("answers").to_pylist()]
+        answers = np.concatenate(answers).astype(np.int64) if answers else np.zeros(0, np.int64)
+        if texts.num_rows != 1 or texts.column("known")[0].as_py() != len(answers):
+            raise ValueError("texts came in another order when they were read again; write them as a table first")
+        sizes, steps, tf = (_values(texts.column(c)[0].as_py()).astype(np.int64) for c in ("sizes", "steps", "tf"))
+        rows, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+        sums = np.concatenate([[0], np.cumsum(steps)])
+        codes = sums[1:] - np.repeat(sums[starts], sizes)
+        w = (1 + np.log(tf)) * (np.log((1 + total) / (1 + (answers >> 1))) + 1)[codes]
+        on = np.flatnonzero(answers[codes] & 1)
+        hashes = found.column("terms").combine_chunks().flatten().to_numpy()
+        whole = lambda x, kind: pa.array([x], pa.list_(kind))
+        return pa.table({"block": texts.column("block"), "ids": texts.column("ids"), "norms": whole(np.sqrt(np.bincount(rows, w * w, len(sizes))), pa.float64()), "hashes": whole(hashes, pa.int64()), "at": whole(rows[on], pa.int32()), "term": whole(np.searchsorted(np.flatnonzero(answers & 1), codes[on]), pa.int32()), "w": whole(w[on], pa.float64())})
+
+    return run
+
+
+def _best_pairs(query_id: str, doc_id: str, n: int):
+    """Of pairs of a block of queries (q_ columns of _weighed) and a block of texts: of each query the n best texts by score to six places and id; unrounded."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                take = lambda c, k=k, batch=batch: batch.column(c)[k].values
+                q_ids, ids = take("q_ids"), take("ids")
+                number = lambda c, take=take: take(c).to_numpy()
+                # the queries' entries by term, and for each of the texts' entries those of its term
+                _, q_place, place = np.intersect1d(number("q_hashes"), number("hashes"), assume_unique=True, return_indices=True)
+                as_q = np.full(len(number("hashes")) + 1, -1)
+                as_q[place] = q_place
+                order = np.argsort(number("q_term"), kind="stable")
+                q_at, q_w = number("q_at")[order], number("q_w")[order]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(number("q_term"), minlength=len(number("q_hashes"))))])
+                at, term, w = number("at"), as_q[number("term")], number("w")
+                met = np.flatnonzero(term >= 0)
+                at, term, w = at[met], term[met], w[met]
+                sizes = ends[term + 1] - ends[term]
+                best = []
+                step = max(1, CELLS // max(len(q_ids), 1))
+                for a in range(0, len(ids), step):
+                    i, j = np.searchsorted(at, [a, a + step])
+                    count = sizes[i:j]
+                    with_ = np.arange(count.sum()) + np.repeat(ends[term[i:j]] - (np.cumsum(count) - count), count)
+                    rows = min(step, len(ids) - a)
+                    cell = q_at[with_].astype(np.int64) * rows + np.repeat(at[i:j] - a, count)
+                    dots = np.bincount(cell, np.repeat(w[i:j], count) * q_w[with_], len(q_ids) * rows).reshape(len(q_ids), rows)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        scores = np.where(dots > 0, dots / (number("q_norms")[:, None] * number("norms")[None, a : a + rows]), -1.0)
+                    rounded = np.round(scores, 6)
+                    least = np.partition(rounded, -n, axis=1)[:, -n, None] if rows > n else np.full((len(q_ids), 1), -1.0)
+                    q, d = np.nonzero((rounded >= least) & (scores >= 0))
+                    found = pa.table({"q": q, "d": d + a, "score": scores[q, d], "order": -rounded[q, d], "id": ids.take(pa.array(d + a))}).sort_by([("q", "ascending"), ("order", "ascending"), ("id", "ascending")])
+                    q = found.column("q").to_numpy()
+                    best.append(found.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < n)))
+                for found in best:
+                    for part in found.combine_chunks().to_batches():
+                        yield pa.RecordBatch.from_arrays([q_ids.take(part.column("q")), part.column("id"), part.column("score")], [query_id, doc_id, "score"])
+
+    return run
 
 
 def tfidf_matches(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, least: float = 0.2, near: float = 0.75, below: float = 0.08, n: int = 5) -> DataFrame:
     """query, doc, score, forced: the best documents by cosine of TF-IDF vectors (1 + ln tf, idf smoothed and fitted on both sides).
 
     Kept are scores of `least` and more that are near the best one (near times it, and no more than `below` under it); where none is,
-    the best document alone, marked as forced. Document norms need all of a document's terms, but only terms of queries are joined.
+    the best document alone, marked as forced.
+
+    Each task's texts make blocks. Only a block's distinct terms move, as 64-bit hashes, to where all blocks' rows are counted by ranges
+    of hashes, and the counts go back to the blocks, whose texts are kept as places in these terms: a term is moved once a block, not once
+    a text. Blocks of texts then meet those of queries, and each pair keeps n texts a query. Terms of one hash would count as one: with
+    T distinct ones any two have with a chance of T * T / 2 ** 65. The texts are read twice and must come in the same order (a table does).
     """
-    q, d = grams(queries, query_id), grams(docs, doc_id)
-    total = queries.agg(F.count("*").alias("a")).crossJoin(docs.agg(F.count("*").alias("b"))).select((F.col("a") + F.col("b")).alias("total"))
-    df = q.select("term").unionAll(d.select("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(total)).select("term", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
-
-    def weighted(side: DataFrame, id_: str) -> tuple[DataFrame, DataFrame]:
-        w = side.join(idf, "term").select(id_, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-        return w, w.groupBy(id_).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"norm_{id_}"))
-
-    (wq, nq), (wd, nd) = weighted(q, query_id), weighted(d, doc_id)
-    shared = wd.join(wq.select("term").distinct(), "term", "left_semi").withColumnRenamed("w", "v")
-    dots = shared.join(wq, "term").groupBy(query_id, doc_id).agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    scores = dots.join(nq, query_id).join(nd, doc_id).select(query_id, doc_id, F.round(F.col("dot") / (F.col(f"norm_{query_id}") * F.col(f"norm_{doc_id}")), 6).alias("score"))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))  # a worker holds a batch and a block
+    sides = [(0, docs, doc_id), (1, queries, query_id)]
+    size = [side.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first() for _, side, _ in sides]
+    total, buckets = sum(x[0] for x in size), 1 + sum(x[1] for x in size) // BUCKET
+    each = {side: _of_each(rows, id_) for side, rows, id_ in sides}
+    asked = [rows.mapInArrow(_blocks(_told_terms(buckets), side), "bucket long, block long, hashes binary, counts binary") for side, rows in each.items()]
+    answers = written(asked[0].groupBy("bucket").cogroup(asked[1].groupBy("bucket")).applyInArrow(_counted, "block long, bucket long, answers binary, terms array<long>"), "answers")
+
+    def weighed(side: int, id_: str) -> DataFrame:
+        kind = docs.schema[id_].dataType.simpleString() if side == 0 else queries.schema[id_].dataType.simpleString()
+        texts = each[side].mapInArrow(_blocks(_told_texts, side), f"block long, ids array<{kind}>, sizes binary, steps binary, tf binary, known long")
+        mine = answers.filter(F.col("block").bitwiseAND(F.lit(1)) == side)
+        return texts.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_weighed(total), f"block long, ids array<{kind}>, norms array<double>, hashes array<long>, at array<int>, term array<int>, w array<double>").drop("block")
+
+    asking = weighed(1, query_id)
+    asking = lookup(written(asking.select(*(F.col(c).alias(f"q_{c}") for c in asking.columns)), "asking"), queries)
+    shape = f"`{query_id}` {queries.schema[query_id].dataType.simpleString()}, `{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, score double"
+    pairs = weighed(0, doc_id).crossJoin(asking).mapInArrow(_best_pairs(query_id, doc_id, n), shape)
+    scores = pairs.filter(F.col(query_id).isNotNull() & F.col(doc_id).isNotNull()).withColumn("score", F.round("score", 6))
     by = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
     ranked = scores.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= n)
-    first = ranked.filter("place = 1").select(query_id, F.col("score").alias("best"))
+    first = ranked.groupBy(query_id).agg(F.max("score").alias("best"))
     floor = F.greatest(F.lit(least), F.col("best") * near, F.col("best") - below)
     chosen = ranked.join(first, query_id).filter((F.col("score") >= floor) | ((F.col("place") == 1) & (F.col("best") < least)))
     return chosen.select(query_id, doc_id, "score", (F.col("best") < least).alias("forced"))
