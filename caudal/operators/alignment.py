@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,6 +142,128 @@ def span_coverage(asked: DataFrame, held: DataFrame, found: DataFrame) -> DataFr
     return found.join(share, ["unit", "lesson"], "left").select("unit", "lesson", "start", "end", F.round(F.coalesce("share", F.lit(0.0)), 2).alias("coverage"))
 
 
+class _Books:
+    """Whole units, one after another (rows unit, side, number, words; lessons are side 0, pages 1): the terms of lessons that pages of their unit hold, their weights, and the pages of each.
+
+    It grows with the words, not with lessons times pages: a lesson's scores are worked out when they are asked for.
+    """
+
+    def __init__(self, rows: pa.Table) -> None:
+        unit = rows.column("unit").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        side, number = rows.column("side").to_numpy(), rows.column("number").to_numpy()
+        row, terms_ = self._terms(rows)
+        coded = terms_.dictionary_encode()
+        key, of_page = unit[row] * max(len(coded.dictionary), 1) + coded.indices.to_numpy(), side[row] == 1
+        known, code = np.unique(key[of_page], return_inverse=True)
+        df = np.bincount(code, minlength=len(known))
+        self.page, self.ends = number[row[of_page]][np.argsort(code, kind="stable")], np.concatenate([[0], np.cumsum(df)])
+        self.lessons = np.flatnonzero(side == 0)
+        self.unit, pages = unit[self.lessons], np.bincount(unit[side == 1], minlength=unit.max() + 1)
+        self.m = pages[self.unit]
+        place, asked = np.searchsorted(self.lessons, row[~of_page]), key[~of_page]
+        at = np.searchsorted(known, asked)
+        there = at < len(known)
+        there[there] = known[at[there]] == asked[there]
+        pairs, tf = np.unique(place[there] * max(len(known), 1) + at[there], return_counts=True)
+        place, self.term = np.divmod(pairs, max(len(known), 1))
+        self.weight = np.log(1 + self.m[place] / df[self.term]) * np.minimum(tf, TF_MOST)
+        self.first = np.searchsorted(place, np.arange(len(self.lessons) + 1))
+
+    @staticmethod
+    def _terms(rows: pa.Table) -> tuple[np.ndarray, pa.Array]:
+        listed = pc.split_pattern(rows.column("words").combine_chunks(), " ")
+        row, terms_ = pc.list_parent_indices(listed), pc.list_flatten(listed)
+        real = pc.not_equal(terms_, "")
+        return row.filter(real).to_numpy().astype(np.int64), terms_.filter(real)
+
+    def held(self, lesson: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """weights of the lesson's terms, and for each page of each the place in them and the page."""
+        mine = slice(self.first[lesson], self.first[lesson + 1])
+        begin = self.ends[self.term[mine]]
+        sizes = self.ends[self.term[mine] + 1] - begin
+        place = np.repeat(np.arange(len(sizes)), sizes)
+        return self.weight[mine], place, self.page[np.arange(len(place)) + (begin - np.cumsum(sizes) + sizes)[place]]
+
+    def scores(self, lesson: int) -> np.ndarray:
+        weight, place, page = self.held(lesson)
+        return np.bincount(page, weight[place], self.m[lesson])
+
+    def span(self, lesson: int) -> tuple[int | None, int | None, float]:
+        """start, end as grown() tells them, and the share of the lesson's weight in terms that a page of the span holds."""
+        raw = self.scores(lesson)
+        start = end = int(np.argmax(raw))
+        if not raw[start]:
+            return None, None, 0.0
+        least = NEAR * raw[start]
+        for _ in range(MOST_PAGES - 1):
+            left, right = raw[start - 1] if start else -1.0, raw[end + 1] if end + 1 < self.m[lesson] else -1.0
+            if max(left, right) < least:
+                break
+            start, end = (start, end + 1) if right >= left else (start - 1, end)
+        weight, place, page = self.held(lesson)
+        inside = np.zeros(len(weight), bool)
+        inside[place[(page >= start) & (page <= end)]] = True
+        return start, end, float(weight[inside].sum() / weight.sum())
+
+
+def _by_unit(lessons: DataFrame, pages: DataFrame, told: Callable[[_Books, range], list[tuple]], last: str) -> DataFrame:
+    """unit, lesson, start, end and a double of each lesson of a unit with pages: told(books, places of a unit's lessons).
+
+    Lessons and pages meet once, each as its terms in one string, in one ordered pass over each partition; a task holds the units of a batch, or one.
+    """
+    kinds = [lessons.schema[c].dataType.simpleString() for c in ("unit", "lesson")]
+    words = lambda t: F.coalesce(F.array_join(t, " "), F.lit("")).alias("words")
+    side = lambda rows, n, number, t: rows.filter("unit IS NOT NULL").select("unit", F.lit(n).alias("side"), F.col(number).cast("long").alias("number"), words(t))
+    both = side(lessons, 0, "lesson", tokens(F.col("text"))).union(side(pages, 1, "page", F.array_distinct(tokens(F.col("text")))))
+
+    def made(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        books = _Books(rows)
+        at = np.flatnonzero(np.diff(books.unit, prepend=-1, append=-1)) if len(books.unit) else []
+        out = [x for a, b in zip(at[:-1], at[1:], strict=True) if books.m[a] for x in told(books, range(a, b))]
+        start, end, value = zip(*out, strict=True) if out else ((), (), ())
+        mine = rows.take(pa.array(books.lessons[books.m > 0]))
+        return pa.RecordBatch.from_arrays([*(mine.column(c).combine_chunks() for c in ("unit", "number")), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(value, pa.float64())], names=["unit", "lesson", "start", "end", last])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit = batch.column(0).dictionary_encode().indices.to_numpy()
+            open_ = int(np.searchsorted(unit, unit[-1]))  # the last unit may go on in the next batch
+            if held and (open_ or held[-1].column(0)[-1] != batch.column(0)[0]):
+                yield made([*held, batch.slice(0, open_)])
+                held = []
+            elif open_:
+                yield made([batch.slice(0, open_)])
+            held.append(batch.slice(open_))
+        if held:
+            yield made(held)
+
+    dealt = both.repartition("unit").sortWithinPartitions("unit", "side", "number")
+    found = dealt.mapInArrow(run, f"unit {kinds[0]}, lesson long, start int, end int, {last} double")
+    return found.withColumns({"lesson": F.col("lesson").cast(kinds[1]), last: F.round(last, 2)})
+
+
+def page_spans(lessons: DataFrame, pages: DataFrame) -> DataFrame:
+    """unit, lesson, start, end, affinity: align() of lessons (unit, lesson, text) and pages (unit, page, text), which move once."""
+    def told(books: _Books, mine: range) -> list[tuple]:
+        def row(i: int) -> np.ndarray:
+            raw = books.scores(mine[i])
+            return np.floor(raw / (raw.max() or 1) * MILLION + 0.5).astype(np.int64)
+
+        n, m = len(mine), int(books.m[mine[0]])
+        return [(a, b, 0.0 if m < n else row(i)[a : b + 1].mean() / MILLION) for i, (a, b) in enumerate(spans(n, m, row, int(PENALTY * MILLION)))]
+
+    return _by_unit(lessons, pages, told, "affinity")
+
+
+def best_spans(lessons: DataFrame, pages: DataFrame) -> DataFrame:
+    """unit, lesson, start, end, coverage: span_coverage() of what grown() tells of lessons (unit, lesson, text) and pages (unit, page, text), which move once."""
+    return _by_unit(lessons, pages, lambda books, mine: [books.span(i) for i in mine], "coverage")
+
+
 def _classes(rows: DataFrame, words: Column) -> DataFrame:
     """group, key, words (sorted, distinct), id, rank: rows of equal words are one class, in falling order of id; its key is a digest of the words, which can be many."""
     named = rows.select("group", F.array_sort(F.array_distinct(words)).alias("words"), "id").filter(F.size("words") > 0)
