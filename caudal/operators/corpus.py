@@ -181,13 +181,15 @@ def grams(rows: DataFrame, id_: str) -> DataFrame:
 
 
 def _of_each(rows: DataFrame, id_: str) -> DataFrame:
-    """id, terms: the hashes of a text's terms; texts that share an id count as one, and only these move."""
+    """id, terms: the hashes of a text's terms; texts that share an id count as one. Where there are any, the other texts are written once."""
     shared = rows.groupBy(F.col(id_).alias("_id")).agg(F.count("*").alias("_rows")).filter("_rows > 1").select("_id")
-    each = grams(rows, id_)
     if shared.isEmpty():
-        return each
+        return grams(rows, id_)
+    # both parts are written, since what a shuffle gives may come in another order when it is read again
     same = F.col(id_).eqNullSafe(F.col("_id"))
-    return each.join(shared, same, "left_anti").unionByName(each.join(shared, same, "left_semi").groupBy(id_).agg(F.flatten(F.collect_list("terms")).alias("terms")))
+    apart = written(rows.select(id_, "text").join(shared, same, "left_anti"), "apart")
+    together = grams(rows.join(shared, same, "left_semi"), id_).groupBy(id_).agg(F.flatten(F.collect_list("terms")).alias("terms"))
+    return grams(apart, id_).unionByName(written(together, "together"))
 
 
 def _planes(values: np.ndarray) -> bytes:
