@@ -5,11 +5,11 @@
    first n - ceil(SHARE * n) + 1 shingles of their own order (the prefix), so a bucket for each such shingle
    holds every pair that can be linked. Any common order is exact; rare ones first keep buckets small. Frequent
    shingles are found from all documents: one in 1 / FREQUENT documents at least, so their table has a bound
-   (2 * mean set size * FREQUENT) that does not grow with the corpus.
+   (2 * mean set size * FREQUENT) that does not grow with the corpus. A bucket is parted where neighbours by set size are too far apart.
 3. A node's shingles are hashed into GROUPS groups; its group counts are a point. For two points the sum of the
    coordinates' minima bounds the overlap. Within a bucket the points are indexed in an R-tree, and a join of the tree
    with itself drops pairs of subtrees whose boxes bound the overlap below what SHARE needs.
-4. Surviving pairs are verified on the whole sets. First only pairs with the most central point of each bucket
+4. Surviving pairs are bounded by finer points, and then verified on the whole sets, which move once a pair. First only pairs with the most central point of each bucket
    are verified, one pair for each node and then those still across components; then, of the buckets whose nodes are
    not all connected yet, the pairs across components. A large group of near copies so costs rows in proportion to its
    size, and no link between different components is lost.
@@ -29,7 +29,7 @@ are not read by `linked` and stay in `one_each`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import small_batches, table, tidied
-from .textkit import LOWER, distinct, lists, mix, parts, shingles, span_hashes, words
+from .textkit import LOWER, distinct, mix, parts, shingles, span_hashes, words
 
 WIDTH, SHARE = 5, 80  # words, per cent
 FREQUENT, CHUNK, SEEN = 2000, 3_000_000, 200_000
@@ -179,15 +179,19 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def buckets(found: DataFrame) -> DataFrame:
-    """bucket, node, size, lead (its smallest node) of each bucket of two nodes or more; buckets with the same nodes count once."""
+    """bucket, node, size, lead (its smallest node) of each bucket of two nodes or more; buckets with the same nodes count once.
+
+    A shingle's nodes are parted where neighbours in the order of their set sizes are too far apart to be linked: no two on different
+    sides can be. Most shingles that meet by chance so make no bucket.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for rows in _runs(batches, 1):
-            token, node = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            token, size, node = (rows.column(k).to_numpy() for k in range(3))
             fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
-            token, node = token[fresh], node[fresh]
-            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            token, size, node = token[fresh], size[fresh], node[fresh]
+            starts = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (100 * size[:-1] < SHARE * size[1:])]))
             sizes = np.diff(np.concatenate([starts, [len(token)]]))
             ids = mix(np.add.reduceat(mix(node.view(np.uint64)), starts) ^ sizes.astype(np.uint64)).view(np.int64)
             keep = sizes > 1
@@ -200,10 +204,10 @@ def buckets(found: DataFrame) -> DataFrame:
                 seen.clear()
             if keep.any():
                 mask = np.repeat(keep, sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)[mask]), pa.array(node[mask]), pa.array(np.repeat(sizes, sizes)[mask]), pa.array(np.repeat(node[starts], sizes)[mask])], ["bucket", "node", "size", "lead"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)[mask]), pa.array(node[mask]), pa.array(np.repeat(sizes, sizes)[mask]), pa.array(np.repeat(np.minimum.reduceat(node, starts), sizes)[mask])], ["bucket", "node", "size", "lead"])
 
-    exploded = found.filter("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "node")
-    return exploded.repartition("token").sortWithinPartitions("token", "node").mapInArrow(tidied(run), "bucket long, node long, size long, lead long").distinct()
+    exploded = found.filter("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "n_shingles", "node")
+    return exploded.repartition("token").sortWithinPartitions("token", "n_shingles", "node").mapInArrow(tidied(run), "bucket long, node long, size long, lead long").distinct()
 
 
 def with_deal(members: DataFrame) -> DataFrame:
@@ -290,20 +294,20 @@ def star_pairs(points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
 PAIRS = "x long, y long"
 
 
-def candidates(members: DataFrame, labels: DataFrame | None, fine: DataFrame | None = None) -> DataFrame:
+def candidates(members: DataFrame, labels: DataFrame | None, points: DataFrame | None = None) -> DataFrame:
     """Distinct pairs (x < y) of nodes to verify. members: bucket, rep, size, n_shingles, counts, deal.
 
     Without labels the stars of the buckets (or of their blocks); with labels (node, component) all pairs across components
-    that the fine points (rep, fine) allow too.
+    that the fine points (points: rep, n_shingles, counts, fine) allow too; points go to open buckets only.
     """
     many = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = members.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "bucket", "rep"), many).cast("int"))
     if labels is None:
         keyed = dealt.select("bucket", "block", F.col("block").alias("other"), "block", F.col("rep"), "n_shingles", F.lit(0).cast("long").alias("label"), "counts", F.lit(None).cast("binary"), "deal")
     else:
-        named = dealt.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
+        named = dealt.drop("n_shingles", "counts").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
         split = named.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("bucket")
-        opened = named.join(split, "bucket", "left_semi").join(fine, "rep").withColumn("with", F.explode(F.sequence(F.lit(0), many - 1)))
+        opened = named.join(split, "bucket", "left_semi").join(points, "rep").withColumn("with", F.explode(F.sequence(F.lit(0), many - 1)))
         keyed = opened.select("bucket", F.least("block", "with").alias("block"), F.greatest("block", "with").alias("other"), F.col("block").alias("own"), "rep", "n_shingles", "label", "counts", "fine", "deal")
     keyed = keyed.toDF("bucket", "block", "other", "own", "rep", "n_shingles", "label", "counts", "fine", "deal")
     star = labels is None
@@ -366,36 +370,72 @@ def may_link(x: bytes, y: bytes) -> bool:
     return (100 + SHARE) * np.minimum(a, b).sum() >= SHARE * (a.sum() + b.sum())
 
 
-def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (x, y of node) whose whole sets are similar enough. pairs: a table; reps: node and a doc_id that has it.
+def alike(x: bytes, y: bytes) -> bool:
+    """Whether two whole sets of shingles are similar enough."""
+    a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= SHARE * (len(a) + len(b) - common)
+
+
+def compared(pairs: DataFrame, values: DataFrame, test: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs (x, y of node; a table) whose values pass the test. values: node, value (binary), once or more for each node.
 
-    Whole sets are moved only for pairs that the bound on fine points lets through: in long documents the
-    coarse points of the tree are too even to tell two of them apart.
+    A pair meets at that of its nodes which has more pairs, the hub. A hub's value goes there once for each BLOCK of its pairs, and the
+    other's once for each pair, in one ordered pass that holds the hub's value.
     """
-    wanted = table(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(reps, "node").select("node", "rep"), "wanted")
-    few = wanted.count() <= MAX_BROADCAST
-    near = F.broadcast if few else (lambda x: x)
+    counts = pairs.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    known = pairs.join(counts.toDF("x", "of_x"), "x").join(counts.toDF("y", "of_y"), "y")
+    swap = F.col("of_x") < F.col("of_y")
+    met = known.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("hub"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("node"), F.greatest("of_x", "of_y").alias("n"))
+    met = met.select("hub", F.pmod(F.xxhash64(F.lit(3), "node"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("part"), F.lit(True).alias("leaf"), "node")
+    wanted = table(met.union(met.select("hub", "part", F.lit(False), "hub").distinct()), "met")
+    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, last = None, b"", None
         for batch in batches:
-            for _, _, values, places in shingle_sets(batch.column(0)):
-                fine = [fine_point(values[i:j]) for i, j in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(node_ids(values, places)), lists(values.view(np.int64), places, pa.int64()), pa.array(fine, pa.binary())], ["node", "shingles", "fine"])
+            out = []
+            for hub, part, leaf, node, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not leaf:
+                    at, held, last = (hub, part), value, None
+                elif at == (hub, part) and node != last:
+                    last = node
+                    if test(held, value):
+                        out.append((min(hub, node), max(hub, node)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["x", "y"])
+
+    dealt = values.join(wanted, "node").select("hub", "part", "leaf", "node", "value").repartition("hub", "part")
+    return dealt.sortWithinPartitions("hub", "part", "leaf", "node").mapInArrow(tidied(run), PAIRS)
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, points: DataFrame | None = None) -> DataFrame:
+    """The pairs (x, y of node) whose whole sets are similar enough. pairs: a table; reps: node and a doc_id that has it.
+
+    With points (node, fine) texts are read and whole sets moved only for pairs that the bound on fine points lets through: in long
+    documents the coarse points of the tree are too even to tell two of them apart.
+    """
+    if points is not None:
+        pairs = table(compared(pairs, points.select("node", F.col("fine").alias("value")), may_link), "bounded")
+    wanted = table(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(reps, "node").select("rep").distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            fits = [may_link(x, y) for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
-            yield batch.select(["x", "y"]).filter(pa.array(fits, pa.bool_()))
+            for _, _, values, places in shingle_sets(batch.column(0)):
+                node, rows = node_ids(values, places).tolist(), []
+                for i in np.flatnonzero(np.diff(places)).tolist():
+                    if node[i] not in seen:
+                        seen.add(node[i])
+                        rows.append((node[i], values[places[i] : places[i + 1]]))
+                if len(seen) > SEEN:
+                    seen.clear()
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([v.astype("<u8").tobytes() for _, v in rows], pa.binary())], ["node", "value"])
 
-    texts = docs.join(near(wanted.select("rep").distinct()), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    own = texts.mapInArrow(tidied(run), "node long, shingles array<long>, fine binary").join(near(wanted.select("node")), "node", "left_semi")
-    sets = table(own.dropDuplicates(["node"]), "sets")
-    points = sets.select("node", "fine")
-    open_ = table(pairs.join(points.toDF("x", "a"), "x").join(points.toDF("y", "b"), "y").select("x", "y", "a", "b").mapInArrow(tidied(bound), PAIRS), "bounded")
-    whole = sets.select("node", "shingles")
-    both = open_.join(whole.toDF("x", "a"), "x").join(whole.toDF("y", "b"), "y")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.select("x", "y", common.alias("common"), (F.size("a") + F.size("b") - common).alias("all")).filter(f"100 * common >= {SHARE} * all").select("x", "y")
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+    return compared(pairs, table(texts.mapInArrow(tidied(run), "node long, value binary"), "sets"), alike)
 
 
 def grouped(links: DataFrame) -> DataFrame:
@@ -424,10 +464,11 @@ def linked(spark: SparkSession, docs: DataFrame) -> DataFrame:
     members = with_deal(members)
     small_batches(spark, 2000)
     stars = table(candidates(members, None), "pairs")
-    links = table(verified(docs, table(stars.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "pairs"), reps), "links")
-    links = table(links.union(verified(docs, table(across(stars, grouped(links)), "pairs"), reps)), "links")
+    fine = found.filter("fine IS NOT NULL")
+    links = table(verified(docs, table(stars.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "pairs"), reps, fine), "links")
+    links = table(links.union(verified(docs, table(across(stars, grouped(links)), "pairs"), reps, fine)), "links")
     first = grouped(links)
-    fine = found.filter("fine IS NOT NULL").dropDuplicates(["node"]).select(F.col("node").alias("rep"), "fine")
+    fine = fine.dropDuplicates(["node"]).select(F.col("node").alias("rep"), "n_shingles", "counts", "fine")
     more = table(verified(docs, table(candidates(members, first, fine), "pairs"), reps), "links")
     # A component is told by its smallest doc_id; the sum over a component combines before the shuffle.
     whole = table(reps.join(grouped(links.union(more)), "node", "left").withColumn("component", F.coalesce("component", "node")), "whole")
