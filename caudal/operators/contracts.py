@@ -82,6 +82,7 @@ class Contract:
         for name, value in (json.loads(saved) if saved else dict.fromkeys(self.FIELDS)).items():
             setattr(self, name, datetime.fromisoformat(value) if name in self.DATES and value else value)
         self.sent = list(self.sent or [])
+        self._edges: tuple[datetime, list[datetime]] | None = None
 
     def saved(self) -> str:
         values = {name: getattr(self, name) for name in self.FIELDS}
@@ -183,6 +184,20 @@ class Contract:
                 self.sent.append(key)
                 yield "notice", key, self.plan, None, None, self.end
 
+    def quiet_until(self, now: datetime) -> datetime:
+        """After a tick at `now`: until when (exclusive) no tick changes or tells anything, if no other event comes between; `now` if the next may."""
+        if self.end is None:
+            return datetime.max
+        if self._edges is None or self._edges[0] != self.end:
+            day = datetime.combine(self.end.date(), datetime.min.time())
+            self._edges = self.end, sorted([day - timedelta(days=d) for d in NOTICE_DAYS] + [self.end + timedelta(days=d, microseconds=1) for d in (0, GRACE_DAYS, GRACE_DAYS + SUSPENDED_DAYS)])
+        until = next((e for e in self._edges[1] if e > now), None)
+        if until is None:
+            if f"released_{self.end:%Y%m%d}" not in self.sent:
+                return now  # a tick that tells of used seats is to come
+            until = datetime.max
+        return min(until, self.change_at) if self.next_plan and self.change_at and self.change_at > now else until
+
     def step(self, kind: str, plan: str | None, months: int | None, used: int | None, now: datetime) -> Iterator[tuple]:
         """Rows (what, detail, plan, amount, start, end) of one event: buy, schedule, cancel, leave or tick (the daily task)."""
         self._come_into_force(now)
@@ -210,21 +225,29 @@ def told(contract: Contract, school: int | None, events: Iterable[tuple]) -> lis
 def history(events: DataFrame, plans: dict[str, Plan]) -> DataFrame:
     """HISTORY of all contracts from EVENTS: one ordered pass over each partition; of a school with many events only its state is held.
 
-    Events at the same time go by seq. Null schools are one school; null months or plans are refused.
+    Events at the same time go by seq. Null schools are one school; null months or plans are refused. Ticks carry their used seats only,
+    and those within a contract's quiet time are passed over by their time alone.
     """
-    time = pa.timestamp("us")
+    time, epoch = pa.timestamp("us"), datetime(1970, 1, 1)
+    micros = lambda point: (point - epoch) // timedelta(microseconds=1)
     schema = pa.schema([("school", pa.int64()), ("at", time), ("seq", pa.int64()), ("what", pa.string()), ("detail", pa.string()), ("plan", pa.string()), ("amount", pa.int64()), ("start", time), ("end", time)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        school, contract = object(), None
+        school, contract, quiet = object(), None, None
         for batch in batches:
-            out = []
-            for key, *event in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out, columns = [], [batch.column(0), batch.column(1).cast(pa.int64()), *batch.columns[2:]]
+            for key, at, seq, kind, *rest in zip(*(c.to_pylist() for c in columns), strict=True):
                 if key != school:
-                    school, contract = key, Contract(plans)
-                out += told(contract, key, [event])
+                    school, contract, quiet = key, Contract(plans), None
+                elif quiet is not None and kind == "tick" and at is not None and at < quiet:
+                    continue
+                now = None if at is None else epoch + timedelta(microseconds=at)
+                out += told(contract, key, [(now, seq, kind, *rest)])
+                quiet = micros(contract.quiet_until(now)) if kind == "tick" and now is not None else None
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     rows = events.select(F.col("school").cast("long").alias("school"), F.col("at").cast("timestamp_ntz").alias("at"), F.col("seq").cast("long").alias("seq"), *EVENTS[3:])
+    # What a tick does not read stays out of the shuffle.
+    rows = rows.withColumns({c: F.when(F.col("kind").eqNullSafe("tick"), None).otherwise(F.col(c)) for c in ("plan", "months")})
     return rows.repartition("school").sortWithinPartitions("school", "at", "seq").mapInArrow(run, HISTORY)

@@ -103,3 +103,21 @@ def test_defined_cases(spark):
     assert C.history(frame.limit(0), PLANS).collect() == []
     with pytest.raises(KeyError):
         C.Contract(PLANS)._price("z", 1)
+
+
+def test_quiet_ticks_are_passed_over(spark):
+    """Every tick went through the fold; those between two times at which one can tell anything need not."""
+    steps = []
+    for seed in (11, 12):
+        rows = log(seed, 6, 120)
+        expected = set()
+        for school in range(6):
+            contract, quiet = C.Contract(PLANS), None
+            for row in (r[1:] for r in rows if r[0] == school):
+                told = C.told(contract, school, [row])
+                assert not (row[2] == "tick" and quiet and row[0] < quiet and told)
+                steps.append(row[2] == "tick" and quiet is not None and row[0] < quiet)
+                quiet = contract.quiet_until(row[0]) if row[2] == "tick" else None
+                expected |= set(told)
+        assert {tuple(r) for r in C.history(spark.createDataFrame(rows, SHAPE), PLANS).collect()} == expected
+    assert sum(steps) > 100
