@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from ..functions.text import collapsed, normalised
+from ..functions.text import collapsed, normalised, once
 from .storage import written
 
 # Words of a body block, body blocks of a side, points over an edge that still count as beside it, share of a block within the figure that makes it a label.
@@ -23,6 +23,8 @@ BODY_WORDS, SIDE, TOUCH, LABEL = 6, 3, 2.0, 0.5
 CAPTION_GAP, CAPTION_WORDS, HEAD_PAGES, NEEDLE, FEWEST, NEEDLES, PAGE_LESSONS = 20.0, 25, 3, 8, 4, 8, 3
 #: Lessons are found by page in bins of so many pages.
 PAGE_BIN = 16
+#: Marks of NEEDLE words, and lines that are hashed at a time.
+SPAN, LINES = NEEDLE - FEWEST + 1, 500
 
 
 def may_be_caption(text: Column) -> Column:
@@ -129,45 +131,47 @@ def anchors(blocks: DataFrame, figures: DataFrame) -> DataFrame:
 
 def needles(text: Column, backwards: bool) -> Column:
     """Runs of NEEDLE words every half needle, nearest the figure first; a short anchor is one needle, a very short one none."""
-    words = F.filter(F.split(normalised(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
-    last = F.size(words) - NEEDLE
-    steps = F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(NEEDLE // 2))
-    starts = F.concat(F.array(last), F.reverse(steps)) if backwards else F.concat(F.array(F.lit(0)), steps)
-    cut = F.array_distinct(F.transform(F.slice(starts, 1, NEEDLES), lambda s: F.array_join(F.slice(words, s + 1, NEEDLE), " ")))
-    return F.when(F.size(words) < FEWEST, F.array().cast("array<string>")).when(last <= 0, F.array(F.array_join(words, " "))).otherwise(cut)
 
+    def cut(words: Column) -> Column:
+        last = F.size(words) - NEEDLE
+        steps = F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(NEEDLE // 2))
+        starts = F.concat(F.array(last), F.reverse(steps)) if backwards else F.concat(F.array(F.lit(0)), steps)
+        runs = F.array_distinct(F.transform(F.slice(starts, 1, NEEDLES), lambda s: F.array_join(F.slice(words, s + 1, NEEDLE), " ")))
+        return F.when(F.size(words) < FEWEST, F.array().cast("array<string>")).when(last <= 0, F.array(F.array_join(words, " "))).otherwise(runs)
 
-def _marks(line: str) -> np.ndarray:
-    """Hashes of each FEWEST neighbouring words, in order."""
-    h = np.array([xxhash.xxh64_intdigest(w) for w in line.split()], np.uint64)
-    n = len(h) - FEWEST + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for i in range(FEWEST if n > 0 else 0):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
-    return ((out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+    return once(F.filter(F.split(normalised(F.coalesce(text, F.lit(""))), " "), lambda w: w != ""), cut)
+
+
+def _marks(lines: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray, list[int], list[int]]]:
+    """For some lines at a time: hashes of each FEWEST neighbouring words of all of them in a row, the least of each NEEDLE words, and where each line's begin and how many it has."""
+    for at in range(0, len(lines), LINES):
+        words = [x.split() for x in lines.iloc[at : at + LINES]]
+        n = np.array([len(w) for w in words], np.int64)
+        codes, names = pd.factorize(np.array([w for line in words for w in line], object))
+        h = np.array([xxhash.xxh64_intdigest(w) for w in names], np.uint64)[codes]
+        out = np.zeros(max(len(h) - FEWEST + 1, 0), np.uint64)
+        for i in range(FEWEST if len(out) else 0):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)]
+        out = ((out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+        least = np.lib.stride_tricks.sliding_window_view(out, SPAN).min(axis=1) if len(out) >= SPAN else out[:0]
+        yield out, least, (np.cumsum(n) - n).tolist(), np.maximum(n - FEWEST + 1, 0).tolist()
 
 
 @F.pandas_udf(ArrayType(LongType()))
 def marks(lines: pd.Series) -> pd.Series:
-    return lines.map(lambda x: np.unique(_marks(x)))
+    return pd.Series([np.unique(every[a : a + n]) for every, _, starts, own in _marks(lines) for a, n in zip(starts, own, strict=True)], dtype=object)
 
 
 @F.pandas_udf(ArrayType(LongType()))
 def least_marks(lines: pd.Series) -> pd.Series:
     """The least mark of each NEEDLE words, once each."""
-    span = NEEDLE - FEWEST + 1
-
-    def least(line: str) -> np.ndarray:
-        m = _marks(line)
-        return np.unique(np.lib.stride_tricks.sliding_window_view(m, span).min(axis=1)) if len(m) >= span else m[:0]
-
-    return lines.map(least)
+    return pd.Series([np.unique(least[a : a + max(n - SPAN + 1, 0)]) for _, least, starts, own in _marks(lines) for a, n in zip(starts, own, strict=True)], dtype=object)
 
 
 @F.pandas_udf(LongType())
 def mark(needles: pd.Series) -> pd.Series:
     """By which a needle is found: its least mark, of a short one the first."""
-    return needles.map(lambda x: int(m.min() if len(m := _marks(x)) > NEEDLE - FEWEST else m[0]))
+    return pd.Series([int(least[a] if n >= SPAN else every[a]) for every, least, starts, own in _marks(needles) for a, n in zip(starts, own, strict=True)], dtype="int64")
 
 
 def _paragraphs(text: Column) -> Column:
@@ -190,23 +194,24 @@ def to_lessons(figures: DataFrame, lessons: DataFrame, by_file: bool = False) ->
     unit's first lesson is the last resort. found_by is text, page, unit or null. paragraph is the number of paragraphs of the lesson
     before the figure less one (-1: before the first), null unless found by text.
 
-    Needles meet lessons by the least hash of FEWEST neighbouring words; a lesson tells the least hash of each NEEDLE words, a third of
+    Needles are cut and lessons made plain once and written. They meet by the least hash of FEWEST neighbouring words; a lesson tells the least hash of each NEEDLE words, a third of
     all. Short needles meet by their first words, for which lessons of their courses tell all hashes. Only what meets is compared in
     full; all fallbacks are one aggregate a figure. Null texts are empty, null or zero pages are unknown, lessons without an id or place are left out;
     a repeated figure (course, figure) is one.
     """
-    asked = written(figures.filter("figure IS NOT NULL").select("course", "figure", F.col("file").cast("long").alias("file"), F.nullif(F.col("page"), F.lit(0)).cast("long").alias("page"), "before", "after").dropDuplicates(["course", "figure"]), "figures")
-    held = lessons.dropna(subset=["lesson", "at"]).select("course", "lesson", F.col("at").cast("long").alias("at"), F.col("unit").cast("long").alias("unit"), F.col("first_page").cast("long").alias("first_page"), F.col("last_page").cast("long").alias("last_page"), _paragraphs(F.col("text")).alias("paragraphs"))
-    held = held.withColumn("line", F.concat(F.lit(" "), F.array_join(F.filter("paragraphs", lambda p: p != ""), " "), F.lit(" ")))
-
     cut = lambda column, backwards, side: F.struct(F.lit(side).alias("side"), needles(F.col(column), backwards).alias("cut"))
-    sought = asked.select("course", "figure", "file", "page", F.explode(F.array(cut("before", True, 0), cut("after", False, 1))).alias("s"))
-    sought = sought.select("course", "figure", "file", "page", "s.side", F.posexplode("s.cut").alias("turn", "needle")).withColumn("mark", mark("needle"))
-    short = F.size(F.split("needle", " ")) < NEEDLE
-    few = sought.filter(short).select(F.col("course").alias("_course")).distinct()
-    sparse = held.select("course", "lesson", "at", F.explode(least_marks("line")).alias("mark"))
-    dense = held.join(few, F.col("course") == F.col("_course"), "left_semi").select("course", "lesson", "at", F.explode(marks("line")).alias("mark"))
-    met = sought.filter(~short).join(sparse, ["course", "mark"]).union(sought.filter(short).join(dense, ["course", "mark"])).drop("mark")
+    once_each = figures.filter("figure IS NOT NULL").select("course", "figure", F.col("file").cast("long").alias("file"), F.nullif(F.col("page"), F.lit(0)).cast("long").alias("page"), "before", "after").dropDuplicates(["course", "figure"])
+    asked = written(once_each.select("course", "figure", "file", "page", F.array(cut("before", True, 0), cut("after", False, 1)).alias("sides")), "figures")
+    read = lessons.dropna(subset=["lesson", "at"]).select("course", "lesson", F.col("at").cast("long").alias("at"), F.col("unit").cast("long").alias("unit"), F.col("first_page").cast("long").alias("first_page"), F.col("last_page").cast("long").alias("last_page"), _paragraphs(F.col("text")).alias("paragraphs"))
+    held = written(read, "lessons").withColumn("line", F.concat(F.lit(" "), F.array_join(F.filter("paragraphs", lambda p: p != ""), " "), F.lit(" ")))
+
+    brief = lambda needle: F.size(F.split(needle, " ")) < NEEDLE
+    few = asked.filter(F.exists("sides", lambda s: F.exists(s["cut"], brief))).select(F.col("course").alias("_course")).distinct()
+    sought = asked.select("course", "figure", "file", "page", F.explode("sides").alias("s"))
+    sought = sought.select("course", "figure", "file", "page", "s.side", F.posexplode("s.cut").alias("turn", "needle")).withColumns({"mark": mark("needle"), "short": brief(F.col("needle"))})
+    told = lambda rows, hashes, short: rows.select("course", "lesson", "at", F.explode(hashes("line")).alias("mark"), F.lit(short).alias("short"))
+    dense = told(held.join(few, F.col("course") == F.col("_course"), "left_semi"), marks, True)
+    met = sought.join(told(held, least_marks, False).union(dense), ["course", "mark", "short"]).drop("mark", "short")
 
     facts = ["course", "lesson", "at"]
     found = F.instr(F.col("line"), F.concat(F.lit(" "), F.col("needle"), F.lit(" "))) - 1

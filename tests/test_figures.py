@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from caudal.operators import figures as G
 
@@ -117,3 +118,28 @@ def test_lessons_by_a_plain_program(spark, by_file):
     assert len(got) == len(figures) and {r.found_by for r in got} == {None, "text", "page", *(["unit"] if by_file else [])}
     assert G.to_lessons(spark.createDataFrame([], ASKED), spark.createDataFrame(lessons, LESSONS)).count() == 0
     assert G.to_lessons(spark.createDataFrame(figures, ASKED), spark.createDataFrame([], LESSONS)).filter("lesson IS NULL").count() == len(figures)
+
+
+def test_texts_are_made_plain_once(spark):
+    """One filter of words a text; a column that names its words ten times over has each of them worked out anew."""
+    for backwards in (False, True):
+        told = G.needles(F.col("before"), backwards)._jc.toString()
+        assert told.count("translate(") == 1
+
+
+def test_marks_are_those_of_each_line_alone(spark):
+    rng = random.Random(5)
+    lines = [" ".join(rng.choices(WORDS, k=rng.choice([0, 1, 3, 4, 7, 8, 9, 40]))) for _ in range(1203)]
+    rows = spark.createDataFrame(enumerate(lines), "id int, line string").coalesce(1)
+    found = {r.line: (r.every, r.least) for r in rows.select("line", G.marks("line").alias("every"), G.least_marks("line").alias("least")).collect()}
+    alone = {}
+    for line in set(lines):
+        words = line.split()
+        starts = range(len(words) - 3)
+        alone |= {" ".join(words[i : i + 4]): None for i in starts}
+    names = spark.createDataFrame([(x,) for x in alone], "line string").coalesce(1).select("line", G.mark("line").alias("mark")).collect()
+    alone = {r.line: r.mark for r in names}
+    for line, (every, least) in found.items():
+        words = line.split()
+        mine = [alone[" ".join(words[i : i + 4])] for i in range(len(words) - 3)]
+        assert every == sorted(set(mine)) and least == sorted({min(mine[i : i + 5]) for i in range(len(mine) - 4)})
