@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
-from itertools import groupby, islice
+from itertools import groupby, islice, pairwise
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from ..functions.text import collapsed, normalised, once
+from ..functions.text import collapsed, normalised, once, unmarked
 from .storage import written
 
 # Words of a body block, body blocks of a side, points over an edge that still count as beside it, share of a block within the figure that makes it a label.
@@ -64,69 +66,91 @@ def anchors(blocks: DataFrame, figures: DataFrame) -> DataFrame:
     before and after join up to SIDE body blocks above and below in reading order; a body block has BODY_WORDS words and is no running
     head (a text that, digits apart, stands on HEAD_PAGES pages); blocks that lie mostly within a figure are its labels. Only pages with figures are read, also for running heads. The caption is the next block below, if it is short, near and neither a
     running head nor a list item. Of blocks with equal edges the first by `at` is nearer. One ordered pass for each page and side, which
-    holds a few blocks; only numbers go through it, and each text moves to its figures once. `at` tells a page's blocks apart. Null texts and blank ones are no blocks, figures without an id, page or edge are left out, figures without
+    holds a few blocks: each text moves once to its page and once more to its figures; running heads are found by numbers alone, which mark
+    their blocks. `at` tells a page's blocks apart. Null texts and blank ones are no blocks, figures without an id, page or edge are left out, figures without
     blocks get empty texts, a caption of the empty string means none; a repeated figure (book, figure) is one.
     """
     kind = figures.schema["figure"].dataType.simpleString()
     book_kind = figures.schema["book"].dataType.simpleString()
     box = ["x0", "y0", "x1", "y1"]
-    asked = figures.select("book", "page", "figure", *(F.col(c).cast("double") for c in box)).dropna(subset=["page", "figure", *box]).dropDuplicates(["book", "figure"])
+    numbers = lambda rows: rows.withColumns({c: F.col(c).cast("double") for c in box})
+    asked = written(numbers(figures.select("book", "page", "figure", *box)).dropna(subset=["page", "figure", *box]).dropDuplicates(["book", "figure"]), "figures")
     drawn = asked.select(F.col("book").alias("_book"), F.col("page").alias("_page")).distinct()
     told = collapsed(F.replace(F.coalesce("text", F.lit("")), F.lit("­"), F.lit("")))
-    words = F.size(F.split("told", " "))
-    facts = blocks.select("book", "page", F.col("at").cast("long").alias("at"), *(F.col(c).cast("double") for c in box), told.alias("told")).filter("told <> ''").dropna(subset=["at", *box])
-    facts = facts.select("book", "page", "at", *box, (words >= BODY_WORDS).alias("body"), ((words <= CAPTION_WORDS) & may_be_caption(F.col("told"))).alias("may"), F.xxhash64(F.regexp_replace(normalised(F.col("told")), "[0-9]+", "#")).alias("key"))
-    facts = written(facts.join(drawn, F.col("book").eqNullSafe(F.col("_book")) & (F.col("page") == F.col("_page")), "left_semi"), "blocks")
+    texts = numbers(blocks.select("book", "page", F.col("at").cast("long").alias("at"), *box, told.alias("told"))).filter("told <> ''").dropna(subset=["at", *box])
+
+    # running heads: numbers only, which mark their blocks on pages with figures
+    # letters without marks need no search for any; most texts have none
+    bare = F.trim(F.regexp_replace(F.lower(F.when(F.octet_length("told") == F.length("told"), F.col("told")).otherwise(unmarked(F.col("told")))), "[^a-z0-9]+", " "))
+    keyed = texts.select("book", "page", "at", "y0", "y1", F.xxhash64(F.regexp_replace(bare, "[0-9]+", "#")).alias("key"))
+    facts = written(keyed.join(drawn, F.col("book").eqNullSafe(F.col("_book")) & (F.col("page") == F.col("_page")), "left_semi"), "blocks")
     heads = facts.groupBy(F.col("book").alias("_book"), F.col("key").alias("_key")).agg(F.count_distinct("page").alias("_pages")).filter(F.col("_pages") >= HEAD_PAGES)
-    head = F.col("_pages").isNotNull()
-    marked = facts.join(heads, F.col("book").eqNullSafe(F.col("_book")) & (F.col("key") == F.col("_key")), "left").withColumns({"body": F.col("body") & ~head, "may": F.col("may") & ~head}).drop("_book", "_key", "_pages")
-
-    def turned(rows: DataFrame, figure: bool) -> DataFrame:
-        """Rows of both sides, y turned so that it runs towards the figures."""
-        sides = []
-        for below, y0, y1 in ((False, F.col("y0"), F.col("y1")), (True, -F.col("y1"), -F.col("y0"))):
-            sides.append(F.struct(F.lit(below).alias("below"), (y0 + TOUCH if figure else y1).alias("edge"), y0.alias("y0"), y1.alias("y1")))
-        none = F.lit(None)
-        mine = {"figure": none.cast(kind), "at": F.col("at"), "body": F.col("body"), "may": F.col("may")} if not figure else {"figure": F.col("figure"), "at": none.cast("long"), "body": none.cast("boolean"), "may": none.cast("boolean")}
-        return rows.withColumn("s", F.explode(F.array(*sides))).select("book", "page", "s.below", "s.edge", "x0", "s.y0", "x1", "s.y1", *(c.alias(n) for n, c in mine.items()))
-
-    columns = ["book", "page", "below", "figure", "edge", "x0", "y0", "x1", "y1", "at", "body", "may"]
-    events = turned(marked, False).union(turned(asked, True)).withColumn("back", -F.col("at"))
-    dealt = events.repartition("book", "page", "below").sortWithinPartitions("book", "page", "below", "edge", F.col("figure").isNotNull(), "back").select(*columns)
+    marked = facts.join(heads, F.col("book").eqNullSafe(F.col("_book")) & (F.col("key") == F.col("_key")), "left_semi")
+
+    def rows(frame: DataFrame, rank: int) -> DataFrame:
+        """One form for marks of heads (0), blocks (1) and figures (2), in the order in which equal edges meet."""
+        mine = [F.col(c) if c in frame.columns else F.lit(None).cast(t).alias(c) for c, t in (("figure", kind), ("at", "long"), ("x0", "double"), ("y0", "double"), ("x1", "double"), ("y1", "double"), ("told", "string"))]
+        return frame.select("book", "page", F.lit(rank).alias("rank"), *mine)
+
+    whole = rows(texts, 1).union(rows(asked, 2)).union(rows(marked, 0)).repartition("book", "page")
+    # both sides of a page, y turned so that it runs towards the figures; made behind the shuffle, so that each text moves once
+    drawn_row, sides = F.col("rank") == 2, []
+    for below, y0, y1 in ((False, F.col("y0"), F.col("y1")), (True, -F.col("y1"), -F.col("y0"))):
+        sides.append(F.struct(F.lit(below).alias("below"), F.when(drawn_row, y0 + TOUCH).otherwise(y1).alias("edge"), y0.alias("y0"), y1.alias("y1")))
+    events = whole.withColumn("s", F.explode(F.array(*sides))).select("book", "page", "s.below", "rank", "figure", "at", "s.edge", "x0", "s.y0", "x1", "s.y1", "told", (-F.col("at")).alias("back"))
+    dealt = events.sortWithinPartitions("book", "page", "below", "edge", drawn_row, "back", "rank").drop("back")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, out = [], []
 
-        def rows() -> Iterator[tuple]:
+        def read() -> Iterator[tuple]:
+            """(book, page, below) and the (rank, at, event)s of each run of rows of one page and side."""
             for batch in batches:
-                kinds[:] = [batch.schema.field(i).type for i in (0, 1, 3)]
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
-        def whole() -> pa.RecordBatch:
-            types = [*kinds, pa.bool_(), pa.list_(pa.int64())]
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["book", "page", "figure", "below", "ats"])
+                kinds[:] = [batch.schema.field(i).type for i in (0, 4)]
+                keys, (rank, figure, at, *edges, text) = batch.columns[:3], batch.columns[3:]
+                plain = lambda column: column.to_numpy(zero_copy_only=False).tolist()
+                names = [None] * batch.num_rows
+                for i, name in zip(np.flatnonzero(rank.to_numpy() == 2).tolist(), figure.drop_null().to_pylist(), strict=True):
+                    names[i] = name
+                words = pc.add(pc.count_substring(pc.fill_null(text, ""), " "), 1)
+                events = zip(names, *map(plain, edges), plain(text), plain(pc.greater_equal(words, BODY_WORDS)), plain(pc.less_equal(words, CAPTION_WORDS)), strict=True)
+                mine = list(zip(plain(rank), plain(at.fill_null(-1)), events, strict=True))
+                codes = [c.dictionary_encode().indices.fill_null(-1).to_numpy() if c.type != pa.bool_() else c.to_numpy(zero_copy_only=False) for c in keys]
+                firsts = [0, *(np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in codes])) + 1).tolist(), len(mine)]
+                for first, end in pairwise(firsts):
+                    if end > first:
+                        yield tuple(c[first].as_py() for c in keys), mine[first:end]
+
+        def page_events(parts: Iterator[tuple]) -> Iterator[tuple]:
+            head = None
+            for _, part in parts:
+                for rank, at, event in part:
+                    if rank == 0:
+                        head = at  # its block is the next row
+                    elif rank == 2 or at != head:
+                        yield event
+                    else:
+                        yield (*event[:7], False, False)
+
+        def made() -> pa.RecordBatch:
+            types = [kinds[0], kinds[1], pa.bool_(), pa.string(), pa.string()]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["book", "figure", "below", "told", "caption"])
             out.clear()
-            return made
+            return batch
 
-        for (book, page, below), mine in groupby(rows(), key=lambda r: r[:3]):
-            for figure, bodies, near in _beside(r[3:] for r in mine):
-                # the caption comes first, null if there is none
+        for (book, _, below), mine in groupby(read(), key=itemgetter(0)):
+            for figure, bodies, near in _beside(page_events(mine)):
                 caption = near[0] if below and near and near[2] and near[1] <= CAPTION_GAP else None
-                out.append((book, page, figure, below, [caption, *bodies]))
+                out.append((book, figure, below, " ".join(bodies if below else bodies[::-1]), caption))
                 if len(out) == 500:
-                    yield whole()
+                    yield made()
         if out:
-            yield whole()
-
-    page_kind = events.schema["page"].dataType.simpleString()
-    found = dealt.mapInArrow(run, f"book {book_kind}, page {page_kind}, figure {kind}, below boolean, ats array<long>")
-    refs = found.select("book", "page", "figure", "below", F.posexplode("ats").alias("place", "at"))
-    texts = blocks.select(F.col("book").alias("_book"), F.col("page").alias("_page"), F.col("at").cast("long").alias("_at"), told.alias("told")).filter("told <> ''").dropna(subset=["_page", "_at"])
-    joined = refs.join(texts, F.col("book").eqNullSafe(F.col("_book")) & (F.col("page") == F.col("_page")) & (F.col("at") == F.col("_at")), "left")
-    parts = F.array_sort(F.collect_list(F.when((F.col("place") > 0) & F.col("told").isNotNull(), F.struct("below", F.when(F.col("below"), F.col("place")).otherwise(-F.col("place")).alias("place"), "told"))))
-    each = joined.groupBy("book", "figure").agg(parts.alias("parts"), F.coalesce(F.max(F.when(F.col("place") == 0, F.col("told"))), F.lit("")).alias("caption"))
-    text = lambda keep: F.array_join(F.transform(F.filter("parts", keep), lambda p: p["told"]), " ")
-    return each.select("book", "figure", text(lambda p: ~p["below"]).alias("before"), text(lambda p: p["below"]).alias("after"), "caption")
+            yield made()
+
+    found = dealt.mapInArrow(run, f"book {book_kind}, figure {kind}, below boolean, told string, caption string")
+    side = lambda below: F.max(F.when(F.col("below") == below, F.col("told")))
+    caption = F.max(F.when(may_be_caption(F.col("caption")), F.col("caption")))
+    return found.groupBy("book", "figure").agg(side(False).alias("before"), side(True).alias("after"), F.coalesce(caption, F.lit("")).alias("caption"))
 
 
 def needles(text: Column, backwards: bool) -> Column:

@@ -143,3 +143,16 @@ def test_marks_are_those_of_each_line_alone(spark):
         words = line.split()
         mine = [alone[" ".join(words[i : i + 4])] for i in range(len(words) - 3)]
         assert every == sorted(set(mine)) and least == sorted({min(mine[i : i + 5]) for i in range(len(mine) - 4)})
+
+
+def test_anchors_move_each_text_once_to_its_page(spark):
+    """Marks of heads, blocks and figures meet in one shuffle by page; a join of texts with what figures ask for moved them by place too."""
+    blocks = [(b, p, n, 0.0, 10.0 * n, 90.0, 10.0 * n + 8, f"Head {p} of a book that goes on" if n == 0 else " ".join(WORDS[n % 3 :]), 0) for b in (1, None) for p in range(5) for n in range(30)]
+    figures = [(b, p, 100 * p + n, 0.0, 10.0 * n + 8.5, 50.0, 10.0 * n + 9.5, "") for b in (1, None) for p in range(5) for n in range(0, 29, 7)]
+    found = G.anchors(spark.createDataFrame(blocks, BLOCKS), spark.createDataFrame(figures, FIGURES))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "told" not in "".join(line for line in plan.splitlines() if "Join" in line)
+    assert plan.count("RepartitionByExpression") == 1
+    got = found.collect()
+    assert {r.before for r in got if r.figure % 100 == 0} == {""}
+    assert len(got) == len(figures)
