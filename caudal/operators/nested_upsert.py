@@ -17,14 +17,15 @@ def level(incoming: DataFrame, stored: DataFrame, id_: str, keys: list[str], fie
 
     incoming has keys, fields and seq; of rows with equal keys the last by seq counts. stored has id_, keys and fields; of equal keys the
     smallest id is meant, the others are absent. New ids follow the greatest stored one in the order of the keys. Null keys are left out.
+    What is stored and what it meets are written, so that neither side is worked out more than once.
     """
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    old = written(stored.select(id_, *keys, F.struct(*fields).alias("old")), f"stored_{id_}")
     came = incoming.filter(known).groupBy(*keys).agg(F.max_by(F.struct(*fields), "seq").alias("new"))
-    meant = stored.filter(known).groupBy(*keys).agg(F.min(id_).alias(id_))
-    old = stored.select(id_, *keys, F.struct(*fields).alias("old"))
-    matched = came.join(meant, keys, "left")
+    meant = old.filter(known).groupBy(*keys).agg(F.min(id_).alias(id_))
+    matched = written(came.join(meant, keys, "left"), f"matched_{id_}")
     fresh = matched.filter(F.col(id_).isNull()).drop(id_)
-    top = stored.agg(F.coalesce(F.max(id_), F.lit(0)).cast("long").alias("_top"))
+    top = old.agg(F.coalesce(F.max(id_), F.lit(0)).cast("long").alias("_top"))
     created = numbered(fresh, keys).crossJoin(F.broadcast(top)).select((F.col("_top") + F.col("number")).alias(id_), *keys, F.col("new").alias("row"), F.lit("create").alias("action"))
     there = old.join(matched.filter(F.col(id_).isNotNull()).select(id_, "new"), id_, "left")
     action = F.when(F.col("new").isNull(), "absent").when(F.col("new").eqNullSafe(F.col("old")), "keep").otherwise("update")

@@ -79,3 +79,19 @@ def test_relinking_by_id_then_key_with_the_rename_guard(spark):
     targets = [(1, "P1", "9.9", "x"), (2, "P9", "1.1", "One"), (3, None, "1.1", None), (4, None, "1.2", "Old"), (5, None, "1.2", "Other"), (6, "P8", "7.7", "x"), (7, None, None, None)]
     found = N.relinked(spark.createDataFrame(targets, "target int, plan_id string, key string, name string"), lessons).collect()
     assert sorted(map(tuple, found), key=str) == [(1, "a", "id", None), (2, "a", "key", None), (3, "a", "key", None), (4, "b", "key", None), (5, None, None, "renamed"), (6, None, None, "missing"), (7, None, None, "missing")]
+
+
+def test_a_level_works_out_both_sides_once(spark):
+    seen = [spark.sparkContext.accumulator(0) for _ in range(2)]
+
+    def counted(rows, schema, count):
+        def run(batches):
+            for batch in batches:
+                count.add(batch.num_rows)
+                yield batch
+
+        return spark.createDataFrame(rows, schema).mapInArrow(run, schema)
+
+    incoming, stored = [(f"C{n}", "x", n) for n in range(40)], [(n, f"C{n}", "xy"[n % 2]) for n in range(20, 50)]
+    found = N.level(counted(incoming, INCOMING["courses"], seen[0]), counted(stored, STORED["courses"], seen[1]), "course_id", ["code"], ["name"]).collect()
+    assert len(found) == 50 and [count.value for count in seen] == [40, 30]
