@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush, heapreplace
 from math import isqrt
 
 import numpy as np
@@ -16,6 +17,8 @@ from .storage import written
 
 # What a page must add to a span, the cap of a term's count, the share of the best page that neighbours keep, pages of a span.
 PENALTY, TF_MOST, NEAR, MOST_PAGES = 0.35, 3, 0.55, 8
+#: Pairs and rows, all in all, that are left to one pass a group.
+FEW = 500_000
 MILLION = 1_000_000
 NEVER = -(1 << 61)
 
@@ -274,32 +277,92 @@ def _classes(rows: DataFrame, words: Column) -> DataFrame:
 def _alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """group, a, b (keys), score: classes of both sides with a Jaccard of `least` or more, by their rarest words alone: two such sets share one of them.
 
-    A word goes about with its class's key; the words of a class move only once a pair.
+    A word goes about with its class's key, its place and a sketch of the class; the words of a class move only once a pair. Both bounds
+    lose no pair: the first word that two classes share leaves behind it as many as they still need, and as many words as part them, or
+    fewer, part their sketches.
     """
     both = left.filter("rank = 1").select("group", "key", "words", F.lit("a").alias("side")).union(right.filter("rank = 1").select("group", "key", "words", F.lit("b").alias("side")))
     each = both.select("group", "side", "key", F.explode("words").alias("word"))
     often = each.groupBy("group", "word").agg(F.count("*").alias("often"))
-    ranked = each.join(often, ["group", "word"]).groupBy("group", "side", "key").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("rare"))
+    hashed = F.xxhash64("word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(hashed, 1).bitwiseAND(F.lit(63)).cast("int"))
+    sketch = (F.coalesce(F.bit_xor(F.when(hashed.bitwiseAND(F.lit(1)) == i, bit)), F.lit(0).cast("long")).alias(f"sketch{i}") for i in (0, 1))
+    ranked = each.join(often, ["group", "word"]).groupBy("group", "side", "key").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("rare"), *sketch)
     size = F.size("rare")
     first = size - F.ceil(F.lit(least) * size - 1e-9) + 1
-    heads = ranked.select("group", "side", "key", size.alias("size"), F.explode(F.slice("rare", F.lit(1), first.cast("int"))).alias("head")).select("group", "side", "key", "size", "head.word")
-    a = heads.filter("side = 'a'").select("group", "word", F.col("key").alias("a"), F.col("size").alias("a_size"))
-    b = heads.filter("side = 'b'").select("group", "word", F.col("key").alias("b"), F.col("size").alias("b_size"))
-    near = (F.col("a_size") >= F.lit(least) * F.col("b_size") - 1e-9) & (F.col("b_size") >= F.lit(least) * F.col("a_size") - 1e-9)
-    pairs = a.join(b, ["group", "word"]).filter(near).select("group", "a", "b").distinct()
+    heads = ranked.select("group", "side", "key", size.alias("size"), "sketch0", "sketch1", F.posexplode(F.slice("rare", F.lit(1), first.cast("int"))).alias("place", "head"))
+    told = lambda s: heads.filter(F.col("side") == s).select("group", "head.word", F.col("key").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("size", "place", "sketch0", "sketch1")))
+    need = F.ceil((F.col("a_size") + F.col("b_size")) * F.lit(least / (1 + least)) - 1e-9)
+    behind = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
+    apart = sum((F.bit_count(F.col(f"a_sketch{i}").bitwiseXOR(F.col(f"b_sketch{i}"))) for i in (0, 1)), F.lit(0))
+    near = (behind >= need) & (apart <= F.col("a_size") + F.col("b_size") - 2 * need)
+    pairs = told("a").join(told("b"), ["group", "word"]).filter(near).select("group", "a", "b").distinct()
     told = lambda rows, s: rows.filter("rank = 1").select("group", F.col("key").alias(s), F.col("words").alias(f"{s}_words"))
     met = pairs.join(told(left, "a"), ["group", "a"]).join(told(right, "b"), ["group", "b"])
     same = F.size(F.array_intersect("a_words", "b_words"))
     return met.select("group", "a", "b", (same / (F.size("a_words") + F.size("b_words") - same)).alias("score")).filter(F.col("score") >= least)
 
 
+def _scan(table: pa.Table) -> pa.Table:
+    """group, left_id, right_id, score that the scan takes of one group's pairs of classes (side p) and the rows they have left (sides a and b).
+
+    Each class on the left stands in the heap once, with the best that its row can have; a choice that was used meanwhile can only
+    have become worse, and is put right when it comes up.
+    """
+    group, side, p_a, p_b, score, a_id, b_id = (table.column(c).combine_chunks() for c in ("group", "side", "a", "b", "score", "a_id", "b_id"))
+    queues, names = {}, {}
+    for s, keys, ids in (("a", p_a, a_id), ("b", p_b, b_id)):
+        mine = np.flatnonzero(pc.equal(side, s).to_numpy(zero_copy_only=False))
+        order = pc.sort_indices(ids.take(pa.array(mine)), sort_keys=[("", "descending")], null_placement="at_end").to_numpy()
+        names[s] = ids.take(pa.array(mine[order]))
+        queue = queues.setdefault(s, {})
+        for place, key in enumerate(keys.take(pa.array(mine[order])).to_pylist()):
+            queue.setdefault(key, []).append(place)
+        for places in queue.values():
+            places.reverse()  # the next row is the last
+    lefts, rights, own = queues["a"], queues["b"], {}
+    mine = pa.array(np.flatnonzero(pc.equal(side, "p").to_numpy(zero_copy_only=False)))
+    for a, b, x in zip(p_a.take(mine).to_pylist(), p_b.take(mine).to_pylist(), score.take(mine).to_pylist(), strict=True):
+        own.setdefault(a, []).append((-x, rights[b][-1], b))
+    top, out = [], []
+
+    def put(a: bytes) -> None:
+        choices = own[a]
+        while choices:
+            x, place, b = choices[0]
+            if not rights[b]:
+                heappop(choices)
+            elif rights[b][-1] != place:
+                heapreplace(choices, (x, rights[b][-1], b))
+            else:
+                heappush(top, (x, lefts[a][-1], place, a))
+                return
+
+    for a, choices in own.items():
+        heapify(choices)
+        put(a)
+    while top:
+        x, place, other, a = heappop(top)
+        b = own[a][0][2]
+        if rights[b] and rights[b][-1] == other:
+            out.append((place, other, -x))
+            lefts[a].pop()
+            rights[b].pop()
+        if lefts[a]:
+            put(a)
+    a, b, x = zip(*out, strict=True) if out else ((), (), ())
+    columns = [group.take(pa.array(np.zeros(len(out), np.int64))), names["a"].take(pa.array(a, pa.int64())), names["b"].take(pa.array(b, pa.int64())), pa.array(x, pa.float64())]
+    return pa.Table.from_arrays(columns, names=["group", "left_id", "right_id", "score"])
+
+
 def one_to_one(left: DataFrame, right: DataFrame, words: Column, least: float = 0.6) -> DataFrame:
     """group, left_id, right_id, score: what a scan of all pairs by falling (score, left id, right id) takes that uses each row once.
 
     left and right are (group, id, ...); words is each row's array of words; rows without words match nothing. Rows of equal words
     are a class; classes meet by their rarest words, and only the first row of a class that is left can be the next one taken. In each
     round all pairs of classes that are the best for both sides take a row each, or all rows they can where neither side has an equal
-    choice: a pair that is the best for both sides comes before any other that uses its rows, so rounds give what the scan gives.
+    choice: a pair that is the best for both sides comes before any other that uses its rows, so rounds give what the scan gives. Once
+    pairs and the rows of their classes are FEW, all in all, each group is scanned in one pass: chains of choices would take a round a link.
     """
     a, b = written(_classes(left, words), "left"), written(_classes(right, words), "right")
     pairs = written(_alike(a, b, least), "alike")
@@ -320,7 +383,8 @@ def one_to_one(left: DataFrame, right: DataFrame, words: Column, least: float =
             left_over = sizes[s].join(done, ["group", s], "left").select("group", s, (F.coalesce("done", F.lit(0)) + 1).alias(f"{s}_rank"), (F.col("size") - F.coalesce("done", F.lit(0))).alias(f"{s}_left")).filter(f"{s}_left > 0")
             live = live.join(left_over, ["group", s]).join(ids[s], ["group", s, f"{s}_rank"])
         live = written(live, "live")
-        if live.isEmpty():
+        classes = live.select("group", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("key"), F.col(f"{s}_left").alias("left")) for s in "ab"))).alias("c")).distinct()
+        if live.count() + (classes.agg(F.sum("c.left")).first()[0] or 0) <= FEW:
             break
         for s, o in ("ab", "ba"):
             by = Window.partitionBy("group", s).orderBy(F.desc("score"), F.desc(f"{o}_id"))
@@ -333,7 +397,13 @@ def one_to_one(left: DataFrame, right: DataFrame, words: Column, least: float =
             rows = rows.join(ids[s].withColumnRenamed(f"{s}_id", name), ["group", s, f"{s}_rank"])
         parts.append(written(rows.select(parts[0].columns), "taken"))
         live = live.select("group", "a", "b", "score")
-    return used.select("group", "left_id", "right_id", F.round("score", 6).alias("score"))
+    told = live.select("group", F.lit("p").alias("side"), "a", "b", "score", *(F.lit(None).cast(rows.schema["id"].dataType).alias(f"{s}_id") for s, rows in (("a", a), ("b", b))))
+    for s in "ab":
+        met = live.select("group", s, F.col(f"{s}_rank").alias("next")).distinct()
+        told = told.unionByName(ids[s].join(met, ["group", s]).filter(F.col(f"{s}_rank") >= F.col("next")).select("group", F.lit(s).alias("side"), s, f"{s}_id"), allowMissingColumns=True)
+    kinds = {c: used.schema[c].dataType.simpleString() for c in ("group", "left_id", "right_id")}
+    scanned = told.groupBy("group").applyInArrow(_scan, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", score double")
+    return used.select(scanned.columns).union(scanned).select("group", "left_id", "right_id", F.round("score", 6).alias("score"))
 
 
 def book_pages(texts: DataFrame, size: int) -> DataFrame:
