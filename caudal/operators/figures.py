@@ -23,12 +23,28 @@ from .storage import written
 BODY_WORDS, SIDE, TOUCH, LABEL = 6, 3, 2.0, 0.5
 # Points between a figure and its caption, words of a caption, pages that make a text a running head; words of a needle, fewest words of an anchor, needles of a side, lessons of one page.
 CAPTION_GAP, CAPTION_WORDS, HEAD_PAGES, NEEDLE, FEWEST, NEEDLES, PAGE_LESSONS = 20.0, 25, 3, 8, 4, 8, 3
-#: Lessons are found by page in bins of so many pages.
-PAGE_BIN = 16
+#: Lessons are found by page in bins of so many pages; so many lessons of a figure's page are looked through before others are sought.
+PAGE_BIN, PAGE_TRIES = 16, 16
 #: Marks of NEEDLE words, and lines that are hashed at a time.
 SPAN, LINES = NEEDLE - FEWEST + 1, 500
 
 
+def _even(text: Column) -> Column:
+    """collapsed(), with no search through texts whose words single spaces part."""
+    uneven = [F.contains(text, F.lit(x)) for x in ("  ", "\t", "\n", "\r")]
+    return F.when(uneven[0] | uneven[1] | uneven[2] | uneven[3], collapsed(text)).otherwise(F.trim(text))
+
+
+def _bare(text: Column) -> Column:
+    """unmarked(), with no search through texts that have no marks; most have none."""
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(unmarked(text))
+
+
+def _plain(text: Column) -> Column:
+    """normalised() of a text that is worked out already."""
+    return F.trim(F.regexp_replace(F.lower(_bare(text)), "[^a-z0-9]+", " "))
+
+
 def may_be_caption(text: Column) -> Column:
     """Neither a number, nor a list item, nor words that open something else."""
     return (text != "") & ~text.rlike(r"^\p{Nd}+$") & ~text.endswith(":") & ~text.rlike(r"^(?:[•·●▪◦\-–—*]|[0-9]{1,2}[.)])\s")
@@ -76,13 +92,11 @@ def anchors(blocks: DataFrame, figures: DataFrame) -> DataFrame:
     numbers = lambda rows: rows.withColumns({c: F.col(c).cast("double") for c in box})
     asked = written(numbers(figures.select("book", "page", "figure", *box)).dropna(subset=["page", "figure", *box]).dropDuplicates(["book", "figure"]), "figures")
     drawn = asked.select(F.col("book").alias("_book"), F.col("page").alias("_page")).distinct()
-    told = collapsed(F.replace(F.coalesce("text", F.lit("")), F.lit("­"), F.lit("")))
+    told = _even(F.replace(F.coalesce("text", F.lit("")), F.lit("­"), F.lit("")))
     texts = numbers(blocks.select("book", "page", F.col("at").cast("long").alias("at"), *box, told.alias("told"))).filter("told <> ''").dropna(subset=["at", *box])
 
     # running heads: numbers only, which mark their blocks on pages with figures
-    # letters without marks need no search for any; most texts have none
-    bare = F.trim(F.regexp_replace(F.lower(F.when(F.octet_length("told") == F.length("told"), F.col("told")).otherwise(unmarked(F.col("told")))), "[^a-z0-9]+", " "))
-    keyed = texts.select("book", "page", "at", "y0", "y1", F.xxhash64(F.regexp_replace(bare, "[0-9]+", "#")).alias("key"))
+    keyed = texts.select("book", "page", "at", "y0", "y1", F.xxhash64(F.regexp_replace(_plain(F.col("told")), "[0-9]+", "#")).alias("key"))
     facts = written(keyed.join(drawn, F.col("book").eqNullSafe(F.col("_book")) & (F.col("page") == F.col("_page")), "left_semi"), "blocks")
     heads = facts.groupBy(F.col("book").alias("_book"), F.col("key").alias("_key")).agg(F.count_distinct("page").alias("_pages")).filter(F.col("_pages") >= HEAD_PAGES)
     marked = facts.join(heads, F.col("book").eqNullSafe(F.col("_book")) & (F.col("key") == F.col("_key")), "left_semi")
@@ -153,17 +167,21 @@ def anchors(blocks: DataFrame, figures: DataFrame) -> DataFrame:
     return found.groupBy("book", "figure").agg(side(False).alias("before"), side(True).alias("after"), F.coalesce(caption, F.lit("")).alias("caption"))
 
 
-def needles(text: Column, backwards: bool) -> Column:
-    """Runs of NEEDLE words every half needle, nearest the figure first; a short anchor is one needle, a very short one none."""
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, " "), lambda w: w != "")
+
 
-    def cut(words: Column) -> Column:
-        last = F.size(words) - NEEDLE
-        steps = F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(NEEDLE // 2))
-        starts = F.concat(F.array(last), F.reverse(steps)) if backwards else F.concat(F.array(F.lit(0)), steps)
-        runs = F.array_distinct(F.transform(F.slice(starts, 1, NEEDLES), lambda s: F.array_join(F.slice(words, s + 1, NEEDLE), " ")))
-        return F.when(F.size(words) < FEWEST, F.array().cast("array<string>")).when(last <= 0, F.array(F.array_join(words, " "))).otherwise(runs)
+def _needles(words: Column, backwards: bool) -> Column:
+    last = F.size(words) - NEEDLE
+    steps = F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(NEEDLE // 2))
+    starts = F.concat(F.array(last), F.reverse(steps)) if backwards else F.concat(F.array(F.lit(0)), steps)
+    runs = F.array_distinct(F.transform(F.slice(starts, 1, NEEDLES), lambda s: F.array_join(F.slice(words, s + 1, NEEDLE), " ")))
+    return F.when(F.size(words) < FEWEST, F.array().cast("array<string>")).when(last <= 0, F.array(F.array_join(words, " "))).otherwise(runs)
 
-    return once(F.filter(F.split(normalised(F.coalesce(text, F.lit(""))), " "), lambda w: w != ""), cut)
+
+def needles(text: Column, backwards: bool) -> Column:
+    """Runs of NEEDLE words every half needle, nearest the figure first; a short anchor is one needle, a very short one none."""
+    return once(_words(normalised(F.coalesce(text, F.lit("")))), lambda words: _needles(words, backwards))
 
 
 def _marks(lines: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray, list[int], list[int]]]:
@@ -199,7 +217,7 @@ def mark(needles: pd.Series) -> pd.Series:
 
 
 def _paragraphs(text: Column) -> Column:
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), normalised)
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), _plain)
 
 
 def _starting(paragraphs: Column, position: Column) -> Column:
@@ -218,45 +236,64 @@ def to_lessons(figures: DataFrame, lessons: DataFrame, by_file: bool = False) ->
     unit's first lesson is the last resort. found_by is text, page, unit or null. paragraph is the number of paragraphs of the lesson
     before the figure less one (-1: before the first), null unless found by text.
 
-    Needles are cut and lessons made plain once and written. They meet by the least hash of FEWEST neighbouring words; a lesson tells the least hash of each NEEDLE words, a third of
+    Anchors and lessons are made plain once and written. The nearest needle is looked for in the lessons of the figure's page first, if
+    they are PAGE_TRIES or fewer: no other lesson comes before one of them. For figures left, all needles are cut; they and lessons meet by the least hash of FEWEST neighbouring words; a lesson tells the least hash of each NEEDLE words, a third of
     all. Short needles meet by their first words, for which lessons of their courses tell all hashes. Only what meets is compared in
     full; all fallbacks are one aggregate a figure. Null texts are empty, null or zero pages are unknown, lessons without an id or place are left out;
     a repeated figure (course, figure) is one.
     """
-    cut = lambda column, backwards, side: F.struct(F.lit(side).alias("side"), needles(F.col(column), backwards).alias("cut"))
+    plain = lambda column: F.coalesce(_plain(F.col(column)), F.lit("")).alias(column)
     once_each = figures.filter("figure IS NOT NULL").select("course", "figure", F.col("file").cast("long").alias("file"), F.nullif(F.col("page"), F.lit(0)).cast("long").alias("page"), "before", "after").dropDuplicates(["course", "figure"])
-    asked = written(once_each.select("course", "figure", "file", "page", F.array(cut("before", True, 0), cut("after", False, 1)).alias("sides")), "figures")
+    asked = written(once_each.select("course", "figure", "file", "page", plain("before"), plain("after")), "figures")
     read = lessons.dropna(subset=["lesson", "at"]).select("course", "lesson", F.col("at").cast("long").alias("at"), F.col("unit").cast("long").alias("unit"), F.col("first_page").cast("long").alias("first_page"), F.col("last_page").cast("long").alias("last_page"), _paragraphs(F.col("text")).alias("paragraphs"))
     held = written(read, "lessons").withColumn("line", F.concat(F.lit(" "), F.array_join(F.filter("paragraphs", lambda p: p != ""), " "), F.lit(" ")))
 
-    brief = lambda needle: F.size(F.split(needle, " ")) < NEEDLE
-    few = asked.filter(F.exists("sides", lambda s: F.exists(s["cut"], brief))).select(F.col("course").alias("_course")).distinct()
-    sought = asked.select("course", "figure", "file", "page", F.explode("sides").alias("s"))
-    sought = sought.select("course", "figure", "file", "page", "s.side", F.posexplode("s.cut").alias("turn", "needle")).withColumns({"mark": mark("needle"), "short": brief(F.col("needle"))})
-    told = lambda rows, hashes, short: rows.select("course", "lesson", "at", F.explode(hashes("line")).alias("mark"), F.lit(short).alias("short"))
-    dense = told(held.join(few, F.col("course") == F.col("_course"), "left_semi"), marks, True)
-    met = sought.join(told(held, least_marks, False).union(dense), ["course", "mark", "short"]).drop("mark", "short")
-
     facts = ["course", "lesson", "at"]
-    found = F.instr(F.col("line"), F.concat(F.lit(" "), F.col("needle"), F.lit(" "))) - 1
-    hits = met.join(held.select(*facts, "unit", "first_page", "last_page", "paragraphs", "line"), facts).withColumn("position", found).filter("position >= 0")
-    behind, ahead = _starting(F.col("paragraphs"), F.col("position") + F.length("needle")) - 1, _starting(F.col("paragraphs"), F.col("position") + 1) - 2
-    hits = hits.withColumn("paragraph", F.when(F.col("side") == 0, behind).otherwise(ahead))
     mine = F.col("unit").eqNullSafe(F.col("file"))
-    abroad = ~mine if by_file else F.lit(False)
     on_page = F.coalesce(F.col("page").between(F.col("first_page"), F.col("last_page")), F.lit(False))
-    rank = F.when(on_page, 0).when(mine, 1).otherwise(2)
-    by_text = hits.select("course", "figure", F.struct(F.lit(0).alias("way"), "side", "turn", abroad.alias("abroad"), rank.alias("rank"), "at", "lesson", "paragraph").alias("choice"))
+
+    def by_text(met: DataFrame) -> DataFrame:
+        """course, figure, choice: the least of what met (course, figure, file, page, side, turn, needle, lesson, at) holds in full."""
+        found = F.instr(F.col("line"), F.concat(F.lit(" "), F.col("needle"), F.lit(" "))) - 1
+        hits = met.join(held.select(*facts, "unit", "first_page", "last_page", "paragraphs", "line"), facts).withColumn("position", found).filter("position >= 0")
+        behind, ahead = _starting(F.col("paragraphs"), F.col("position") + F.length("needle")) - 1, _starting(F.col("paragraphs"), F.col("position") + 1) - 2
+        hits = hits.withColumn("paragraph", F.when(F.col("side") == 0, behind).otherwise(ahead))
+        abroad = ~mine if by_file else F.lit(False)
+        rank = F.when(on_page, 0).when(mine, 1).otherwise(2)
+        choice = F.struct(F.lit(0).alias("way"), "side", "turn", abroad.alias("abroad"), rank.alias("rank"), "at", "lesson", "paragraph")
+        return hits.select("course", "figure", choice.alias("choice")).groupBy("course", "figure").agg(F.min("choice").alias("choice"))
 
     bins = F.sequence(F.floor(F.col("first_page") / PAGE_BIN), F.floor(F.col("last_page") / PAGE_BIN))
     telling = held.groupBy(F.col("course").alias("_course")).agg(F.min("first_page").alias("a"), F.max("first_page").alias("b"), F.min("last_page").alias("c"), F.max("last_page").alias("d")).filter("a < b OR c < d").select("_course")
     paged = held.filter("first_page <= last_page").join(telling, F.col("course") == F.col("_course"), "left_semi").select(*facts, "unit", "first_page", "last_page", F.explode(bins).alias("bin"))
     covering = asked.filter("page IS NOT NULL").select("course", "figure", "file", "page", F.floor(F.col("page") / PAGE_BIN).alias("bin")).join(paged, ["course", "bin"]).filter(on_page & (mine if by_file else F.lit(True)))
+    covering = written(covering.select("figure", *facts), "covering")
+    first = F.min(F.struct("at", "lesson")).alias("first")
+    counted = covering.groupBy("course", "figure").agg(first, F.count("*").alias("n"))
+
+    # the nearest needle of each figure in the lessons of its page
+    size = lambda column: F.size(_words(F.col(column)))
+    side = F.when(size("before") >= FEWEST, 0).when(size("after") >= FEWEST, 1)
+    nearest = F.when(F.col("side") == 0, F.substring_index("before", " ", -NEEDLE)).otherwise(F.substring_index("after", " ", NEEDLE))
+    tried = asked.withColumn("side", side).filter("side IS NOT NULL").select("course", "figure", "file", "page", "side", F.lit(0).alias("turn"), nearest.alias("needle"))
+    tried = tried.join(counted.filter(F.col("n") <= PAGE_TRIES).select("course", "figure"), ["course", "figure"], "left_semi")
+    near = written(by_text(tried.join(covering, ["course", "figure"])), "near")
+
+    # all needles of the others in all lessons
+    rest = asked.join(near, ["course", "figure"], "left_anti")
+    brief = lambda column: (size(column) >= FEWEST) & (size(column) < NEEDLE)
+    few = rest.filter(brief("before") | brief("after")).select(F.col("course").alias("_course")).distinct()
+    cut = lambda column, backwards, side: F.struct(F.lit(side).alias("side"), once(_words(F.col(column)), lambda words: _needles(words, backwards)).alias("cut"))
+    sought = rest.select("course", "figure", "file", "page", F.explode(F.array(cut("before", True, 0), cut("after", False, 1))).alias("s"))
+    sought = sought.select("course", "figure", "file", "page", "s.side", F.posexplode("s.cut").alias("turn", "needle")).withColumns({"mark": mark("needle"), "short": F.size(F.split("needle", " ")) < NEEDLE})
+    told = lambda rows, hashes, short: rows.select(*facts, F.explode(hashes("line")).alias("mark"), F.lit(short).alias("short"))
+    dense = told(held.join(few, F.col("course") == F.col("_course"), "left_semi"), marks, True)
+    met = sought.join(told(held, least_marks, False).union(dense), ["course", "mark", "short"]).drop("mark", "short")
+
     none = {"side": F.lit(0), "turn": F.lit(0), "abroad": F.lit(False), "rank": F.lit(0)}
     resort = lambda way, at, lesson: F.struct(F.lit(way).alias("way"), *(c.alias(n) for n, c in none.items()), at.alias("at"), lesson.alias("lesson"), F.lit(None).cast("int").alias("paragraph"))
-    first = F.min(F.struct("at", "lesson")).alias("first")
-    by_page = covering.groupBy("course", "figure").agg(first, F.count("*").alias("n")).filter(F.col("n") <= PAGE_LESSONS).select("course", "figure", resort(1, F.col("first.at"), F.col("first.lesson")).alias("choice"))
-    ways = by_text.union(by_page)
+    by_page = counted.filter(F.col("n") <= PAGE_LESSONS).select("course", "figure", resort(1, F.col("first.at"), F.col("first.lesson")).alias("choice"))
+    ways = near.union(by_text(met)).union(by_page)
     if by_file:
         units = held.groupBy("course", F.col("unit").alias("file")).agg(first)
         ways = ways.union(asked.join(units, ["course", "file"]).select("course", "figure", resort(2, F.col("first.at"), F.col("first.lesson")).alias("choice")))

@@ -3,9 +3,11 @@
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from caudal.functions.text import collapsed, normalised
 from caudal.operators import figures as G
 
 BLOCKS, FIGURES = "book int, page int, at int, x0 double, y0 double, x1 double, y1 double, text string, figure int", "book int, page int, figure int, x0 double, y0 double, x1 double, y1 double, text string"
@@ -156,3 +158,25 @@ def test_anchors_move_each_text_once_to_its_page(spark):
     got = found.collect()
     assert {r.before for r in got if r.figure % 100 == 0} == {""}
     assert len(got) == len(figures)
+
+
+def test_figures_on_their_page_cut_no_other_needles(spark, monkeypatch):
+    """What the nearest needle finds on the figure's page comes first, so no mark of its other needles is told."""
+    @F.pandas_udf("long")
+    def never(needles: pd.Series) -> pd.Series:
+        assert not len(needles)
+        return pd.Series([], dtype="int64")
+
+    monkeypatch.setattr(G, "mark", never)
+    words = [f"word{i}" for i in range(400)]
+    lessons = [(1, n, n, 0, " ".join(words[40 * n : 40 * n + 40]) + "\n\nthe end", n + 1, n + 1, 0) for n in range(10)]
+    figures = [(1, n, 0, n + 1, " ".join(words[40 * n : 40 * n + 30]), "") for n in range(10)]
+    figures += [(1, 10 + n, 0, n + 1, "too short", " ".join(words[40 * n + 5 : 40 * n + 30])) for n in range(10)]
+    found = G.to_lessons(spark.createDataFrame(figures, ASKED), spark.createDataFrame(lessons, LESSONS)).collect()
+    assert sorted((r.figure, r.lesson, r.found_by, r.paragraph) for r in found) == [(n, n % 10, "text", 0 if n < 10 else -1) for n in range(20)]
+
+
+def test_plain_and_even_texts(spark):
+    texts = ["", " a  b ", "a\tb", "a\n\nb c", "Ça  été ñandú", "á b", "ｆull ½ x", "A, b. C-d", None, "\r", "one two three"]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", G._even(F.col("x")).alias("even"), collapsed(F.col("x")).alias("collapsed"), G._plain(F.col("x")).alias("plain"), normalised(F.col("x")).alias("normalised")).collect()
+    assert all(r.even == r.collapsed and r.plain == r.normalised for r in rows) and len(rows) == len(texts)
