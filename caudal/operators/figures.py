@@ -57,23 +57,27 @@ def _beside(events: Iterator[tuple]) -> Iterator[tuple]:
     blocks and the few within reach of a figure's edge, of which it may take some for its labels.
     """
     bodies, every = deque(), deque()
-    for figure, edge, x0, y0, x1, y1, *told in events:
+    for event in events:
+        figure, edge, x0, y0, x1, y1, _, body, _ = event
         if figure is None:
-            for held, most in ((bodies, SIDE), (every, 1)):
-                if held is every or told[1]:
-                    held.append((edge, x0, y0, x1, y1, *told))
-                while len(held) > most and held[most][0] < edge - 2 * TOUCH:
-                    held.popleft()
+            reach = edge - 2 * TOUCH
+            if body:
+                bodies.append(event)
+                while len(bodies) > SIDE and bodies[SIDE][1] < reach:
+                    bodies.popleft()
+            every.append(event)
+            while len(every) > 1 and every[1][1] < reach:
+                every.popleft()
             continue
 
         def outside(block: tuple) -> bool:
-            _, a0, b0, a1, b1, *_ = block
+            _, _, a0, b0, a1, b1, *_ = block
             area = (a1 - a0) * (b1 - b0)
             within = max(0.0, min(a1, x1) - max(a0, x0)) * max(0.0, min(b1, y1) - max(b0, y0))  # noqa: B023
             return not area or within / area <= LABEL
 
         near = next(filter(outside, reversed(every)), None)
-        yield figure, [b[5] for b in islice(filter(outside, reversed(bodies)), SIDE)], near and (near[5], y0 - near[4], near[7])
+        yield figure, [b[6] for b in islice(filter(outside, reversed(bodies)), SIDE)], near and (near[6], y0 - near[5], near[8])
 
 
 def anchors(blocks: DataFrame, figures: DataFrame) -> DataFrame:
@@ -93,7 +97,9 @@ def anchors(blocks: DataFrame, figures: DataFrame) -> DataFrame:
     asked = written(numbers(figures.select("book", "page", "figure", *box)).dropna(subset=["page", "figure", *box]).dropDuplicates(["book", "figure"]), "figures")
     drawn = asked.select(F.col("book").alias("_book"), F.col("page").alias("_page")).distinct()
     told = _even(F.replace(F.coalesce("text", F.lit("")), F.lit("­"), F.lit("")))
-    texts = numbers(blocks.select("book", "page", F.col("at").cast("long").alias("at"), *box, told.alias("told"))).filter("told <> ''").dropna(subset=["at", *box])
+    # a filter of what is told would have it worked out twice
+    some = blocks.filter(F.col("text").rlike("[^ \\t\\n\\r\u00AD]"))
+    texts = numbers(some.select("book", "page", F.col("at").cast("long").alias("at"), *box, told.alias("told"))).dropna(subset=["at", *box])
 
     # running heads: numbers only, which mark their blocks on pages with figures
     keyed = texts.select("book", "page", "at", "y0", "y1", F.xxhash64(F.regexp_replace(_plain(F.col("told")), "[0-9]+", "#")).alias("key"))
